@@ -1,0 +1 @@
+"""The feature set is batch only, so this package holds no operators."""
