@@ -69,10 +69,7 @@ def value_sets(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     turned into text only once per distinct value. Each grouping combines on the
     map side, so a value that fills a third of the table costs nothing extra.
     """
-    names = list(columns or scalar_columns(df))
-    kinds: dict[str, list[str]] = {}
-    for c in names:
-        kinds.setdefault(_kind(df.schema[c].dataType), []).append(c)
+    kinds = _by_kind(df, columns)
     lanes = [_LANES[kind](df, group) for kind, group in sorted(kinds.items())]
     return reduce(DataFrame.unionByName, lanes)
 
@@ -87,6 +84,13 @@ def _kind(data_type: T.DataType) -> str:
     return "text"
 
 
+def _by_kind(df: DataFrame, columns: Sequence[str] | None) -> dict[str, list[str]]:
+    kinds: dict[str, list[str]] = {}
+    for c in columns or scalar_columns(df):
+        kinds.setdefault(_kind(df.schema[c].dataType), []).append(c)
+    return kinds
+
+
 def _unpivoted(df: DataFrame, names: Sequence[str], spark_type: str) -> DataFrame:
     wide = df.select(*[quoted(c).cast(spark_type).alias(c) for c in names])
     return wide.unpivot([], [quoted(c) for c in names], "column_name", "value")
@@ -178,6 +182,35 @@ _LANES = {
 }
 
 
+def _raw_text_lane(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    text = F.col("value")
+    keyed = (
+        _unpivoted(df, names, "string")
+        .filter("value <> ''")
+        .select(
+            "column_name",
+            F.octet_length("value").alias("size"),
+            V.raw_key(text).alias("match_key"),
+        )
+    )
+    return _counted(keyed, "size", "match_key")
+
+
+def distinct_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Distinct raw values per column, different spellings of a number apart.
+
+    ``raw_key`` stands for the value; ``n`` counts its cells.
+    """
+    kinds = _by_kind(df, columns)
+    lanes = [
+        (_raw_text_lane if kind == "text" else _LANES[kind])(df, group).select(
+            "column_name", F.col("match_key").alias("raw_key"), "n"
+        )
+        for kind, group in sorted(kinds.items())
+    ]
+    return reduce(DataFrame.unionByName, lanes)
+
+
 def category_summary(sets: DataFrame) -> DataFrame:
     """Distinct keys and cells per column and category."""
     return sets.groupBy("column_name", "category").agg(
