@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablekin.functions import words as W
@@ -192,12 +192,12 @@ def set_next(a: DataFrame, probes: DataFrame) -> DataFrame:
 def _next_in_group(
     blocks: DataFrame, looked_up: DataFrame, own_block: bool
 ) -> DataFrame:
-    from pyspark.sql import Window
-
     asked = looked_up.select("block", F.lit(None).cast("bigint").alias("least"))
-    order = Window.partitionBy(F.shiftright("block", RADIX_BITS)).orderBy("block")
-    after = order.rangeBetween(
-        Window.currentRow if own_block else 1, Window.unboundedFollowing
+    group = Window.partitionBy(F.shiftright("block", RADIX_BITS))
+    # Downwards, since a frame that grows costs one step per row and one that
+    # shrinks costs a pass.
+    after = group.orderBy(F.desc("block")).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow if own_block else -1
     )
     both = blocks.withColumn("asked", F.lit(False)).unionByName(
         asked.withColumn("asked", F.lit(True))

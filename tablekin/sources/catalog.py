@@ -30,9 +30,9 @@ def catalog(
     Tables are numbered from 1; column ids are unique over the tables.
     """
     table_rows, column_rows = [], []
+    width = max([IDS_PER_TABLE, *(len(df.columns) + 1 for df in tables.values())])
     for table_id, (name, df) in enumerate(tables.items(), 1):
         table_rows.append((table_id, schema, name, f"{name}.parquet"))
-        width = max(IDS_PER_TABLE, len(df.columns) + 1)
         for num, field in enumerate(df.schema, 1):
             column_rows.append(
                 (
