@@ -1,9 +1,10 @@
 """From shared values to the rows behind them.
 
 Rows are found by joins on values, and a value may be held by a large part of a
-table. Values that weigh at least ``HEAVY_SHARE`` of the whole are therefore split
-over several tasks. There are at most ``1 / HEAVY_SHARE`` of them per column, which
-is what allows their list to be broadcast; every other value fits one task.
+table. Values of more than ``PART_ROWS`` cells are therefore split over several
+tasks, the ``MAX_HEAVY`` most frequent of them, which is what bounds the list that
+is broadcast. A value that does not make the list has at most ``1 / MAX_HEAVY`` of
+all cells, less than an even share of a task.
 """
 
 from __future__ import annotations
@@ -14,28 +15,20 @@ from pyspark.sql import functions as F
 from tablekin.operators.cells import value_index, value_sets
 from tablekin.operators.overlap import shared_values
 
-HEAVY_SHARE = 0.001
-# Pieces this small need no splitting, however large their share.
-MIN_PART_ROWS = 100_000
-MIN_BLOCK_PAIRS = 10_000_000
+PART_ROWS = 5_000_000
+BLOCK_PAIRS = 50_000_000
+MAX_HEAVY = 20_000
 KEY = ["column_name", "category", "match_key"]
 
 
-def heavy_values(
-    sets: DataFrame,
-    base: DataFrame,
-    share: float = HEAVY_SHARE,
-    min_rows: int = MIN_PART_ROWS,
-) -> DataFrame:
-    """Values that fill at least ``share`` of the rows of ``base``.
-
-    At most ``1 / share`` values of a column can. ``parts`` is the number of
-    pieces that brings each piece down to that share.
-    """
-    size = F.greatest(F.count(F.lit(1)) * share, F.lit(float(min_rows)))
-    part_size = base.agg(size.alias("size")).scalar()
-    return sets.filter(F.col("n") > part_size).select(
-        *KEY, F.ceil(F.col("n") / part_size).cast("int").alias("parts")
+def heavy_values(sets: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Frequent values, with the number of ``parts`` to split the cells of each."""
+    n = F.col("n")
+    return (
+        sets.filter(n > part_rows)
+        .orderBy(n.desc())
+        .limit(MAX_HEAVY)
+        .select(*KEY, F.ceil(n / part_rows).cast("int").alias("parts"))
     )
 
 
@@ -92,26 +85,19 @@ def side_rows(
 
 
 class Side:
-    """What the row operators need of one table."""
-
-    def __init__(
-        self,
-        base: DataFrame,
-        index: DataFrame,
-        sets: DataFrame,
-        min_part_rows: int = MIN_PART_ROWS,
-    ):
-        self.base, self.index, self.sets = base, index, sets
-        self.min_part_rows = min_part_rows
+    """What the row operators need of one table: its value index and value sets."""
+
+    def __init__(self, index: DataFrame, sets: DataFrame, part_rows: int = PART_ROWS):
+        self.index, self.sets, self.part_rows = index, sets, part_rows
 
     @classmethod
-    def of(cls, df: DataFrame, row_id: str, columns=None) -> Side:
+    def of(cls, df: DataFrame, row_id: str, columns=None, **options) -> Side:
         """A table whose column ``row_id`` tells its rows apart."""
-        return cls(df, value_index(df, row_id, columns), value_sets(df, columns))
+        return cls(value_index(df, row_id, columns), value_sets(df, columns), **options)
 
     @property
     def heavy(self) -> DataFrame:
-        return heavy_values(self.sets, self.base, min_rows=self.min_part_rows)
+        return heavy_values(self.sets, self.part_rows)
 
 
 def matched_rows(left: Side, right: Side) -> DataFrame:
@@ -152,28 +138,28 @@ def _weight() -> Column:
 
 
 def row_pair_blocks(
-    left: Side,
-    right: Side,
-    share: float = HEAVY_SHARE,
-    min_pairs: int = MIN_BLOCK_PAIRS,
+    left: Side, right: Side, block_pairs: int = BLOCK_PAIRS
 ) -> DataFrame:
-    """How to cut the heavy values before listing row pairs.
+    """How to cut frequent values before listing row pairs.
 
-    A value is heavy when it makes up at least ``share`` of all row pairs, or of
-    the cells of a column on its own side. ``l_parts * r_parts`` blocks of row
-    pairs result. At most ``1 / share`` values can be heavy in each respect, per
-    column.
+    A value is cut when it makes more than ``block_pairs`` row pairs, or has more
+    cells than its own side allows in one piece. ``l_parts * r_parts`` blocks of
+    row pairs result. The list is bounded like that of ``heavy_values``.
     """
-    shared = shared_values(left.sets, right.sets)
-    size = F.greatest(F.sum(_weight()) * share, F.lit(float(min_pairs)))
-    block = shared.agg(size.alias("size")).scalar()
-    cuts = F.ceil(_weight() / block)
+    weight = _weight()
+    cuts = F.ceil(weight / block_pairs)
     l_parts = F.least(F.col("l_n"), F.ceil(F.sqrt(cuts)))
-    by_output = shared.filter(_weight() > block).select(
-        "category",
-        "match_key",
-        l_parts.cast("int").alias("l_parts"),
-        F.least(F.col("r_n"), F.ceil(cuts / l_parts)).cast("int").alias("r_parts"),
+    by_output = (
+        shared_values(left.sets, right.sets)
+        .filter(weight > block_pairs)
+        .orderBy(weight.desc())
+        .limit(MAX_HEAVY)
+        .select(
+            "category",
+            "match_key",
+            l_parts.cast("int").alias("l_parts"),
+            F.least(F.col("r_n"), F.ceil(cuts / l_parts)).cast("int").alias("r_parts"),
+        )
     )
     one = F.lit(1)
     by_left = left.heavy.select("category", "match_key", F.col("parts"), one)
@@ -190,7 +176,7 @@ def row_pairs(
     left: Side,
     right: Side,
     pairs: DataFrame | None = None,
-    min_block_pairs: int = MIN_BLOCK_PAIRS,
+    block_pairs: int = BLOCK_PAIRS,
 ) -> DataFrame:
     """Row pairs that agree on a column pair: ``(l_col, r_col, l_row, r_row)``.
 
@@ -199,7 +185,7 @@ def row_pairs(
     it to chosen column pairs; what the others have is given exactly, and in linear
     size, by ``row_pair_count`` and ``matched_rows``.
     """
-    blocks = F.broadcast(row_pair_blocks(left, right, min_pairs=min_block_pairs))
+    blocks = F.broadcast(row_pair_blocks(left, right, block_pairs))
 
     def cut(index: DataFrame, prefix: str, own: str, other: str) -> DataFrame:
         own_parts = F.coalesce(own, F.lit(1)).cast("bigint")

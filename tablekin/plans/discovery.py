@@ -68,7 +68,7 @@ class JoinDiscovery:
                 self._indexed.add(table.name)
             row_type = table.df.schema[table.row_id].dataType.simpleString()
             index = self.store.read_value_index(table.name, row_type=row_type)
-            made.append(R.Side(table.df, index, sets))
+            made.append(R.Side(index, sets))
         return made[0], made[1]
 
     def listed_pairs(self, limit: int = MAX_LISTED_ROW_PAIRS) -> DataFrame:
