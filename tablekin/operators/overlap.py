@@ -24,16 +24,22 @@ def _side(sets: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def shared_values(l_sets: DataFrame, r_sets: DataFrame) -> DataFrame:
+def shared_values(
+    l_sets: DataFrame, r_sets: DataFrame, bucketed: bool = False
+) -> DataFrame:
     """Values two columns share: ``(l_col, r_col, category, match_key, l_n, r_n)``.
 
     The null-safe equality keeps the optimizer from pushing not-null tests, and
-    with them the category expression, below the grouping.
+    with them the category expression, below the grouping. Stored buckets need
+    the plain equality to be recognised; nothing is computed below it there.
     """
     left, right = _side(l_sets, "l"), _side(r_sets, "r")
-    same = left.l_category.eqNullSafe(right.r_category) & left.l_key.eqNullSafe(
-        right.r_key
-    )
+    if bucketed:
+        same = (left.l_category == right.r_category) & (left.l_key == right.r_key)
+    else:
+        same = left.l_category.eqNullSafe(right.r_category) & left.l_key.eqNullSafe(
+            right.r_key
+        )
     return left.join(right, same).select(
         "l_col",
         "r_col",
@@ -44,6 +50,16 @@ def shared_values(l_sets: DataFrame, r_sets: DataFrame) -> DataFrame:
     )
 
 
+def comparable(sets: DataFrame, other_sets: DataFrame) -> DataFrame:
+    """Values whose category the other side has at all, others cannot match.
+
+    Worth its extra look at the other side when value sets are stored: only the
+    category column is read then, and long texts drop out before the join.
+    """
+    categories = other_sets.select("category").distinct()
+    return sets.join(categories, "category", "left_semi").select(sets.columns)
+
+
 def row_pair_total():
     """Number of row pairs behind shared values, without listing one of them."""
     left, right = F.col("l_n").cast("decimal(19,0)"), F.col("r_n").cast("decimal(18,0)")
@@ -57,15 +73,21 @@ def column_totals(sets: DataFrame) -> DataFrame:
     )
 
 
-def pair_overlap(l_sets: DataFrame, r_sets: DataFrame) -> DataFrame:
+def pair_overlap(
+    l_sets: DataFrame, r_sets: DataFrame, stored: bool = False
+) -> DataFrame:
     """Overlap of every column pair that shares at least one value.
 
     ``shared`` counts the common keys over all categories; the ratios divide it
     by the distinct keys of the left and of the right column. ``row_pairs`` is
     the number of (left row, right row) pairs that agree on the two columns.
+    ``stored`` tells that the sets are read from files rather than computed.
     """
+    left, right = l_sets, r_sets
+    if stored:
+        left, right = comparable(l_sets, r_sets), comparable(r_sets, l_sets)
     found = (
-        shared_values(l_sets, r_sets)
+        shared_values(left, right)
         .groupBy("l_col", "r_col")
         .agg(
             F.count(F.lit(1)).alias("shared"),

@@ -28,8 +28,8 @@ def peer_pairs(pairs: DataFrame) -> DataFrame:
     return first.join(F.broadcast(second), apart)
 
 
-def _two_column_keys(found: DataFrame, prefix: str, both_orders: bool) -> DataFrame:
-    """Keys of every two columns of a row, with the number of rows that have them.
+def _two_column_keys(found: DataFrame, prefix: str, peers: DataFrame) -> DataFrame:
+    """Keys of the two columns peers have on one side, and their number of rows.
 
     A row holds no more cells than the table has columns, which bounds the
     lists; equal keys are combined before they are shuffled.
@@ -40,17 +40,21 @@ def _two_column_keys(found: DataFrame, prefix: str, both_orders: bool) -> DataFr
     )
     rows = found.groupBy("row_id").agg(F.collect_list(cell).alias("cells"))
     first, second = F.col("first"), F.col("second")
-    apart = first["col"] != second["col"] if both_orders else first["col"] < second["col"]
+    columns = [f"{prefix}_col", f"peer_{prefix}_col"]
+    keys = [f"{prefix}_key", f"peer_{prefix}_key"]
+    wanted = F.broadcast(peers.select(*columns).distinct())
     return (
         rows.select("cells", F.explode("cells").alias("first"))
         .select("first", F.explode("cells").alias("second"))
-        .filter(apart)
-        .groupBy(
-            first["col"].alias(f"{prefix}_col"),
-            second["col"].alias(f"peer_{prefix}_col"),
-            first["key"].alias(f"{prefix}_key"),
-            second["key"].alias(f"peer_{prefix}_key"),
+        .select(
+            first["col"].alias(columns[0]),
+            second["col"].alias(columns[1]),
+            first["key"].alias(keys[0]),
+            second["key"].alias(keys[1]),
         )
+        .filter(F.col(columns[0]) != F.col(columns[1]))
+        .join(wanted, columns, "left_semi")
+        .groupBy(*columns, *keys)
         .agg(F.count(F.lit(1)).alias(f"{prefix}_n"))
     )
 
@@ -64,8 +68,9 @@ def peer_row_overlap(left: Side, right: Side, pairs: DataFrame) -> DataFrame:
     """
     l_found = hits(left.index, shared_on_side(left.sets, right.sets), left.heavy)
     r_found = hits(right.index, shared_on_side(right.sets, left.sets), right.heavy)
-    l_keys = _two_column_keys(l_found, "l", both_orders=False)
-    r_keys = _two_column_keys(r_found, "r", both_orders=True)
+    peers = peer_pairs(pairs)
+    l_keys = _two_column_keys(l_found, "l", peers)
+    r_keys = _two_column_keys(r_found, "r", peers)
     agree = (l_keys.l_key == r_keys.r_key) & (l_keys.peer_l_key == r_keys.peer_r_key)
     left_n, right_n = F.col("l_n").cast("decimal(19,0)"), F.col("r_n").cast(
         "decimal(18,0)"
@@ -77,8 +82,7 @@ def peer_row_overlap(left: Side, right: Side, pairs: DataFrame) -> DataFrame:
     )
     none = F.lit(0).cast("decimal(38,0)")
     return (
-        peer_pairs(pairs)
-        .join(counted, PEER, "left")
+        peers.join(counted, PEER, "left")
         .select(*PEER, F.coalesce("row_pairs", none).alias("row_pairs"))
     )
 

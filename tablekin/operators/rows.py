@@ -199,21 +199,18 @@ def row_pairs(
             F.explode(others).alias(other),
         )
 
-    l_index, r_index = left.index, right.index
-    if pairs is not None:
-        l_index = l_index.join(
-            pairs.select(F.col("l_col").alias("column_name")), "column_name", "left_semi"
-        )
-        r_index = r_index.join(
-            pairs.select(F.col("r_col").alias("column_name")), "column_name", "left_semi"
-        )
+    def of_pairs(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+        """Keep the rows that belong to ``pairs``, whose number the schemas bound."""
+        if pairs is None:
+            return df
+        wanted = pairs.select(*[F.col(c).alias(name) for c, name in columns.items()])
+        return df.join(F.broadcast(wanted), list(columns.values()), "left_semi")
+
+    l_index = of_pairs(left.index, {"l_col": "column_name"})
+    r_index = of_pairs(right.index, {"r_col": "column_name"})
     joined = cut(l_index, "l", "l_parts", "r_parts").join(
         cut(r_index, "r", "r_parts", "l_parts"),
         ["category", "match_key", "l_parts", "r_parts"],
     )
     found = joined.select("l_col", "r_col", "l_row", "r_row")
-    if pairs is not None:
-        found = found.join(
-            pairs.select("l_col", "r_col"), ["l_col", "r_col"], "left_semi"
-        )
-    return found
+    return of_pairs(found, {"l_col": "l_col", "r_col": "r_col"})

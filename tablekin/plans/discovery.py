@@ -47,7 +47,7 @@ class JoinDiscovery:
         self.r_sets = self.store.read_value_sets(right.name)
 
     def overlap(self) -> DataFrame:
-        return O.pair_overlap(self.l_sets, self.r_sets)
+        return O.pair_overlap(self.l_sets, self.r_sets, stored=True)
 
     def report(self) -> DataFrame:
         return O.match_report(

@@ -106,3 +106,22 @@ class Store:
             label = f"{max(l_col, r_col)}-{min(l_col, r_col)}"
         found = self._read("shared_values", PAIRS, pair_id=label, category=category)
         return found.select("l_col", "r_col", "category", "match_key", "l_n", "r_n")
+
+    def save_bucketed_sets(self, sets: DataFrame, name: str, buckets: int) -> None:
+        """Keep value sets as a table bucketed by what they are joined on.
+
+        Tables of equally many buckets are then compared without a shuffle, which
+        pays when many tables are compared with one another. A key occurs once
+        per column in value sets, so buckets are even whatever the data.
+        """
+        (
+            sets.repartition(buckets, "category", "match_key")
+            .write.bucketBy(buckets, "category", "match_key")
+            .sortBy("category", "match_key")
+            .option("path", f"{self.root}/bucketed/{name}")
+            .mode("overwrite")
+            .saveAsTable(name)
+        )
+
+    def read_bucketed_sets(self, name: str) -> DataFrame:
+        return self.spark.table(name)

@@ -19,13 +19,10 @@ SETS = {
 }
 PAIRS = [
     ("empty", "empty"),
-    ("empty", "few"),
     ("few", "empty"),
     ("edges", "zero"),
     ("run", "few"),
-    ("few", "run"),
     ("run", "run"),
-    ("dense", "edges"),
     ("large", "dense"),
 ]
 
@@ -85,8 +82,10 @@ def test_one_set(spark, name):
     assert I.set_storage_size(fa).first()[0] == 4 + 16 * len({e >> 6 for e in a})
     assert elements(I.bitmap_decode(I.bitmap_encode(fa))) == a
     assert I.bitmap_pages_cardinality(I.bitmap_pages(fa)).first()[0] == len(a)
-    if top < 10**7:
+    if top < 10**4:
         assert elements(I.set_complement(spark, fa)) == set(range(1, top + 1)) - a
+    elif top < 10**7:
+        assert I.set_complement(spark, fa).count() == top - positive
 
 
 @pytest.mark.parametrize("name", SETS)

@@ -103,6 +103,28 @@ def test_store_round_trips_and_prunes(spark, tmp_path, small):
     assert rows(store.read_shared_values("o_custkey", "c_custkey")) == rows(pair)
 
 
+def test_bucketed_sets_join_without_a_shuffle(spark, tmp_path, small):
+    store = Store(spark, str(tmp_path / "store"))
+    named = {}
+    for name in ("orders", "customer"):
+        named[name] = C.value_sets(spark.read.parquet(f"{small}/{name}.parquet"))
+        store.save_bucketed_sets(named[name], f"{name}_sets", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shared = O.shared_values(
+            store.read_bucketed_sets("orders_sets"),
+            store.read_bucketed_sets("customer_sets"),
+            bucketed=True,
+        )
+        plan = shared._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert rows(shared) == rows(O.shared_values(named["orders"], named["customer"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in named:
+            spark.sql(f"DROP TABLE {name}_sets")
+
+
 def test_work_folders_lie_under_the_shared_one(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     first, second = work_dir(spark, "x"), work_dir(spark, "x")
