@@ -196,6 +196,45 @@ def profile(table: str) -> str:
     return " UNION ALL ".join(rows)
 
 
+def peer_rows_by_count(left: str, right: str) -> str:
+    """Row pairs behind two peers, from rows grouped by two keys.
+
+    For tables whose single row pairs are too many to list. A table without a
+    row id numbers its rows as they come, which only has to tell them apart.
+    """
+
+    def keys(table: str, prefix: str) -> str:
+        columns = (
+            f"SELECT row_number() OVER () AS rid, {', '.join(COLUMNS[table])} FROM {table}"
+        )
+        long = " UNION ALL ".join(
+            f"SELECT rid, '{c}' AS column_name, CAST({c} AS VARCHAR) AS v FROM t"
+            for c in COLUMNS[table]
+        )
+        return (
+            f"{prefix}k AS (WITH t AS MATERIALIZED ({columns}) SELECT rid, column_name, "
+            f"{CATEGORY} || '|' || {KEY} AS k FROM ({long}) WHERE v <> ''), "
+            f"{prefix}h AS (SELECT x.* FROM {prefix}k x WHERE (column_name, k) IN "
+            f"(SELECT ({prefix}_col, category || '|' || match_key) FROM s)), "
+            f"{prefix}g AS (SELECT a.column_name AS c1, b.column_name AS c2, a.k AS k1, "
+            f"b.k AS k2, count(*) AS n FROM {prefix}h a JOIN {prefix}h b "
+            "ON a.rid = b.rid AND a.column_name <> b.column_name GROUP BY ALL)"
+        )
+
+    return both_sets(left, right) + (
+        f", {keys(left, 'l')}, {keys(right, 'r')}, "
+        "m AS (SELECT x.c1 AS l_col, y.c1 AS r_col, x.c2 AS peer_l_col, "
+        "y.c2 AS peer_r_col, sum(CAST(x.n AS HUGEINT) * y.n) AS row_pairs FROM lg x "
+        "JOIN rg y ON x.k1 = y.k1 AND x.k2 = y.k2 WHERE x.c1 < x.c2 GROUP BY ALL), "
+        "peers AS (SELECT a.l_col, a.r_col, b.l_col AS peer_l_col, "
+        "b.r_col AS peer_r_col FROM p a JOIN p b "
+        "ON a.l_col < b.l_col AND a.r_col <> b.r_col) "
+        "SELECT l_col, r_col, peer_l_col, peer_r_col, "
+        "CAST(coalesce(row_pairs, 0) AS VARCHAR) AS row_pairs FROM peers "
+        "LEFT JOIN m USING (l_col, r_col, peer_l_col, peer_r_col)"
+    )
+
+
 TOKENS = (
     "SELECT v, count(*) AS c FROM (SELECT unnest(string_split(text, ' ')) AS v "
     "FROM documents) WHERE v <> '' GROUP BY v"
@@ -382,6 +421,7 @@ def queries() -> dict[str, str]:
         "JOIN rp a USING (l_col, r_col) LEFT JOIN rp b ON b.l_col = peer_l_col "
         "AND b.r_col = peer_r_col AND b.l_row = a.l_row AND b.r_row = a.r_row "
         "GROUP BY l_col, r_col, peer_l_col, peer_r_col",
+        "peer_row_overlap_orders_lineitem": peer_rows_by_count("orders", "lineitem"),
         "peer_containment": containment("customer", "supplier") + "SELECT * FROM c",
         "peer_score": containment("customer", "supplier")
         + "SELECT l_col, r_col, peer_l_col, peer_r_col, l_overlap, r_overlap, "

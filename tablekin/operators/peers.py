@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablekin.functions import values as V
+from tablekin.operators.cells import quoted
 from tablekin.operators.overlap import shared_values
-from tablekin.operators.rows import Side, hits, shared_on_side, side_rows
+from tablekin.operators.rows import Side, side_rows
 
 PEER = ["l_col", "r_col", "peer_l_col", "peer_r_col"]
 
@@ -28,62 +30,85 @@ def peer_pairs(pairs: DataFrame) -> DataFrame:
     return first.join(F.broadcast(second), apart)
 
 
-def _two_column_keys(found: DataFrame, prefix: str, peers: DataFrame) -> DataFrame:
-    """Keys of the two columns peers have on one side, and their number of rows.
+def _listed_peers(pairs: DataFrame) -> list[tuple[str, str, str, str]]:
+    """The peers as a list on the driver; their number is set by the schemas."""
+    listed = sorted(tuple(row) for row in pairs.select("l_col", "r_col").collect())
+    return [
+        (*first, *second)
+        for first in listed
+        for second in listed
+        if first[0] < second[0] and first[1] != second[1]
+    ]
 
-    A row holds no more cells than the table has columns, which bounds the
-    lists; equal keys are combined before they are shuffled.
+
+def _two_column_keys(
+    df: DataFrame, couples: list[tuple[str, str]], prefix: str
+) -> DataFrame:
+    """Distinct keys of each couple of columns, with the number of rows that have them.
+
+    Only columns that occur in a couple are read. Equal keys are combined before
+    they are shuffled, so frequent ones cost nothing extra.
     """
-    cell = F.struct(
-        F.col("column_name").alias("col"),
-        F.concat_ws("|", "category", "match_key").alias("key"),
-    )
-    rows = found.groupBy("row_id").agg(F.collect_list(cell).alias("cells"))
-    first, second = F.col("first"), F.col("second")
-    columns = [f"{prefix}_col", f"peer_{prefix}_col"]
-    keys = [f"{prefix}_key", f"peer_{prefix}_key"]
-    wanted = F.broadcast(peers.select(*columns).distinct())
-    return (
-        rows.select("cells", F.explode("cells").alias("first"))
-        .select("first", F.explode("cells").alias("second"))
-        .select(
-            first["col"].alias(columns[0]),
-            second["col"].alias(columns[1]),
-            first["key"].alias(keys[0]),
-            second["key"].alias(keys[1]),
+    names = sorted({name for couple in couples for name in couple})
+    place = {name: i for i, name in enumerate(names)}
+    keys = []
+    for name, i in place.items():
+        value, data_type = quoted(name), df.schema[name].dataType
+        key = F.concat(
+            V.typed_category(value, data_type),
+            F.lit("|"),
+            V.typed_match_key(value, data_type),
         )
-        .filter(F.col(columns[0]) != F.col(columns[1]))
-        .join(wanted, columns, "left_semi")
-        .groupBy(*columns, *keys)
+        keys.append(key.alias(f"k{i}"))
+    columns = [f"{prefix}_couple", f"{prefix}_key", f"peer_{prefix}_key"]
+    combined = [
+        F.struct(
+            F.lit(number).alias(columns[0]),
+            F.col(f"k{place[first]}").alias(columns[1]),
+            F.col(f"k{place[second]}").alias(columns[2]),
+        )
+        for number, (first, second) in enumerate(couples)
+    ]
+    return (
+        df.select(*keys)
+        .select(F.inline(F.array(*combined)))
+        .filter(F.col(columns[1]).isNotNull() & F.col(columns[2]).isNotNull())
+        .groupBy(*columns)
         .agg(F.count(F.lit(1)).alias(f"{prefix}_n"))
     )
 
 
-def peer_row_overlap(left: Side, right: Side, pairs: DataFrame) -> DataFrame:
+def peer_row_overlap(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     """Row pairs that agree on both column pairs, for every two peers.
 
-    Row pairs are counted, never listed: rows of each table are grouped by the
-    keys they have in two columns, and equal groups multiply. A group occurs
-    once per two columns of a table, so heavy keys do not make it any larger.
+    Takes the two tables themselves. Row pairs are counted, never listed: rows
+    of each table are grouped by the keys they have in two columns, and equal
+    groups multiply. A group occurs once per couple of columns, so the join does
+    not grow with the frequency of a key.
     """
-    l_found = hits(left.index, shared_on_side(left.sets, right.sets), left.heavy)
-    r_found = hits(right.index, shared_on_side(right.sets, left.sets), right.heavy)
-    peers = peer_pairs(pairs)
-    l_keys = _two_column_keys(l_found, "l", peers)
-    r_keys = _two_column_keys(r_found, "r", peers)
+    spark = left.sparkSession
+    schema = ", ".join(f"{c} string" for c in PEER)
+    none = F.lit(0).cast("decimal(38,0)").alias("row_pairs")
+    peers = _listed_peers(pairs)
+    if not peers:
+        return spark.createDataFrame([], schema).select(*PEER, none)
+    l_couples = sorted({(a, c) for a, _, c, _ in peers})
+    r_couples = sorted({(b, d) for _, b, _, d in peers})
+    l_keys = _two_column_keys(left, l_couples, "l")
+    r_keys = _two_column_keys(right, r_couples, "r")
     agree = (l_keys.l_key == r_keys.r_key) & (l_keys.peer_l_key == r_keys.peer_r_key)
-    left_n, right_n = F.col("l_n").cast("decimal(19,0)"), F.col("r_n").cast(
-        "decimal(18,0)"
-    )
+    products = F.col("l_n").cast("decimal(19,0)") * F.col("r_n").cast("decimal(18,0)")
     counted = (
         l_keys.join(r_keys, agree)
-        .groupBy(*PEER)
-        .agg(F.sum(left_n * right_n).cast("decimal(38,0)").alias("row_pairs"))
+        .groupBy("l_couple", "r_couple")
+        .agg(F.sum(products).cast("decimal(38,0)").alias("row_pairs"))
     )
-    none = F.lit(0).cast("decimal(38,0)")
-    return (
-        peers.join(counted, PEER, "left")
-        .select(*PEER, F.coalesce("row_pairs", none).alias("row_pairs"))
+    numbered = spark.createDataFrame(
+        [(*p, l_couples.index(p[::2]), r_couples.index(p[1::2])) for p in peers],
+        f"{schema}, l_couple int, r_couple int",
+    )
+    return numbered.join(counted, ["l_couple", "r_couple"], "left").select(
+        *PEER, F.coalesce("row_pairs", none).alias("row_pairs")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tablekin.operators import cells as C
 from tablekin.operators import overlap as O
 from tablekin.operators import peers as P
 from tablekin.operators import rows as R
-from tablekin.session import work_dir
+from tablekin.session import settle, work_dir
 from tablekin.sources.store import Store
 
 MAX_LISTED_ROW_PAIRS = 1_000_000_000
@@ -46,12 +47,15 @@ class JoinDiscovery:
         self.l_sets = self.store.read_value_sets(left.name)
         self.r_sets = self.store.read_value_sets(right.name)
 
+    @cached_property
     def overlap(self) -> DataFrame:
-        return O.pair_overlap(self.l_sets, self.r_sets, stored=True)
+        """Overlapping column pairs; computed once, as everything else asks it."""
+        found = O.pair_overlap(self.l_sets, self.r_sets, stored=True)
+        return settle(found, "overlap")
 
     def report(self) -> DataFrame:
         return O.match_report(
-            self.overlap(),
+            self.overlap,
             self.left.name,
             self.right.name,
             self.left.schema,
@@ -77,14 +81,14 @@ class JoinDiscovery:
         The others are not lost: ``overlap`` counts their row pairs exactly, and
         ``shared_values`` with the value indexes states them without listing.
         """
-        return self.overlap().filter(F.col("row_pairs") <= limit)
+        return self.overlap.filter(F.col("row_pairs") <= limit)
 
     def row_pairs(self, limit: int = MAX_LISTED_ROW_PAIRS) -> DataFrame:
         return R.row_pairs(*self.sides(), pairs=self.listed_pairs(limit))
 
     def peers(self) -> DataFrame:
         """Row pairs every two peers have in common."""
-        return P.peer_row_overlap(*self.sides(), self.overlap())
+        return P.peer_row_overlap(self.left.df, self.right.df, self.overlap)
 
     def scored_peers(self) -> DataFrame:
         return P.peer_score(P.peer_containment(*self.sides()))

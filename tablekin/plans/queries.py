@@ -20,7 +20,7 @@ from tablekin.operators import peers as P
 from tablekin.operators import profile as PR
 from tablekin.operators import rows as R
 from tablekin.plans.discovery import JoinDiscovery, Table
-from tablekin.session import prepare, work_dir
+from tablekin.session import prepare, settle, spread, work_dir
 from tablekin.sources import catalog as CT
 from tablekin.sources import dump as D
 from tablekin.sources.store import Store
@@ -407,8 +407,18 @@ def q_peer_pairs(spark, sf_dir):
 
 @query
 def q_peer_row_overlap(spark, sf_dir):
-    left, right = side(spark, sf_dir, "customer"), side(spark, sf_dir, "supplier")
-    found = P.peer_row_overlap(left, right, O.pair_overlap(left.sets, right.sets))
+    return _peer_rows(spark, sf_dir, "customer", "supplier")
+
+
+@query
+def q_peer_row_overlap_orders_lineitem(spark, sf_dir):
+    return _peer_rows(spark, sf_dir, "orders", "lineitem")
+
+
+def _peer_rows(spark, sf_dir, l_name, r_name):
+    left, right = table(spark, sf_dir, l_name), table(spark, sf_dir, r_name)
+    pairs = O.pair_overlap(C.value_sets(left), C.value_sets(right))
+    found = P.peer_row_overlap(spread(left), spread(right), settle(pairs, "pairs"))
     return found.withColumn("row_pairs", F.col("row_pairs").cast("string"))
 
 

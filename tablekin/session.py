@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
     # Timestamps are profiled through their text, so the zone must be fixed.
@@ -44,3 +44,23 @@ def work_dir(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="tablekin-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write a result that is used several times and go on from the files.
+
+    Executors may be lost at any later point; only files are read again then.
+    """
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan out over all cores.
+
+    For work that multiplies rows. A scan that already has a split per core, as
+    any large one does, is left alone. Pass only what is read from files as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -1,8 +1,8 @@
 from itertools import combinations
 
-import pytest
 from conftest import rows
 
+from tablekin.operators import cells as C
 from tablekin.operators import overlap as O
 from tablekin.operators import peers as P
 from tablekin.operators import rows as R
@@ -13,8 +13,7 @@ L_NAMES, R_NAMES = ("a", "b", "c", "d"), ("x", "y", "z")
 
 
 def tables(spark, part_rows):
-    left = spark.createDataFrame(LEFT, "a bigint, b bigint, c bigint, d bigint")
-    right = spark.createDataFrame(RIGHT, "x bigint, y bigint, z bigint")
+    left, right = frames(spark)
     return (
         R.Side.of(left, "a", part_rows=part_rows),
         R.Side.of(right, "x", part_rows=part_rows),
@@ -39,10 +38,16 @@ def peers_of(pairs):
     ]
 
 
-@pytest.mark.parametrize("part_rows", [10**6, 4])
-def test_overlap_equals_listed_row_pairs(spark, part_rows):
-    left, right = tables(spark, part_rows)
-    pairs = O.pair_overlap(left.sets, right.sets)
+def frames(spark):
+    return (
+        spark.createDataFrame(LEFT, "a bigint, b bigint, c bigint, d bigint"),
+        spark.createDataFrame(RIGHT, "x bigint, y bigint, z bigint"),
+    )
+
+
+def test_overlap_equals_listed_row_pairs(spark):
+    left, right = frames(spark)
+    pairs = O.pair_overlap(C.value_sets(left), C.value_sets(right))
     found = P.peer_row_overlap(left, right, pairs).collect()
     by_pair = listed()
     expected = {(*p, *q): len(by_pair[p] & by_pair[q]) for p, q in peers_of(by_pair)}
@@ -50,6 +55,20 @@ def test_overlap_equals_listed_row_pairs(spark, part_rows):
     assert rows(P.peer_pairs(pairs)) == sorted(expected)
 
 
+def test_no_pairs_no_peers(spark):
+    left, right = frames(spark)
+    none = spark.createDataFrame([], "l_col string, r_col string")
+    assert P.peer_row_overlap(left, right, none).collect() == []
+
+
+def test_empty_cells_agree_with_nothing(spark):
+    left = spark.createDataFrame([(1, ""), (1, "q"), (None, "q")], "a int, b string")
+    right = spark.createDataFrame([(1, ""), (1, "q"), (None, "q")], "x int, y string")
+    pairs = O.pair_overlap(C.value_sets(left), C.value_sets(right))
+    found = P.peer_row_overlap(left, right, pairs)
+    assert [tuple(r) for r in found.collect()] == [("a", "x", "b", "y", 1)]
+
+
 def test_containment_and_score(spark):
     left, right = tables(spark, 4)
     found = {tuple(r[c] for c in P.PEER): r for r in P.peer_containment(left, right).collect()}

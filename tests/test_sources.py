@@ -224,7 +224,7 @@ def test_discovery_from_scan_to_report(spark, tmp_path):
         str(tmp_path / "job"),
     )
     direct = O.pair_overlap(C.value_sets(left), C.value_sets(right))
-    assert rows(job.overlap(), *sorted(direct.columns)) == rows(
+    assert rows(job.overlap, *sorted(direct.columns)) == rows(
         direct, *sorted(direct.columns)
     )
     assert rows(job.report(), "l_name", "r_name") == [
