@@ -166,27 +166,30 @@ def set_next(a: DataFrame, probes: DataFrame) -> DataFrame:
     """For each distinct probe ``n`` the least element not below it, or NULL.
 
     Elements are cut into blocks of 2^16, blocks into blocks of blocks and so on.
-    At each level a probe looks within its own group only: first for an element
-    not below it, then for a later block of its group. A group has at most 2^16
-    distinct members on either side whatever the data, so no sort grows with it.
+    A block looks for the next element within its own group only and else takes
+    over what its parent found. A group has at most 2^16 distinct members of either
+    kind whatever the data, so neither a sort nor a join grows with it.
     """
-    asked = probes.select(F.col("n").cast("bigint").alias("n")).distinct()
-    found = asked
-    answers = []
-    for level in range(4):
-        here = RADIX_BITS * level
-        block = F.shiftright("element", here)
-        blocks = a.groupBy(block.alias("block")).agg(F.min("element").alias("least"))
-        looked_up = asked.select(F.shiftright("n", here).alias("block")).distinct()
-        answer = f"level_{level}"
-        answers.append(answer)
-        reached = _next_in_group(blocks, looked_up, own_block=level == 0)
+    blocks = [
+        a.groupBy(F.col("element").alias("block")).agg(F.min("element").alias("least"))
+    ]
+    asked = [probes.select(F.col("n").cast("bigint").alias("block")).distinct()]
+    parent = F.shiftright("block", RADIX_BITS).alias("block")
+    for _ in range(3):
+        blocks.append(blocks[-1].groupBy(parent).agg(F.min("least").alias("least")))
+        asked.append(asked[-1].select(parent).distinct())
+    found = _next_in_group(blocks[3], asked[3], own_block=False)
+    for level in (2, 1, 0):
+        above = found.select(
+            F.col("block").alias("parent"), F.col("least").alias("least_above")
+        )
+        reached = _next_in_group(blocks[level], asked[level], own_block=level == 0)
         found = (
-            found.withColumn("block", F.shiftright("n", here))
-            .join(reached.withColumnRenamed("least", answer), "block", "left")
-            .drop("block")
+            reached.withColumn("parent", F.shiftright("block", RADIX_BITS))
+            .join(above, "parent", "left")
+            .select("block", F.coalesce("least", "least_above").alias("least"))
         )
-    return found.select("n", F.coalesce(*answers).alias("next_element"))
+    return found.select(F.col("block").alias("n"), F.col("least").alias("next_element"))
 
 
 def _next_in_group(

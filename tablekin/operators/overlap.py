@@ -51,13 +51,25 @@ def shared_values(
 
 
 def comparable(sets: DataFrame, other_sets: DataFrame) -> DataFrame:
-    """Values whose category the other side has at all, others cannot match.
+    """Values of a class and length the other side has; others cannot match.
 
-    Worth its extra look at the other side when value sets are stored: only the
-    category column is read then, and long texts drop out before the join.
+    The other side is summed up as a range of lengths for each of the four class
+    letters, so four rows are broadcast at most. Worth the extra look at it when
+    value sets are stored: only the category column is read then, and long texts
+    drop out before the join.
     """
-    categories = other_sets.select("category").distinct()
-    return sets.join(categories, "category", "left_semi").select(sets.columns)
+    letter = F.substring("category", 1, 1).alias("letter")
+    size = F.substring("category", 2, 20).cast("int")
+    ranges = other_sets.groupBy(letter).agg(
+        F.min(size).alias("shortest"), F.max(size).alias("longest")
+    )
+    inside = size.between(F.col("shortest"), F.col("longest"))
+    return (
+        sets.withColumn("letter", letter)
+        .join(F.broadcast(ranges), "letter")
+        .filter(inside)
+        .select(sets.columns)
+    )
 
 
 def row_pair_total():

@@ -90,6 +90,9 @@ def column_catalog(
 def catalog_from_tables(table_info: DataFrame, column_info: DataFrame) -> DataFrame:
     """Join stored descriptions, columns in their order; tables without any stay.
 
+    An inner join, which can split a table of very many columns, and the tables
+    left over from it.
+
     ``table_info(id, name, dumpfile)``; ``column_info(id, table_info_id, num, name,
     data_type, char_length, precision, scale)``.
     """
@@ -106,7 +109,11 @@ def catalog_from_tables(table_info: DataFrame, column_info: DataFrame) -> DataFr
         "precision",
         "scale",
     )
-    return tables.join(columns, "table_id", "left").orderBy("table_id", "num")
+    described = tables.join(columns, "table_id")
+    without = tables.join(columns.select("table_id").distinct(), "table_id", "left_anti")
+    return described.unionByName(without, allowMissingColumns=True).orderBy(
+        "table_id", "num"
+    )
 
 
 def _missing(column: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -86,7 +87,7 @@ def _n_fields(line: Column, delimiter: str) -> Column:
 
 
 def _fields(line: Column, columns: Sequence[str], delimiter: str) -> list[Column]:
-    parts = F.split(line, f"[{delimiter}]", -1)
+    parts = F.split(line, re.escape(delimiter), -1)
     return [
         F.nullif(parts[i], F.lit("")).alias(name) for i, name in enumerate(columns)
     ]

@@ -101,3 +101,13 @@ def test_a_hot_value_is_combined_before_the_shuffle(spark):
     assert rows(sets.filter("match_key = '5'")) == [("k", "P1", "5", 10001)]
     plan = sets._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_count") > plan.index("Exchange")
+
+
+def test_stored_sets_drop_what_cannot_match(spark):
+    l_sets, r_sets = sides(spark)
+    kept = O.comparable(r_sets, l_sets)
+    assert kept.filter("column_name = 'z'").count() == 0
+    columns = ("l_col", "r_col", "shared", "l_distinct", "r_distinct")
+    assert rows(O.pair_overlap(l_sets, r_sets, stored=True), *columns) == rows(
+        O.pair_overlap(l_sets, r_sets), *columns
+    )
