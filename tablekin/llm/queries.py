@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekin.llm import bpe, simhash, toxicity
+from tablekin.llm import bpe, mixing, native_sql, placement, simhash, toxicity
 from tablekin.llm.common import table
 
+#: Times that mixing may use a source's tokens.
+REPEATS = 1.25
+
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -25,9 +28,24 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.Target(repeats=REPEATS, budget=1.0)).select("doc_id", "source", "copies")
+
+
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return placement.place(docs.select("doc_id"), "doc_id", placement.names(placement.SHARDS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash_near_dedup,
+    "op6_mixing": temperature_mixing,
     "op8_token_counts": token_counts,
+    "op9_sharding": sharding,
     "op10_toxicity": toxicity_scores,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_mixing": native_sql.mixing(REPEATS, mixing.BLOCK, mixing.GRID),
+    "op9_sharding": native_sql.sharding(placement.SHARDS, placement.SLOTS),
+}
