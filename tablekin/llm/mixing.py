@@ -52,28 +52,28 @@ class Target:
             raise ValueError("give either a repetition limit or an entropy")
 
 
-def _power(share: Column, step: int) -> Column:
+def _power(share: Column, step: Column) -> Column:
     """Share to the power of an exponent less one: copies, up to a common factor."""
-    return F.pow(share, F.lit(step / GRID - 1))
+    return F.pow(share, step / GRID - 1)
 
 
 def _fits(shares: DataFrame, target: Target, steps: list[int]) -> list[bool]:
     """Whether each exponent meets the target, by one aggregate over the sources."""
-    share, found = F.col("share"), []
-    for k in steps:
-        f = _power(share, k)
-        weight = share * f
-        found += [F.min(f), F.max(f), F.sum(weight), F.sum(weight * F.log(weight))]
-    row = shares.agg(*[c.alias(f"c{i}") for i, c in enumerate(found)], F.count("*").alias("n")).first()
-    out = []
-    for i in range(len(steps)):
-        low, high, z, wlog = row[4 * i : 4 * i + 4]
+    tried = shares.select("share", F.explode(F.array(*map(F.lit, steps))).alias("step"))
+    f = _power(F.col("share"), F.col("step"))
+    weight = F.col("share") * f
+    rows = tried.groupBy("step").agg(
+        F.min(f).alias("low"), F.max(f).alias("high"), F.sum(weight).alias("z"),
+        F.sum(weight * F.log(weight)).alias("wlog"), F.count("*").alias("n"),
+    ).collect()
+    out = {}
+    for r in rows:
         if target.repeats is not None:
-            unit = low if target.budget is None else z / target.budget
-            out.append(high / unit <= target.repeats)
+            unit = r["low"] if target.budget is None else r["z"] / target.budget
+            out[r["step"]] = r["high"] / unit <= target.repeats
         else:
-            out.append(math.log(z) - wlog / z >= target.entropy * math.log(row["n"]) - 1e-12)
-    return out
+            out[r["step"]] = math.log(r["z"]) - r["wlog"] / r["z"] >= target.entropy * math.log(r["n"]) - 1e-12
+    return [out.get(k, True) for k in steps]
 
 
 def exponent(shares: DataFrame, target: Target) -> int:
@@ -121,7 +121,7 @@ def plan(docs: DataFrame, target: Target, seed: int = 7) -> DataFrame:
     total = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     shares = sources.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(max(total, 1))))
     step = exponent(shares, target) if total else GRID
-    f = _power(F.col("share"), step)
+    f = _power(F.col("share"), F.lit(step))
     unit = F.min(f) if target.budget is None else F.sum(F.col("share") * f) * F.lit(1 / target.budget)
     unit_value = shares.agg(unit).first()[0] if total else 1.0
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.lit(1)).cast("long")
