@@ -54,3 +54,25 @@ def mixing(repeats: float, block: int, grid: int, seed: int = 7) -> str:
         SELECT q.doc_id, q.source,
             (passes + CASE WHEN rest > 0 AND upto <= rest AND block_end <= last_end THEN 1 ELSE 0 END)::BIGINT AS copies
         FROM q JOIN l ON q.source IS NOT DISTINCT FROM l.source"""
+
+
+def decontamination(window: int, misses: int, least: int) -> str:
+    """Any two windows that agree in all but a few places share four words in a row."""
+    words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+    gram = "w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] || ' ' || w[p + 4]"
+    return f"""
+        WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL),
+        i AS (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        dg AS (SELECT doc_id, p, {gram} AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 3)) AS p FROM d WHERE len(w) > 3)),
+        ig AS (SELECT item_id, p AS q, {gram} AS g FROM (SELECT item_id, w, unnest(range(len(w) - 3)) AS p FROM i WHERE len(w) >= {least})),
+        h AS (SELECT DISTINCT doc_id, item_id, p - q AS lag, q - b AS q
+              FROM dg JOIN ig USING (g), range({window}) AS t(b)),
+        c AS (SELECT h.doc_id, h.item_id, h.lag + h.q AS p, least({window}, len(i.w)) AS width,
+                len(list_filter(range(least({window}, len(i.w))),
+                    lambda x: d.w[h.lag + h.q + x + 1] = i.w[h.q + x + 1])) AS matched
+              FROM h JOIN d USING (doc_id) JOIN i USING (item_id)
+              WHERE h.q >= 0 AND h.lag + h.q >= 0 AND h.q + least({window}, len(i.w)) <= len(i.w)
+                AND h.lag + h.q + least({window}, len(i.w)) <= len(d.w))
+        SELECT doc_id, item_id, max(matched)::INTEGER AS matched, min(p)::INTEGER AS first_word
+        FROM c WHERE matched >= CASE WHEN width < {window} THEN width ELSE {window - misses} END
+        GROUP BY doc_id, item_id"""
