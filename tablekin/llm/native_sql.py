@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablekin.llm import placement
+from tablekin.llm import placement, urls
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
@@ -76,3 +76,48 @@ def decontamination(window: int, misses: int, least: int) -> str:
         SELECT doc_id, item_id, max(matched)::INTEGER AS matched, min(p)::INTEGER AS first_word
         FROM c WHERE matched >= CASE WHEN width < {window} THEN width ELSE {window - misses} END
         GROUP BY doc_id, item_id"""
+
+
+def url_verdicts(rules: tuple[urls.Rule, ...], tree: urls.Tree) -> str:
+    """The template tree with one block of subqueries a level."""
+    fits = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+    order = sorted(rules, key=lambda r: -len(r.text))
+    pick = {
+        k: "CASE " + " ".join(f"WHEN {fits.format(r.host, r.path)} THEN '{getattr(r, k)}'" for r in order) + " END"
+        for k in ("text", "verdict")
+    }
+    levels = ""
+    for k in range(tree.levels + 1):
+        last = f"array_to_string(pieces[{k + 1}:], '/')" if k == tree.levels else f"pieces[{k + 1}]"
+        levels += f"""
+        a{k} AS (SELECT *, CASE WHEN len(pieces) > {k} THEN {last} END AS piece FROM n{k}),
+        c{k} AS (SELECT host, node, piece, sum(n) AS n, sum(labels) AS labels, sum(blocked) AS blocked
+                 FROM a{k} WHERE piece IS NOT NULL GROUP BY ALL),
+        w{k} AS (SELECT *, sum(labels) OVER (PARTITION BY host, node) AS al, sum(blocked) OVER (PARTITION BY host, node) AS ab FROM c{k}),
+        k{k} AS (SELECT host, node, piece FROM w{k} WHERE n >= {tree.support} AND labels > 0 AND al > labels
+                 AND abs(blocked / labels - (ab - blocked) / (al - labels))
+                     > {tree.errors} * sqrt(ab / al * (1 - ab / al) * (1 / labels + 1 / (al - labels)))),
+        m{k} AS (SELECT a.host, a.path, a.n, a.labels, a.blocked, a.pieces, a.purity, a.piece IS NOT NULL AS deeper,
+                    a.node || CASE WHEN a.piece IS NULL THEN '' WHEN k.piece IS NULL THEN '/*' ELSE '/' || k.piece END AS node
+                 FROM a{k} a LEFT JOIN k{k} k ON a.host = k.host AND a.node = k.node AND a.piece = k.piece),
+        f{k} AS (SELECT host, node, sum(labels) AS l, sum(blocked) AS b FROM m{k} WHERE deeper GROUP BY ALL),
+        n{k + 1} AS (SELECT m.host, m.path, m.n, m.labels, m.blocked, m.pieces, m.node,
+                    CASE WHEN deeper THEN (f.b + {tree.prior} * m.purity) / (f.l + {tree.prior}) ELSE m.purity END AS purity
+                 FROM m{k} m LEFT JOIN f{k} f ON m.deeper AND m.host = f.host AND m.node = f.node),"""
+    return f"""
+        WITH u AS (SELECT page_id, strpos(coalesce(url, ''), '://') AS mark, coalesce(url, '') AS url FROM pages),
+        v AS (SELECT page_id, CASE WHEN mark > 0 THEN regexp_extract(substr(url, mark + 3), '^([^/?#]*)', 1) ELSE '' END AS raw,
+                CASE WHEN mark > 0 THEN regexp_extract(substr(url, mark + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+        j AS (SELECT page_id, path, translate(raw, '{urls.UPPER}', '{urls.LOWER}') AS host FROM v),
+        r AS (SELECT *, {pick["text"]} AS rule, {pick["verdict"]} AS ruled FROM j),
+        p AS (SELECT host, path, count(*) AS n, count(ruled)::DOUBLE AS labels,
+                count(*) FILTER (ruled = 'block')::DOUBLE AS blocked FROM r GROUP BY ALL),
+        g AS (SELECT (sum(blocked) + 1) / (sum(labels) + 2) AS base FROM p),
+        n0 AS (SELECT host, path, n, labels, blocked,
+                CASE WHEN path = '' THEN []::VARCHAR[] ELSE string_split(substr(path, 2), '/') END AS pieces, '' AS node,
+                (sum(blocked) OVER (PARTITION BY host) + {tree.prior} * base)
+                    / (sum(labels) OVER (PARTITION BY host) + {tree.prior}) AS purity FROM p, g),{levels}
+        z AS (SELECT host, path, node AS template, purity FROM n{tree.levels + 1})
+        SELECT page_id, host, path, rule, template, purity,
+            coalesce(ruled, CASE WHEN purity >= {tree.threshold} THEN 'block' ELSE 'allow' END) AS verdict
+        FROM r JOIN z USING (host, path)"""

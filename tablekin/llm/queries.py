@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekin.llm import bpe, decontamination, mixing, native_sql, placement, simhash, toxicity
+from tablekin.llm import bpe, decontamination, mixing, native_sql, placement, simhash, toxicity, urls
 from tablekin.llm.common import table
 
 #: Times that mixing may use a source's tokens.
@@ -24,6 +24,10 @@ def benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -45,6 +49,7 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash_near_dedup,
     "op2_decontamination": benchmark_overlaps,
+    "op4_url_filter": url_verdicts,
     "op6_mixing": temperature_mixing,
     "op8_token_counts": token_counts,
     "op9_sharding": sharding,
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op2_decontamination": native_sql.decontamination(decontamination.WINDOW, decontamination.MISSES, 6),
+    "op4_url_filter": native_sql.url_verdicts(urls.RULES, urls.Tree()),
     "op6_mixing": native_sql.mixing(REPEATS, mixing.BLOCK, mixing.GRID),
     "op9_sharding": native_sql.sharding(placement.SHARDS, placement.SLOTS),
 }
