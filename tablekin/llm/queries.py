@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekin.llm import bpe, decontamination, mixing, native_sql, placement, simhash, toxicity, urls
+from tablekin.llm import bpe, decontamination, hnsw, mixing, native_sql, placement, simhash, toxicity, urls
 from tablekin.llm.common import table
 
 #: Times that mixing may use a source's tokens.
@@ -28,6 +28,11 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"))
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding")
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": benchmark_overlaps,
     "op4_url_filter": url_verdicts,
     "op6_mixing": temperature_mixing,
+    "op7_hnsw": nearest_neighbours,
     "op8_token_counts": token_counts,
     "op9_sharding": sharding,
     "op10_toxicity": toxicity_scores,
