@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekin.llm import bpe, decontamination, hnsw, mixing, native_sql, placement, simhash, toxicity, urls
+from tablekin.llm import bpe, decontamination, hnsw, mixing, native_sql, placement, simhash, substrings, toxicity, urls
 from tablekin.llm.common import table
 
 #: Times that mixing may use a source's tokens.
@@ -24,6 +24,11 @@ def benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return rest.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"))
 
@@ -54,6 +59,7 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash_near_dedup,
     "op2_decontamination": benchmark_overlaps,
+    "op3_substrings": repeated_passages,
     "op4_url_filter": url_verdicts,
     "op6_mixing": temperature_mixing,
     "op7_hnsw": nearest_neighbours,
