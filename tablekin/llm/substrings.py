@@ -20,112 +20,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import texts, word_blocks
+from tablekin.llm.chunks import Chunk, bucket_of, narrow, numbered, pack, rolling, runs, wide
+from tablekin.llm.common import word_blocks
 from tablekin.session import settle
 
 WIDTH = 13
 
-#: Bytes of a chunk, and bytes of text whose probes or windows meet in one bucket.
-CHUNK, PROBED, MATCHED, BUCKETS = 3 << 20, 12 << 20, 24 << 20, 64
+#: Bytes of text whose probes or windows meet in one bucket, and buckets at least.
+PROBED, MATCHED, BUCKETS = 12 << 20, 24 << 20, 64
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """``(ids, lengths, texts, size)``: consecutive documents as compressed chunks."""
+class _Repeats(Chunk):
+    """Where windows of either size stand in a chunk."""
 
-    def chunk(ids: list, held: list[bytes]) -> pa.RecordBatch:
-        joined = b"".join(held)
-        return pa.record_batch(
-            [
-                pa.array([ids], pa.list_(pa.int64())),
-                pa.array([[len(t) for t in held]], pa.list_(pa.int64())),
-                pa.array([zstandard.ZstdCompressor(level=6).compress(joined)], pa.binary()),
-                pa.array([len(joined)], pa.int64()),
-            ],
-            ["ids", "lengths", "texts", "size"],
-        )
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, size = [], [], 0
-        for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
-                ids.append(i)
-                held.append(t)
-                size += len(t) + 64
-                if size >= CHUNK:
-                    yield chunk(ids, held)
-                    ids, held, size = [], [], 0
-        if ids:
-            yield chunk(ids, held)
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    packed = rows.mapInArrow(work, "ids array<long>, lengths array<long>, texts binary, size long")
-    return packed.withColumn("chunk", F.monotonically_increasing_id())
-
-
-def _factors(n: int, lane: int) -> np.ndarray:
-    return np.random.default_rng(1000 + lane).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _rolling(words: np.ndarray, n: int, lane: int) -> np.ndarray:
-    """A hash of each ``n`` consecutive word hashes."""
-    if len(words) < n:
-        return np.empty(0, np.uint64)
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for k, factor in enumerate(_factors(n, lane)):
-        out += words[k : len(words) - n + 1 + k] * factor
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
-
-
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-
-
-class _Chunk:
-    """Words of a chunk and where windows of either size stand in it."""
-
-    def __init__(self, ids: list, lengths: list[int], packed: bytes, width: int):
-        data = zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(sum(lengths), 1))
-        self.ids, self.width, self.block = ids, width, (width + 1) // 2
-        self.texts, at = [], 0
-        for n in lengths:
-            self.texts.append(data[at : at + n])
-            at += n
-        hashes, counts = [], []
-        for t in self.texts:
-            n = 0
-            for words in word_blocks(t):
-                hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
-                n += len(words)
-            counts.append(n)
-        self.counts = np.array(counts, np.int64)
-        self.words = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.starts = np.cumsum(self.counts) - self.counts
-        self.doc = np.repeat(np.arange(len(counts)), self.counts)
-
-    def inside(self, n: int) -> np.ndarray:
-        """Positions at which ``n`` words of one document start."""
-        end = (self.starts + self.counts)[self.doc]
-        return np.flatnonzero(np.arange(len(self.words)) + n <= end)
+    def __init__(self, row: dict, width: int):
+        super().__init__(row)
+        self.width, self.block = width, (width + 1) // 2
 
     def probes(self, buckets: int) -> tuple[np.ndarray, ...]:
         """Different probes in the order they are sent: bucket and value of each, the
         number of each position's probe, its position, and whether it is hit at home."""
         at = self.inside(self.block)
-        hashes = _rolling(self.words, self.block, 0)[at]
-        bucket = _bucket(hashes, buckets)
+        hashes = rolling(self.words, self.block, 0)[at]
+        bucket = bucket_of(hashes, buckets)
         short = (bucket << np.uint64(31)) | (hashes & np.uint64(0x7FFFFFFF))
-        order = np.argsort(short, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], short[order][1:] != short[order][:-1]))) if len(order) else order
-        last = np.concatenate((first[1:], [len(order)])) - 1 if len(order) else order
-        number = np.empty(len(order), np.int64)
-        number[order] = np.repeat(np.arange(len(first)), last - first + 1)
+        order, first, number = numbered(short)
+        last = np.append(first[1:], len(order)) - 1
         is_block = np.zeros(len(first), bool)
         is_block[number[(at - self.starts[self.doc[at]]) % self.block == 0]] = True
         doc = self.doc[at][order]
@@ -144,8 +67,8 @@ class _Chunk:
         ids = np.array([-1 if i is None else i for i in self.ids], np.int64)
         named = np.array([i is not None for i in self.ids], bool)
         start = start[named[self.doc[start]]]
-        hashes = _rolling(self.words, self.width, 1)[start]
-        bucket = _bucket(_rolling(self.words, self.width, 2)[start], buckets).astype(np.int64)
+        hashes = rolling(self.words, self.width, 1)[start]
+        bucket = bucket_of(rolling(self.words, self.width, 2)[start], buckets).astype(np.int64)
         doc_id = ids[self.doc[start]]
         order = np.lexsort((doc_id, hashes, bucket))
         b, h = bucket[order], hashes[order]
@@ -166,25 +89,6 @@ class _Chunk:
             yield n, removed, b" ".join(words)
 
 
-def _parts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Bucket, begin and end of each run of equal buckets."""
-    if len(bucket):
-        cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-        yield from zip(bucket[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist())
-
-
-def _narrow(values: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers: how many have each high byte, then the low three bytes."""
-    high = np.bincount(values >> np.uint32(24), minlength=256).astype("<u4")
-    return high.tobytes() + values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-
-
-def _wide(data: bytes) -> np.ndarray:
-    high = np.repeat(np.arange(256, dtype=np.uint32), np.frombuffer(data, "<u4", 256))
-    low = np.frombuffer(data, np.uint8, offset=1024).reshape(-1, 3).astype(np.uint32)
-    return (high << np.uint32(24)) | (low[:, 2] << np.uint32(16)) | (low[:, 1] << np.uint32(8)) | low[:, 0]
-
-
 def _bits(replies: pa.Table, kind: int, bucket: np.ndarray) -> np.ndarray:
     """The bit sent back for each entry, in the order of the entries."""
     out = np.zeros(len(bucket), bool)
@@ -193,7 +97,7 @@ def _bits(replies: pa.Table, kind: int, bucket: np.ndarray) -> np.ndarray:
         for k, b, x in zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "bits")))
         if k == kind
     }
-    for b, low, high in _parts(bucket):
+    for b, low, high in runs(bucket):
         out[low:high] = np.unpackbits(np.frombuffer(said[b], np.uint8), count=high - low).astype(bool)
     return out
 
@@ -216,18 +120,15 @@ def _reply(table: pa.Table, kind: int, sizes: list[int], bits: np.ndarray) -> pa
 
 def _hits(table: pa.Table) -> pa.Table:
     """For each probe of a bucket: does it meet a block across two chunks."""
-    lists = [_wide(x) for x in table.column("probes").to_pylist()]
+    lists = [wide(x) for x in table.column("probes").to_pylist()]
     value = np.concatenate(lists)
     source = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     key = value >> np.uint32(1)
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-    last = np.concatenate((first[1:], [len(order)])) - 1
+    order, first, number = numbered(key)
+    last = np.append(first[1:], len(order)) - 1
     block = np.maximum.reduceat((value & np.uint32(1))[order], first).astype(bool)
     hit = block & (source[order][first] != source[order][last])
-    bits = np.empty(len(order), bool)
-    bits[order] = np.repeat(hit, last - first + 1)
-    return _reply(table, 1, [len(x) for x in lists], bits)
+    return _reply(table, 1, [len(x) for x in lists], hit[number])
 
 
 def _smaller(table: pa.Table) -> pa.Table:
@@ -237,12 +138,9 @@ def _smaller(table: pa.Table) -> pa.Table:
     which = [np.frombuffer(x, np.uint32) for x in table.column("which").to_pylist()]
     window = np.concatenate(lists)
     doc_id = np.concatenate([n[w] for n, w in zip(names, which)])
-    order = np.argsort(window, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], window[order][1:] != window[order][:-1])))
+    order, first, number = numbered(window)
     least = np.minimum.reduceat(doc_id[order], first)
-    bits = np.empty(len(order), bool)
-    bits[order] = np.repeat(least, np.diff(np.append(first, len(order)))) < doc_id[order]
-    return _reply(table, 2, [len(x) for x in lists], bits)
+    return _reply(table, 2, [len(x) for x in lists], least[number] < doc_id)
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -255,21 +153,21 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     repeat a doc_id do not count as each other's repeats. An empty table gives no rows.
     Further columns are ignored.
     """
-    chunks = settle(_packed(docs), "chunks")
+    chunks = settle(pack(docs), "chunks")
     size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     probed, matched = (max(BUCKETS, math.ceil(size / each)) for each in (PROBED, MATCHED))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = _Chunk(row["ids"], row["lengths"], row["texts"], width)
+                chunk = _Repeats(row, width)
                 bucket, value, *_ = chunk.probes(probed)
-                parts = list(_parts(bucket))
+                parts = list(runs(bucket))
                 yield pa.record_batch(
                     [
                         pa.array([row["chunk"]] * len(parts), pa.int64()),
                         pa.array([b for b, _, _ in parts], pa.int32()),
-                        pa.array([_narrow(value[low:high]) for _, low, high in parts], pa.binary()),
+                        pa.array([narrow(value[low:high]) for _, low, high in parts], pa.binary()),
                     ],
                     ["chunk", "bucket", "probes"],
                 )
@@ -279,13 +177,13 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def opened(group: pa.Table, said: pa.Table) -> tuple:
         row = group.to_pylist()[0]
-        chunk = _Chunk(row["ids"], row["lengths"], row["texts"], width)
+        chunk = _Repeats(row, width)
         bucket, _, number, at, home = chunk.probes(probed)
         return row["chunk"], chunk, chunk.windows(home | _bits(said, 1, bucket), number, at, matched)
 
     def window(group: pa.Table, said: pa.Table) -> pa.Table:
         name, _, (bucket, hashes, doc_id, *_) = opened(group, said)
-        parts = list(_parts(bucket))
+        parts = list(runs(bucket))
         names, which = [], []
         for _, low, high in parts:
             some, place = np.unique(doc_id[low:high], return_inverse=True)
