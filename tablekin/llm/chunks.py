@@ -130,14 +130,15 @@ def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), number
 
 
-def narrow(values: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers: how many have each high byte, then the low three bytes."""
-    high = np.bincount(values >> np.uint32(24), minlength=256).astype("<u4")
-    return high.tobytes() + values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+def narrow(values: np.ndarray, low: int = 3) -> bytes:
+    """Sorted numbers: how many have each high byte, then their ``low`` lower bytes."""
+    high = np.bincount((values >> np.uint64(8 * low)).astype(np.int64), minlength=256).astype("<u4")
+    return high.tobytes() + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].tobytes()
 
 
-def wide(data: bytes) -> np.ndarray:
+def wide(data: bytes, low: int = 3) -> np.ndarray:
     """The numbers that :func:`narrow` wrote."""
-    high = np.repeat(np.arange(256, dtype=np.uint32), np.frombuffer(data, "<u4", 256))
-    low = np.frombuffer(data, np.uint8, offset=1024).reshape(-1, 3).astype(np.uint32)
-    return (high << np.uint32(24)) | (low[:, 2] << np.uint32(16)) | (low[:, 1] << np.uint32(8)) | low[:, 0]
+    high = np.repeat(np.arange(256, dtype=np.uint64), np.frombuffer(data, "<u4", 256))
+    out = np.zeros((len(high), 8), np.uint8)
+    out[:, :low] = np.frombuffer(data, np.uint8, offset=1024).reshape(-1, low)
+    return out.view("<u8").ravel() | (high << np.uint64(8 * low))

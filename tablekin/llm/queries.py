@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekin.llm import bpe, decontamination, hnsw, mixing, native_sql, placement, simhash, substrings, toxicity, urls
+from tablekin.llm import bpe, decontamination, hnsw, mixing, native_sql, placement, scoring, simhash, substrings, toxicity, urls
 from tablekin.llm.common import table
 
 #: Times that mixing may use a source's tokens.
@@ -38,6 +38,11 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding")
 
 
+def cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return scoring.losses(table(spark, sf_dir, "documents"), good)
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": benchmark_overlaps,
     "op3_substrings": repeated_passages,
     "op4_url_filter": url_verdicts,
+    "op5_lm_scoring": cross_entropy_difference,
     "op6_mixing": temperature_mixing,
     "op7_hnsw": nearest_neighbours,
     "op8_token_counts": token_counts,

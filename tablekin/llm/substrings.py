@@ -54,7 +54,7 @@ class _Repeats(Chunk):
         doc = self.doc[at][order]
         home = is_block & (doc[first] != doc[last])
         value = ((short[order][first] & np.uint64(0x7FFFFFFF)) << np.uint64(1)) | is_block.astype(np.uint64)
-        return bucket[order][first].astype(np.int64), value.astype(np.uint32), number, at, home
+        return bucket[order][first].astype(np.int64), value, number, at, home
 
     def windows(self, hit: np.ndarray, number: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
         """Windows of full width around hits: bucket, hash and smallest doc_id of each
@@ -123,10 +123,10 @@ def _hits(table: pa.Table) -> pa.Table:
     lists = [wide(x) for x in table.column("probes").to_pylist()]
     value = np.concatenate(lists)
     source = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    key = value >> np.uint32(1)
+    key = value >> np.uint64(1)
     order, first, number = numbered(key)
     last = np.append(first[1:], len(order)) - 1
-    block = np.maximum.reduceat((value & np.uint32(1))[order], first).astype(bool)
+    block = np.maximum.reduceat((value & np.uint64(1))[order], first).astype(bool)
     hit = block & (source[order][first] != source[order][last])
     return _reply(table, 1, [len(x) for x in lists], hit[number])
 
