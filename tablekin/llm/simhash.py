@@ -89,7 +89,7 @@ def bk_links(
     All trees grow level by level at once: every key stands at one node of its tree;
     the first key to come to a (node, distance) becomes the child there, the rest go
     down to it. The rows that ask then search the trees of their shards in the same
-    way. Equal keys of a shard are expected to be one row.
+    way. Equal keys hang in a chain, at distance 0 from each other.
     """
     members = np.flatnonzero(in_tree)
     n = len(fp)
@@ -131,20 +131,33 @@ def bk_links(
     return (np.concatenate(left), np.concatenate(right)) if left else (members[:0], members[:0])
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which links join parts that the links before them left apart."""
-    parent: dict[int, int] = {}
+class Groups:
+    """Sets of identifiers that grow together."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    def top(x: int) -> int:
+    def top(self, x: int) -> int:
+        parent = self.parent
         while (p := parent.get(x, x)) != x:
             parent[x] = parent.get(p, p)
             x = p
         return x
 
-    keep = np.zeros(len(a), bool)
+    def apart(self, x: int, y: int) -> bool:
+        return self.top(x) != self.top(y)
+
+    def join(self, x: int, y: int) -> None:
+        p, q = self.top(x), self.top(y)
+        self.parent[max(p, q)] = min(p, q)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which links join parts that the links before them left apart."""
+    groups, keep = Groups(), np.zeros(len(a), bool)
     for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        if (p := top(x)) != (q := top(y)):
-            parent[max(p, q)] = min(p, q)
+        if groups.apart(x, y):
+            groups.join(x, y)
             keep[i] = True
     return keep
 
@@ -154,48 +167,50 @@ def _band(fp: Column, band: int, bands: int) -> Column:
     return F.shiftrightunsigned(F.shiftleft(fp, 64 - high), 64 - (high - low))
 
 
+def dealt(keyed: DataFrame, by: list[str], leaf: int, groups: int) -> DataFrame:
+    """Rows of shards, with shards of more than ``leaf`` rows cut into pairs of blocks.
+
+    Adds ``shard``, ``part`` (a bounded number of shards together), ``in_tree`` and
+    ``asks``: block i searches the trees of the blocks j >= i, and each pair (i, j) is
+    a shard of its own. Shards of a single row are left out. ``node`` decides the block.
+    """
+    sized = keyed.groupBy(*by).count().where("count > 1")
+    sized = sized.select(*by, F.ceil(F.col("count") / leaf).cast("int").alias("blocks"))
+    placed = keyed.join(sized, by).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shard = F.xxhash64(*by, F.least("own", "other"), F.greatest("own", "other"))
+    return placed.select(
+        *keyed.columns, shard.alias("shard"), F.pmod(shard, groups).cast("int").alias("part"),
+        (F.col("own") >= F.col("other")).alias("in_tree"), (F.col("own") <= F.col("other")).alias("asks"),
+    )
+
+
+def _found(part: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of linked rows of a part."""
+    _, shard = np.unique(part.column("shard").to_numpy(), return_inverse=True)
+    in_tree, asks = (part.column(c).to_numpy(zero_copy_only=False) for c in ("in_tree", "asks"))
+    return bk_links(shard, part.column("fp").to_numpy().view(np.uint64), in_tree, asks, radius)
+
+
 def links(nodes: DataFrame, radius: int = 3, leaf: int = LEAF) -> DataFrame:
     """``(u, v)`` links that connect every two nodes within ``radius`` bits, in steps.
 
     ``nodes`` has one row ``(node, fp)`` per different fingerprint. What is returned
     spans the same groups as all pairs would.
     """
-    spark, bands = nodes.sparkSession, radius + 1
-    n = nodes.count()
-    groups = max(4 * shuffle_partitions(spark), math.ceil(n * bands / 50_000))
-    keyed = nodes.select(
-        "node",
-        "fp",
-        F.inline(F.array(*[F.struct(F.lit(b).alias("band"), _band(F.col("fp"), b, bands).alias("value")) for b in range(bands)])),
-    )
-    large = (
-        keyed.groupBy("band", "value").count().where(F.col("count") > leaf)
-        .select("band", "value", F.ceil(F.col("count") / leaf).cast("int").alias("blocks"))
-    )
-    blocked = keyed.join(large, ["band", "value"], "left").select(
-        "node", "fp", "band", "value", F.coalesce("blocks", F.lit(1)).alias("blocks"),
-        F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int").alias("own"),
-    )
-    # Block i searches the trees of blocks j >= i; pair (i, j) is one shard of its own.
-    dealt = blocked.select(
-        "node", "fp", "band", "value", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select(
-        "node", "fp", "band", "value",
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        (F.col("own") >= F.col("other")).alias("in_tree"), (F.col("own") <= F.col("other")).alias("asks"),
-    )
-    shard = F.xxhash64("band", "value", "i", "j")
-    dealt = dealt.select("node", "fp", shard.alias("shard"), "in_tree", "asks", F.pmod(shard, groups).cast("int").alias("part"))
+    bands = radius + 1
+    groups = max(4 * shuffle_partitions(nodes.sparkSession), math.ceil(nodes.count() * bands / 50_000))
+    each = [F.struct(F.lit(b).alias("band"), _band(F.col("fp"), b, bands).alias("value")) for b in range(bands)]
+    keyed = nodes.select("node", "fp", F.inline(F.array(*each)))
 
     def work(part: pa.Table) -> pa.Table:
-        node, fp, raw = (part.column(c).to_numpy() for c in ("node", "fp", "shard"))
-        _, shard_no = np.unique(raw, return_inverse=True)
-        in_tree, asks = (part.column(c).to_numpy(zero_copy_only=False) for c in ("in_tree", "asks"))
-        a, b = bk_links(shard_no, fp.view(np.uint64), in_tree, asks, radius)
+        node = part.column("node").to_numpy()
+        a, b = _found(part, radius)
         keep = spanning(node[a], node[b])
         return pa.table({"u": node[a][keep], "v": node[b][keep]})
 
-    return dealt.groupBy("part").applyInArrow(work, "u long, v long")
+    rows = dealt(keyed, ["band", "value"], leaf, groups).select("node", "fp", "shard", "part", "in_tree", "asks")
+    return rows.groupBy("part").applyInArrow(work, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
@@ -219,6 +234,143 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     )
 
 
+_FACTORS = tuple(2 * int(x) + 1 for x in np.random.default_rng(77).integers(0, 1 << 62, 5))
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Sorted 32-bit hashes of the different shingles of a text."""
+    parts = [(h >> np.uint64(32)).astype(np.uint32) for h in shingle_hashes(text, width)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint32)
+
+
+def _sketches(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, digest, fp, least)``: a digest of the words, the fingerprint, and the
+    smallest of all shingle hashes under each of a few hash functions."""
+
+    def one(text: bytes) -> tuple[bytes, int, list[int]]:
+        digest = xxhash.xxh3_128()
+        total, ones, least = 0, np.zeros(64, np.int64), [(1 << 64) - 1] * len(_FACTORS)
+        for words in word_blocks(text.lower()):
+            digest.update(b" ".join(words) + b" ")
+        for h in shingle_hashes(text, width):
+            total += len(h)
+            ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            for k, factor in enumerate(_FACTORS):
+                mixed = h * np.uint64(factor)
+                least[k] = min(least[k], int(((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)).min()))
+        fp = int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
+        return digest.digest(), fp, least
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [one(t) for t in texts(batch.column("text"))]
+            fps = np.array([r[1] for r in rows], np.uint64).view(np.int64)
+            least = np.array([r[2] for r in rows], np.uint64).reshape(-1, len(_FACTORS)).view(np.int64)
+            yield pa.record_batch(
+                [
+                    batch.column("doc_id"),
+                    pa.array([r[0] for r in rows], pa.binary()),
+                    pa.array(fps),
+                    pa.array(least.tolist(), pa.list_(pa.int64())),
+                ],
+                ["doc_id", "digest", "fp", "least"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    return rows.mapInArrow(work, "doc_id long, digest binary, fp long, least array<long>")
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 20, leaf: int = LEAF) -> DataFrame:
+    """``(doc_id, component_id)`` of every row that has a doc_id.
+
+    Two documents link if the sets of their shingles have at least this Jaccard
+    similarity; a component is named by its smallest doc_id. Here shards are the
+    documents that share the smallest hash of their shingles under one of five hash
+    functions, which for a pair of similarity s is missed with a chance of (1 - s)^5.
+    BK-trees find the pairs of a shard within a radius that pairs of similarity 0.8
+    reach, and the shingle sets of these decide. Texts of equal words are one from the
+    start; texts without words are equal.
+    """
+    sketches = settle(_sketches(docs, width), "sketches")
+    nodes = settle(
+        sketches.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("least").alias("least")),
+        "nodes",
+    )
+    keyed = nodes.select("node", "fp", "least", F.posexplode("least").alias("slot", "value"))
+    groups = max(4 * shuffle_partitions(docs.sparkSession), math.ceil(nodes.count() / 10_000))
+
+    def near(part: pa.Table) -> pa.Table:
+        a, b = _found(part, radius)
+        rows = np.zeros(part.num_rows, bool)
+        rows[a] = rows[b] = True
+        return part.filter(pa.array(rows))
+
+    slim = dealt(keyed, ["slot", "value"], leaf, groups)
+    kept = ["node", "fp", "least", "slot", "shard", "part", "in_tree", "asks"]
+    schema = "node long, fp long, least array<long>, slot int, shard long, part int, in_tree boolean, asks boolean"
+    candidates = settle(slim.select(kept).groupBy("part").applyInArrow(near, schema), "candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, width).tobytes() for t in texts(batch.column("text"))]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.binary())], ["id", "shingles"])
+
+    wanted = candidates.select(F.col("node").alias("doc_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
+    # Of a doc_id that repeats with other texts, any one text stands for it.
+    shingles = rows.mapInArrow(sets, "id long, shingles binary")
+
+    def verify(part: pa.Table) -> pa.Table:
+        node, slot = part.column("node").to_numpy(), part.column("slot").to_numpy()
+        least = np.array(part.column("least").to_pylist(), np.int64)
+        held = [np.frombuffer(x, np.uint32) for x in part.column("shingles").to_pylist()]
+        fp = part.column("fp").to_numpy().view(np.uint64)
+        a, b = _found(part, radius)
+        # A pair that shares several keys is looked at under the first of them alone.
+        first = (least[a] == least[b]).argmax(axis=1) == slot[a] if len(a) else np.empty(0, bool)
+        sizes = np.array([len(x) for x in held], np.int64)
+        could = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
+        a, b = a[first & could & (node[a] != node[b])], b[first & could & (node[a] != node[b])]
+        order = np.argsort(np.bitwise_count(fp[a] ^ fp[b]), kind="stable")
+        joined, out = Groups(), []
+        for x, y in zip(a[order].tolist(), b[order].tolist()):
+            u, v = int(node[x]), int(node[y])
+            if joined.apart(u, v):
+                both = len(np.intersect1d(held[x], held[y], assume_unique=True))
+                if both >= similarity * (sizes[x] + sizes[y] - both):
+                    joined.join(u, v)
+                    out.append((u, v))
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+    armed = candidates.join(shingles, F.col("node") == F.col("id")).select(*kept, "shingles")
+    found = armed.groupBy("part").applyInArrow(verify, "u long, v long")
+    named = sketches.join(nodes.select("digest", "node"), "digest").select("doc_id", "node")
+    # Rows of one doc_id belong together, whatever their texts.
+    repeated = named.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"))
+    repeated = repeated.where("u <> v").select("u", "v")
+    grouped = settle(components(found.unionByName(repeated)), "components")
+    return named.join(grouped, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of similar ones left.
+
+    The smallest doc_id of a group stays, and of rows that repeat it any one. Rows
+    without a doc_id are in no group and stay.
+    """
+    grouped = settle(similar(docs, width, similarity), "similar")
+    gone = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    rest = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    twice = settle(
+        grouped.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")),
+        "repeated",
+    )
+    if not twice.head(1):
+        return rest
+    single = rest.join(twice, rest["doc_id"] == F.col("__twice"), "left_anti")
+    return single.unionByName(rest.join(twice, rest["doc_id"] == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"]))
+
+
 def hexed(fp: Column) -> Column:
     """Sixteen lower-case hex digits of a 64-bit fingerprint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
