@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablekin.llm.common import texts, word_blocks
 
@@ -32,7 +33,7 @@ NGRAMS, ROWS, DIM, SEGMENT, STEP = (3, 4, 5, 6), 1 << 18, 8, 1, 1
 TOP, PICKS = 3, 3
 
 #: Bounds of the training sample: rows of each class, and bytes of a text in it.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 20_000
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 20_000
 
 #: Standard errors that part the classes' shares of an n-gram before it first counts.
 SURE = 4.0
@@ -78,13 +79,17 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows or [none]), np.concatenate(owner or [none]), first
 
 
+def _logits(found: tuple, n: int, weight: np.ndarray, bias: float) -> np.ndarray:
+    rows, owner, first = found
+    total = np.concatenate(([0.0], np.cumsum(np.bincount(owner, weight[rows], n))))
+    number = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
+    last = np.minimum(first + SEGMENT, n)
+    return (total[last] - total[first]) / np.maximum(number[last] - number[first], 1) + bias
+
+
 def segment_logits(words: list[bytes], weight: np.ndarray, bias: float) -> np.ndarray:
     """Logit of each segment of a list of words."""
-    rows, owner, first = grams(words)
-    total = np.concatenate(([0.0], np.cumsum(np.bincount(owner, weight[rows], len(words)))))
-    number = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(words)))))
-    last = np.minimum(first + SEGMENT, len(words))
-    return (total[last] - total[first]) / np.maximum(number[last] - number[first], 1) + bias
+    return _logits(grams(words), len(words), weight, bias)
 
 
 def _highest(logits: np.ndarray) -> np.ndarray:
@@ -104,18 +109,6 @@ def probability(logit: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-class _Text:
-    """A labelled text of the sample, cut into segments."""
-
-    def __init__(self, text: bytes):
-        self.words = [w for block in word_blocks(text.lower()) for w in block]
-        self.rows, self.owner, self.first = grams(self.words) if self.words else (None, None, [])
-
-    def segment(self, k: int) -> np.ndarray:
-        begin = self.first[k]
-        return self.rows[(self.owner >= begin) & (self.owner < begin + SEGMENT)]
-
-
 def _train(bags: list[np.ndarray], label: np.ndarray, weight: np.ndarray, epochs: int, rng) -> tuple[np.ndarray, float]:
     """Embeddings and softmax by Adam on batches; returns n-gram logits and bias."""
     table = rng.normal(0, 0.1, (ROWS, DIM)).astype(np.float32)
@@ -158,15 +151,14 @@ def fit(
     have the classes in their natural shares.
     """
     rng = np.random.default_rng(seed)
-    docs = [(_Text(t), int(y)) for t, y in sample]
-    docs = [(d, y) for d, y in docs if d.words]
+    docs = [(t.lower(), int(y)) for t, y in sample if t.split()]
     label = np.array([y for _, y in docs], np.int64)
     if not len(label) or label.min() == label.max():
         share = float(label.mean()) if len(label) else 0.0
         return Model(np.zeros(ROWS, np.float32), 0.0, 0.0, float(np.log((share + 0.01) / (1.01 - share))))
     seen = np.zeros((2, ROWS))
-    for d, y in docs:
-        seen[y, np.unique(d.rows)] += 1
+    for text, y in docs:
+        seen[y, np.unique(grams(text.split())[0])] += 1
     n1, n0 = label.sum(), (1 - label).sum()
     odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
     share = seen.sum(axis=0) / (n1 + n0)
@@ -175,19 +167,22 @@ def fit(
     weight, bias = np.where(sure, odds, 0).astype(np.float32), 0.0
     for _ in range(rounds):
         bags, y, w = [], [], []
-        for d, kind in docs:
-            if len(d.rows):
-                logits = segment_logits(d.words, weight, bias)
+        for text, kind in docs:
+            words = text.split()
+            found = grams(words)
+            if len(found[0]):
+                logits = _logits(found, len(words), weight, bias)
                 picks = np.argsort(-logits, kind="stable")[:PICKS].tolist()
                 if not kind:
                     picks += rng.integers(0, len(logits), PICKS).tolist()
                 for k in picks:
-                    if len(rows := d.segment(k)):
-                        bags.append(rows)
+                    inside = (found[1] >= found[2][k]) & (found[1] < found[2][k] + SEGMENT)
+                    if inside.any():
+                        bags.append(found[0][inside].astype(np.int32))
                         y.append(kind)
                         w.append(1.0)
         weight, bias = _train(bags, np.array(y), np.array(w), epochs, rng)
-    top = np.array([_highest(segment_logits(d.words, weight, bias)).mean() for d, _ in docs])
+    top = np.array([_highest(segment_logits(text.split(), weight, bias)).mean() for text, _ in docs])
     return Model(weight, bias, *_curve(top, label, np.where(label == 1, prior[1], prior[0])))
 
 
@@ -226,20 +221,23 @@ def training_sample(
     return [(bytes(r["text"]), r["toxic"]) for r in out], tuple(prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, score)`` of every whole text; a missing one is scored as empty."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with the score of every whole text; a missing one is scored as empty.
+
+    A column that has the name of the new one is replaced.
+    """
     curve = (model.bias, model.slope, model.shift)
     kept = docs.sparkSession.sparkContext.broadcast(model.weight)
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, (bias, slope, shift) = kept.value, curve
         for batch in batches:
             top = np.array([worst(t, weight, bias) for t in texts(batch.column("text"))])
-            found = probability(slope * top + shift)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
+            found = pa.array(probability(slope * top + shift), pa.float64())
+            yield pa.record_batch([*batch.columns, found], [*batch.schema.names, name])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, score double")
+    return rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
@@ -261,7 +259,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     Repeated rows each give a row, an empty table gives none. Without labels of both
     classes all scores are the share of the one there is.
     """
-    found = score(docs, learn(docs, labels))
+    found = score(docs.select("doc_id", "text"), learn(docs, labels))
     return found.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text scores below the threshold, with all columns."""
+    scored = score(docs, learn(docs, labels), "__toxicity")
+    return scored.where(F.col("__toxicity") < threshold).drop("__toxicity")
