@@ -56,7 +56,7 @@ CATEGORY = (
 )
 KEY = (
     f"CASE WHEN {INTEGER} THEN CAST(TRY_CAST(v AS BIGINT) AS VARCHAR) "
-    f"WHEN {BYTES} <= 64 THEN v ELSE sha256(v) END"
+    f"WHEN {FLOAT} THEN v ELSE sha256(v) END"
 )
 
 
@@ -94,8 +94,7 @@ def both_sets(left: str, right: str) -> str:
         "ON l.category = r.category AND l.match_key = r.match_key), "
         "o AS (SELECT l_col, r_col, count(*) AS shared, "
         "sum(CAST(l_n AS HUGEINT) * r_n) AS row_pairs, "
-        "CAST(sum(l_n) AS BIGINT) AS l_rows, CAST(sum(r_n) AS BIGINT) AS r_rows, "
-        "string_agg(DISTINCT category, ',' ORDER BY category) AS categories "
+        "CAST(sum(l_n) AS BIGINT) AS l_rows, CAST(sum(r_n) AS BIGINT) AS r_rows "
         "FROM s GROUP BY l_col, r_col), "
         "lt AS (SELECT column_name AS l_col, count(*) AS l_distinct FROM l GROUP BY 1), "
         "rt AS (SELECT column_name AS r_col, count(*) AS r_distinct FROM r GROUP BY 1), "
@@ -109,7 +108,7 @@ def both_sets(left: str, right: str) -> str:
 def pair_overlap(left: str, right: str) -> str:
     return both_sets(left, right) + (
         "SELECT l_col, r_col, shared, CAST(row_pairs AS VARCHAR) AS row_pairs, "
-        "categories, l_distinct, r_distinct, l_ratio, r_ratio FROM p"
+        "l_distinct, r_distinct, l_ratio, r_ratio FROM p"
     )
 
 
@@ -173,6 +172,37 @@ def score(size: str) -> str:
     )
 
 
+def score_by_rows(left: str, right: str) -> str:
+    """Scores of two peers from rows numbered as they come."""
+
+    def rows(table: str, prefix: str) -> str:
+        columns = f"SELECT row_number() OVER () AS rid, * FROM {table}"
+        long = " UNION ALL ".join(
+            f"SELECT rid, '{c}' AS column_name, CAST({c} AS VARCHAR) AS v FROM t"
+            for c in COLUMNS[table]
+        )
+        return (
+            f"{prefix}k AS (WITH t AS MATERIALIZED ({columns}) SELECT rid, column_name, "
+            f"{CATEGORY} AS category, {KEY} AS match_key FROM ({long}) WHERE v <> ''), "
+            f"{prefix}m AS (SELECT DISTINCT s.l_col, s.r_col, k.rid AS row_id FROM {prefix}k k "
+            f"JOIN s ON k.column_name = s.{prefix}_col AND k.category = s.category "
+            "AND k.match_key = s.match_key)"
+        )
+
+    found = containment(left, right)
+    peers = (
+        "peers AS (SELECT a.l_col, a.r_col, b.l_col AS peer_l_col, b.r_col AS peer_r_col "
+        "FROM p a JOIN p b ON a.l_col < b.l_col AND a.r_col <> b.r_col) "
+    )
+    head = both_sets(left, right) + f", {rows(left, 'l')}, {rows(right, 'r')}, {peers}"
+    return (
+        head
+        + found[found.index(", lo AS") :]
+        + "SELECT l_col, r_col, peer_l_col, peer_r_col, l_overlap, r_overlap, "
+        f"{score('shared')} AS score, {score('peer_shared')} AS peer_score FROM c"
+    )
+
+
 def profile(table: str) -> str:
     rows = []
     for c in COLUMNS[table]:
@@ -239,9 +269,9 @@ TOKENS = (
     "SELECT v, count(*) AS c FROM (SELECT unnest(string_split(text, ' ')) AS v "
     "FROM documents) WHERE v <> '' GROUP BY v"
 )
-SCATTERED = "SELECT DISTINCT o_orderkey AS element FROM orders WHERE o_orderstatus = 'F'"
-LATE = "SELECT DISTINCT l_orderkey AS element FROM lineitem WHERE l_linestatus = 'O'"
-TWO = f"WITH a AS ({SCATTERED}), b AS ({LATE}) "
+LINE_ORDERS = "SELECT DISTINCT l_orderkey AS element FROM lineitem"
+LABELLED = "SELECT DISTINCT doc_id AS element FROM labels"
+TWO = f"WITH a AS ({LINE_ORDERS}), b AS ({LABELLED}) "
 INTERSECT = "SELECT element FROM a INTERSECT SELECT element FROM b"
 EXCEPT = "SELECT element FROM a EXCEPT SELECT element FROM b"
 UNION = "SELECT element FROM a UNION SELECT element FROM b"
@@ -332,11 +362,13 @@ def queries() -> dict[str, str]:
         for t in catalog_types
     )
     parts = (
-        "SELECT 'p_partkey' AS column_name, CAST(p_partkey AS VARCHAR) AS v FROM part "
-        "UNION ALL SELECT 'name', CASE WHEN p_name LIKE 'small %' OR p_name LIKE 'red %' "
-        "THEN '' ELSE p_name END FROM part "
-        "UNION ALL SELECT 'brand', CASE WHEN p_brand LIKE 'Brand#1%' THEN '' "
+        "SELECT 'p_name' AS column_name, CASE WHEN p_name LIKE 'small %' "
+        "OR p_name LIKE 'red %' THEN '' ELSE p_name END AS v FROM part "
+        "UNION ALL SELECT 'p_brand', CASE WHEN p_brand LIKE 'Brand#1%' THEN '' "
         "ELSE p_brand END FROM part"
+    ) + "".join(
+        f" UNION ALL SELECT '{c}', CAST({c} AS VARCHAR) FROM part"
+        for c in ("p_partkey", "p_type", "p_size", "p_retailprice")
     )
     left_ids = " ".join(
         f"WHEN '{c}' THEN {1000 + i}" for i, c in enumerate(COLUMNS["customer"], 1)
@@ -382,13 +414,11 @@ def queries() -> dict[str, str]:
         f"FROM ({sets('events')}) GROUP BY 1",
         "prototype_single_column": "SELECT category, match_key, n "
         f"FROM ({sets('lineitem', ['l_shipdate'])})",
-        "bucket_of": "SELECT column_name, "
-        "printf('%X', CAST(match_key AS BIGINT) & 255) AS bucket, "
-        f"count(*) AS distinct_keys FROM ({sets('lineitem')}) "
-        "WHERE category LIKE 'P%' GROUP BY 1, 2",
+        "bucket_of": "SELECT column_name, CASE WHEN substr(category, 1, 1) IN ('P', 'N') "
+        "THEN printf('%X', CAST(match_key AS BIGINT) & 255) END AS bucket, "
+        f"count(*) AS distinct_keys FROM ({sets('lineitem')}) GROUP BY 1, 2",
         "text_bucket_of": "SELECT column_name, count(*) AS distinct_keys, "
-        f"true AS fits_a_byte FROM ({sets('documents')}) WHERE category LIKE 'S%' "
-        "GROUP BY 1",
+        f"true AS fits_a_byte FROM ({sets('documents')}) GROUP BY 1",
         "word_split": "SELECT o_orderkey, o_orderkey >> 6 AS word_offset, "
         "CAST(o_orderkey & 63 AS INT) AS word_bit FROM orders",
         "align_ids": "SELECT o_orderkey, o_custkey, "
@@ -407,7 +437,15 @@ def queries() -> dict[str, str]:
         + "SELECT l_col, r_col, 'left' AS side, row_id FROM lm UNION ALL "
         "SELECT l_col, r_col, 'right' AS side, row_id FROM rm",
         "matched_row_counts": orders_lines + "SELECT l_col, r_col, l_rows, r_rows FROM o",
-        "fetch_matched_rows": "SELECT doc_id, lang, source, n_chars FROM documents "
+        "fetch_pair_rows": "SELECT * FROM documents WHERE doc_id IN "
+        "(SELECT doc_id FROM labels)",
+        "row_pairs_chosen": both_indexes("supplier", "customer")
+        + "SELECT * FROM rp WHERE l_col = 's_suppkey' AND r_col = 'c_custkey'",
+        "shared_per_category": orders_lines
+        + "SELECT l_col, r_col, category, count(*) AS shared, "
+        "CAST(sum(CAST(l_n AS HUGEINT) * r_n) AS VARCHAR) AS row_pairs FROM s GROUP BY ALL",
+        "discovery_from_dumps": match_report("orders", "customer", "orders", "customer"),
+        "fetch_matched_rows": "SELECT * FROM documents "
         "WHERE doc_id IN (SELECT row_id FROM "
         f"({index('documents', ['doc_id', 'lang', 'n_chars'])}) i JOIN "
         f"({sets('labels')}) s ON i.category = s.category AND i.match_key = s.match_key)",
@@ -423,6 +461,19 @@ def queries() -> dict[str, str]:
         "GROUP BY l_col, r_col, peer_l_col, peer_r_col",
         "peer_row_overlap_orders_lineitem": peer_rows_by_count("orders", "lineitem"),
         "peer_containment": containment("customer", "supplier") + "SELECT * FROM c",
+        "evidence_report": containment("customer", "supplier")
+        + f", e AS (SELECT *, {score('shared')} AS score, {score('peer_shared')} AS peer_score FROM c), "
+        "b AS (SELECT l_col, r_col, peer_l_col, peer_r_col, l_overlap, r_overlap, score, "
+        "peer_contains_pair_l, peer_contains_pair_r, pair_contains_peer_l, "
+        "pair_contains_peer_r FROM e UNION ALL SELECT peer_l_col, peer_r_col, l_col, r_col, "
+        "l_overlap, r_overlap, peer_score, pair_contains_peer_l, pair_contains_peer_r, "
+        "peer_contains_pair_l, peer_contains_pair_r FROM e) "
+        "SELECT l_col, r_col, p.shared, p.l_rows, p.r_rows, "
+        "l_col = 'c_nationkey' AND r_col = 's_nationkey' AS true_positive, "
+        "b.* EXCLUDE (l_col, r_col), CASE WHEN peer_l_col IS NOT NULL THEN "
+        "peer_l_col = 'c_nationkey' AND peer_r_col = 's_nationkey' END AS peer_true_positive "
+        "FROM p LEFT JOIN b USING (l_col, r_col)",
+        "peer_score_orders_lineitem": score_by_rows("orders", "lineitem"),
         "peer_score": containment("customer", "supplier")
         + "SELECT l_col, r_col, peer_l_col, peer_r_col, l_overlap, r_overlap, "
         f"{score('shared')} AS score, {score('peer_shared')} AS peer_score FROM c",
@@ -438,7 +489,8 @@ def queries() -> dict[str, str]:
         "o_orderpriority AS column_name, o_orderstatus AS data_type "
         "FROM customer LEFT JOIN orders ON o_custkey = c_custkey",
         "catalog_checks": "WITH t AS (SELECT doc_id AS id, nullif(lang, 'en') AS name, "
-        "CASE WHEN n_chars > 500 THEN source END AS dumpfile FROM documents), "
+        "CASE WHEN n_chars > 500 THEN source END AS dumpfile, "
+        "nullif(source, 'src0') AS source_id FROM documents), "
         "c AS (SELECT CASE WHEN toxic = 0 THEN doc_id END AS id, "
         "doc_id * 2 AS table_info_id, CAST(quality AS VARCHAR) AS name FROM labels), "
         "tl AS (SELECT *, 'table ' || coalesce(CAST(id AS VARCHAR), '?') || ':' || "
@@ -450,6 +502,7 @@ def queries() -> dict[str, str]:
         "SELECT 'dump file', label FROM tl WHERE coalesce(dumpfile, '') = '' UNION ALL "
         "SELECT 'table columns', label FROM tl WHERE id NOT IN "
         "(SELECT table_info_id FROM c) UNION ALL "
+        "SELECT 'table source', label FROM tl WHERE source_id IS NULL UNION ALL "
         "SELECT 'column id', label FROM cl WHERE id IS NULL UNION ALL "
         "SELECT 'column table', label FROM cl WHERE table_info_id NOT IN "
         "(SELECT id FROM t)",
@@ -463,10 +516,12 @@ def queries() -> dict[str, str]:
         "FROM (SELECT unnest(string_split(text, chr(10))) AS v FROM conversations)) "
         "WHERE n_fields <> 12 GROUP BY 1",
         "typed_load": "SELECT o_orderkey AS row_id, o_custkey, "
-        "CASE WHEN length(o_orderstatus) <= 1 THEN o_orderstatus END AS o_orderstatus, "
-        "o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, "
-        "CASE WHEN length(o_orderpriority) <= 8 THEN o_orderpriority END "
-        "AS o_orderpriority FROM orders",
+        "o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, "
+        "o_orderpriority FROM orders",
+        "load_rejects": "SELECT o_orderkey AS row_id, 'o_orderpriority' AS column_name, "
+        "o_orderpriority AS value, 'length' AS rule FROM orders "
+        "WHERE length(o_orderpriority) > 8 UNION ALL SELECT o_orderkey, 'o_orderstatus', "
+        "o_orderstatus, 'length' FROM orders WHERE length(o_orderstatus) > 1",
         "hashed_projection": hashed_orders,
         "value_set_store": sets("orders"),
         "value_index_store": index("customer"),
@@ -474,8 +529,7 @@ def queries() -> dict[str, str]:
         + "SELECT * FROM s WHERE l_col = 'o_orderkey' AND r_col = 'l_orderkey'",
         "set_build": "SELECT DISTINCT l_suppkey AS element FROM lineitem",
         "set_cardinality": "SELECT count(DISTINCT l_suppkey) AS cardinality FROM lineitem",
-        "set_contains": "SELECT n, n IN (SELECT o_orderkey FROM orders "
-        "WHERE o_orderstatus = 'F') AS present "
+        "set_contains": "SELECT n, n IN (SELECT l_orderkey FROM lineitem) AS present "
         "FROM (SELECT DISTINCT l_orderkey AS n FROM lineitem)",
         "set_intersect": TWO + INTERSECT,
         "set_difference": TWO + EXCEPT,
@@ -505,14 +559,14 @@ def queries() -> dict[str, str]:
         "set_emptiness": "SELECT count(*) = 0 AS is_empty, count(*) > 0 AS has_any FROM "
         "(SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)",
         "set_all": has_all("SELECT DISTINCT p_partkey AS element FROM part"),
-        "set_all_scattered": has_all(SCATTERED),
+        "set_all_scattered": has_all(LINE_ORDERS),
         "set_complement": "SELECT g AS element FROM (SELECT unnest(generate_series(1, "
-        "(SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'F'))) AS g) "
-        f"WHERE g NOT IN (SELECT element FROM ({SCATTERED}))",
+        "(SELECT max(l_orderkey) FROM lineitem))) AS g) "
+        f"WHERE g NOT IN (SELECT element FROM ({LINE_ORDERS}))",
         "set_next": "SELECT o_orderkey AS n, (SELECT min(element) FROM "
-        f"({SCATTERED}) WHERE element >= o_orderkey) AS next_element FROM orders",
-        "set_elements": SCATTERED,
-        "set_point_updates": f"WITH a AS ({SCATTERED}), u AS (SELECT c_custkey AS element, "
+        f"({LINE_ORDERS}) WHERE element >= o_orderkey) AS next_element FROM orders",
+        "set_elements": LINE_ORDERS,
+        "set_point_updates": f"WITH a AS ({LINE_ORDERS}), u AS (SELECT c_custkey AS element, "
         "CASE c_mktsegment WHEN 'BUILDING' THEN 'set' WHEN 'MACHINERY' THEN 'clear' "
         "ELSE 'flip' END AS op FROM customer) "
         "SELECT element FROM a WHERE element NOT IN "
@@ -521,15 +575,15 @@ def queries() -> dict[str, str]:
         "SELECT element FROM u WHERE op = 'flip' AND element NOT IN "
         "(SELECT element FROM a)",
         "set_storage_size": "SELECT 4 + 16 * count(DISTINCT element >> 6) "
-        f"AS storage_bytes FROM ({SCATTERED})",
-        "bitmap_encode": words(SCATTERED),
-        "bitmap_cardinality": f"SELECT count(*) AS cardinality FROM ({SCATTERED})",
-        "bitmap_pages": f"SELECT count(*) AS cardinality FROM ({SCATTERED})",
+        f"AS storage_bytes FROM ({LINE_ORDERS})",
+        "bitmap_encode": words(LINE_ORDERS),
+        "bitmap_cardinality": f"SELECT count(*) AS cardinality FROM ({LINE_ORDERS})",
+        "bitmap_pages": f"SELECT count(*) AS cardinality FROM ({LINE_ORDERS})",
         "bitmap_and": two_words(INTERSECT),
         "bitmap_andnot": two_words(EXCEPT),
         "bitmap_or": two_words(UNION),
         "bitmap_xor": two_words(SYMMETRIC),
         "trailing_zeros": "SELECT element >> 6 AS word_offset, "
         "min(element) AS first_element, CAST(count(*) AS INT) AS n_elements "
-        f"FROM ({SCATTERED}) GROUP BY 1",
+        f"FROM ({LINE_ORDERS}) GROUP BY 1",
     }

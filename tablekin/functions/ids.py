@@ -25,8 +25,8 @@ def row_pair_key(l_id: Column, r_id: Column, l_row: Column, r_row: Column) -> Co
 
 
 def qualified_name(schema: Column | None, table: Column, column: Column) -> Column:
-    """``schema.table.column``, the schema being left out when absent or empty."""
-    table = F.coalesce(F.nullif(table, F.lit("")), F.lit("Table name is not defined"))
+    """``schema.table.column``; a part that is absent or empty is left out."""
+    table = F.nullif(table, F.lit(""))
     if schema is None:
         return F.concat_ws(".", table, column)
     return F.concat_ws(".", F.nullif(schema, F.lit("")), table, column)

@@ -8,10 +8,8 @@ value class followed by the byte length of the text.
 ``S``          anything else
 
 Within a category cells are equal when their *match key* is equal. The key of an
-integer is its canonical decimal text, so ``07`` and ``+7`` agree. Every other
-key is the text itself, or its SHA-256 when the text is longer than
-``MAX_RAW_KEY_BYTES``. The length is part of the category, so raw and hashed keys
-never meet.
+integer is its canonical decimal text, so ``07`` and ``+7`` agree. The key of a float
+is its text, and that of any other text its SHA-256, whatever its length.
 """
 
 from __future__ import annotations
@@ -20,8 +18,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_RAW_KEY_BYTES = 64
-
 # Fixed patterns of the integer and float texts that are recognised.
 INTEGER_TEXT = r"\A[+-]?[0-9]+\z"
 FLOAT_TEXT = r"\A[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z"
@@ -59,18 +55,16 @@ def value_category(text: Column) -> Column:
     return F.when(text != "", F.concat(letter, F.octet_length(text)))
 
 
-def raw_key(text: Column) -> Column:
-    """Key of a text that is not an integer."""
-    return F.when(F.octet_length(text) <= MAX_RAW_KEY_BYTES, text).otherwise(
-        F.sha2(text, 256)
-    )
+def text_key(text: Column) -> Column:
+    """Key of a text that is no number: its digest."""
+    return F.sha2(text, 256)
 
 
 def match_key(text: Column) -> Column:
     """What must agree, next to the category, for two cells to match."""
-    return F.when(
-        text != "", F.coalesce(integer_value(text).cast("string"), raw_key(text))
-    )
+    number = integer_value(text).cast("string")
+    other = F.when(float_value(text).isNotNull(), text).otherwise(text_key(text))
+    return F.when(text != "", F.coalesce(number, other))
 
 
 def typed_category(value: Column, data_type: T.DataType) -> Column:
@@ -92,18 +86,10 @@ def typed_category(value: Column, data_type: T.DataType) -> Column:
 def typed_match_key(value: Column, data_type: T.DataType) -> Column:
     """``match_key(cast(value AS STRING))`` with the class read off the type."""
     text = value.cast("string")
-    if isinstance(
-        data_type,
-        (
-            T.IntegralType,
-            T.FloatType,
-            T.DoubleType,
-            T.DateType,
-            T.TimestampType,
-            T.TimestampNTZType,
-        ),
-    ):
+    if isinstance(data_type, (T.IntegralType, T.FloatType, T.DoubleType)):
         return text
+    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return text_key(text)
     return match_key(text)
 
 

@@ -126,47 +126,46 @@ def _double_lane(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def _temporal_lane(spark_type: str):
     def lane(df: DataFrame, names: Sequence[str]) -> DataFrame:
         found = _unpivoted(df, names, spark_type).filter("value IS NOT NULL")
-        return _fixed_class(
-            _counted(found, "value"), F.col("value").cast("string"), "S"
-        )
+        text = F.col("value").cast("string")
+        return _fixed_class(_counted(found, "value"), text, "S")
 
     return lane
 
 
 def _fixed_class(counted: DataFrame, text: Column, letter: str) -> DataFrame:
-    keyed = counted.select("column_name", text.alias("match_key"), "n")
-    category = F.concat(F.lit(letter), F.octet_length("match_key"))
+    keyed = counted.select("column_name", text.alias("text"), "n")
+    key = V.text_key(F.col("text")) if letter == "S" else F.col("text")
+    category = F.concat(F.lit(letter), F.octet_length("text"))
     return keyed.select(
-        "column_name", category.alias("category"), "match_key", "n"
+        "column_name", category.alias("category"), key.alias("match_key"), "n"
     )
 
 
 def _text_lane(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Integers are recognised before the grouping, since ``07`` and ``+7`` merge;
-    telling floats from other texts waits until each text is there only once.
-    Long texts are hashed before they are shuffled, their class being settled
-    first."""
-    text, number = F.col("value"), F.col("number")
-    size = F.octet_length("value")
-    is_long = size > V.MAX_RAW_KEY_BYTES
-    letter = F.when(number.isNotNull(), V.sign_class(number)).when(
-        is_long, V.text_class(text)
-    )
+    """Keys are made before the grouping: ``07`` and ``+7`` merge there, and of a
+    text only its digest is shuffled, however long it is."""
+    text, number, letter = F.col("value"), F.col("number"), F.col("letter")
+    other = F.when(letter == "F", text).otherwise(V.text_key(text))
     keyed = (
         _unpivoted(df, names, "string")
         .filter("value <> ''")
         .withColumn("number", V.integer_value(text))
+        .withColumn(
+            "letter",
+            F.when(number.isNotNull(), V.sign_class(number)).otherwise(
+                V.text_class(text)
+            ),
+        )
         .select(
             "column_name",
-            letter.alias("letter"),
-            size.alias("size"),
-            F.coalesce(number.cast("string"), V.raw_key(text)).alias("match_key"),
+            "letter",
+            F.octet_length("value").alias("size"),
+            F.coalesce(number.cast("string"), other).alias("match_key"),
         )
     )
-    settled = F.coalesce("letter", V.text_class(F.col("match_key")))
     return _counted(keyed, "letter", "size", "match_key").select(
         "column_name",
-        F.concat(settled, F.col("size")).alias("category"),
+        F.concat("letter", F.col("size")).alias("category"),
         "match_key",
         "n",
     )
@@ -190,7 +189,7 @@ def _raw_text_lane(df: DataFrame, names: Sequence[str]) -> DataFrame:
         .select(
             "column_name",
             F.octet_length("value").alias("size"),
-            V.raw_key(text).alias("match_key"),
+            V.text_key(text).alias("match_key"),
         )
     )
     return _counted(keyed, "size", "match_key")

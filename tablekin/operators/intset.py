@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablekin.functions import words as W
 
@@ -19,9 +20,19 @@ RADIX_BITS = 16
 
 
 def set_build(df: DataFrame, column: str) -> DataFrame:
-    """The distinct non-null integers of a column."""
-    element = F.col(column).cast("bigint").alias("element")
-    return df.select(element).filter("element IS NOT NULL").distinct()
+    """The distinct non-null integers of a column.
+
+    A value that is no whole number, or a negative one, is an error.
+    """
+    value = F.col(column)
+    whole = value.try_cast("bigint")
+    fits = whole.isNotNull() & (whole >= 0)
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        fits = fits & (value.try_cast("decimal(38,10)") == whole)
+    message = F.concat(F.lit("not a non-negative integer: "), value.cast("string"))
+    element = F.when(F.coalesce(fits, F.lit(False)), whole).otherwise(F.raise_error(message))
+    known = df.select(column).filter(value.isNotNull())
+    return known.select(element.alias("element")).distinct()
 
 
 def _membership(a: DataFrame, b: DataFrame) -> DataFrame:

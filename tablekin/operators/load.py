@@ -13,41 +13,76 @@ from tablekin.operators.cells import quoted, scalar_columns
 TEXT_TYPES = ("CHAR", "VARCHAR", "VARCHAR2")
 NUMBER_TYPES = ("NUMBER", "NUMERIC")
 DATE_TYPES = ("DATE", "DATETIME")
-DATE_TEXT_LENGTH = 30
 
 
-def _text(value: Column, length: int | None) -> Column:
-    if length is None:
-        return value
-    return F.when(F.char_length(value) <= length, value)
+def _spec(column: Row | dict) -> tuple[dict, str]:
+    spec = column.asDict() if isinstance(column, Row) else dict(column)
+    return spec, (spec.get("data_type") or "").upper()
 
 
 def declared_cast(value: Column, column: Row | dict) -> Column:
-    """Cast a text to a declared type, NULL where it does not fit.
+    """Cast a text to a declared type; what is no such number becomes NULL.
 
-    Dates stay text of at most ``DATE_TEXT_LENGTH`` characters.
+    Texts and dates stay text, whole even where they are longer than declared.
     """
-    spec = column.asDict() if isinstance(column, Row) else dict(column)
-    data_type = (spec.get("data_type") or "").upper()
-    if data_type in TEXT_TYPES:
-        return _text(value, spec.get("char_length"))
+    spec, data_type = _spec(column)
+    if data_type in TEXT_TYPES or data_type in DATE_TYPES:
+        return value
     if data_type in NUMBER_TYPES:
         precision, scale = spec.get("precision") or 38, spec.get("scale") or 0
         return value.try_cast(f"decimal({precision},{scale})")
-    if data_type in DATE_TYPES:
-        return _text(value, DATE_TEXT_LENGTH)
     raise ValueError(f"no rule for declared type {data_type!r}")
 
 
+def broken_rule(value: Column, column: Row | dict) -> Column:
+    """The rule of its declared type that a text breaks, NULL if none."""
+    spec, data_type = _spec(column)
+    if data_type in NUMBER_TYPES:
+        fails = value.isNotNull() & declared_cast(value, column).isNull()
+        return F.when(fails, "number")
+    if data_type in TEXT_TYPES and spec.get("char_length") is not None:
+        return F.when(F.char_length(value) > spec["char_length"], "length")
+    return F.lit(None).cast("string")
+
+
+def _texts(columns: Sequence[Row | dict]) -> list[tuple[Row | dict, Column]]:
+    return [(c, F.nullif(quoted(c["name"]), F.lit(""))) for c in columns]
+
+
 def typed_load(
+    df: DataFrame, row_id: str, columns: Sequence[Row | dict], strict: bool = True
+) -> DataFrame:
+    """Row number and one column per declared type, named as declared.
+
+    A value that does not fit its type is an error. Without ``strict`` an overlong
+    text is kept as it is and a failed number is NULL; ``load_rejects`` lists both.
+    """
+    made = []
+    for column, text in _texts(columns):
+        value, rule = declared_cast(text, column), broken_rule(text, column)
+        if strict:
+            message = F.concat(
+                F.lit(f"{column['name']} breaks the rule of its "), rule, F.lit(": "), text
+            )
+            value = F.when(rule.isNull(), value).otherwise(F.raise_error(message))
+        made.append(value.alias(column["name"]))
+    return df.select(quoted(row_id).alias("row_id"), *made)
+
+
+def load_rejects(
     df: DataFrame, row_id: str, columns: Sequence[Row | dict]
 ) -> DataFrame:
-    """Row number and one column per declared type, named as declared."""
-    cast = [
-        declared_cast(F.nullif(quoted(c["name"]), F.lit("")), c).alias(c["name"])
-        for c in columns
+    """Values that do not fit: ``(row_id, column_name, value, rule)``."""
+    judged = [
+        F.struct(
+            F.lit(c["name"]).alias("column_name"),
+            text.alias("value"),
+            broken_rule(text, c).alias("rule"),
+        )
+        for c, text in _texts(columns)
     ]
-    return df.select(quoted(row_id).alias("row_id"), *cast)
+    long = df.select(quoted(row_id).alias("row_id"), F.inline(F.array(*judged)))
+    return long.filter("rule IS NOT NULL")
 
 
 def hashed_projection(

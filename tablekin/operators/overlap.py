@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablekin.functions.ids import coverage, pair_id, qualified_name
+from tablekin.session import settle
 
 
 def _side(sets: DataFrame, prefix: str) -> DataFrame:
@@ -93,23 +94,34 @@ def pair_overlap(
     ``shared`` counts the common keys over all categories; the ratios divide it
     by the distinct keys of the left and of the right column. ``row_pairs`` is
     the number of (left row, right row) pairs that agree on the two columns.
-    ``stored`` tells that the sets are read from files rather than computed.
+    The sets are used for the join and for the totals. They are written once first,
+    so both read files, whatever columns are asked for; ``stored`` tells that the
+    sets are files already.
     """
-    left, right = l_sets, r_sets
-    if stored:
-        left, right = comparable(l_sets, r_sets), comparable(r_sets, l_sets)
+    if not stored:
+        l_sets, r_sets = settle(l_sets, "sets"), settle(r_sets, "sets")
+    left, right = comparable(l_sets, r_sets), comparable(r_sets, l_sets)
     found = (
         shared_values(left, right)
         .groupBy("l_col", "r_col")
         .agg(
-            F.count(F.lit(1)).alias("shared"),
-            row_pair_total().alias("row_pairs"),
-            F.sort_array(F.collect_set("category")).alias("categories"),
+            F.count(F.lit(1)).alias("shared"), row_pair_total().alias("row_pairs")
         )
     )
     return with_coverage(found, l_sets, r_sets)
 
 
+def shared_per_category(l_sets: DataFrame, r_sets: DataFrame) -> DataFrame:
+    """Shared values and their row pairs per column pair and category."""
+    return (
+        shared_values(l_sets, r_sets)
+        .groupBy("l_col", "r_col", "category")
+        .agg(
+            F.count(F.lit(1)).alias("shared"), row_pair_total().alias("row_pairs")
+        )
+    )
+
+
 def with_coverage(
     pairs: DataFrame, l_sets: DataFrame, r_sets: DataFrame
 ) -> DataFrame:
@@ -155,9 +167,9 @@ def candidate_pairs(
     spark: SparkSession, l_columns: Sequence[str], r_columns: Sequence[str]
 ) -> DataFrame:
     """Every left column with every right column, from the two column lists."""
-    return spark.createDataFrame(
-        [(a, b) for a in l_columns for b in r_columns], "l_col string, r_col string"
-    )
+    left = spark.createDataFrame([(c,) for c in l_columns], "l_col string")
+    right = spark.createDataFrame([(c,) for c in r_columns], "r_col string")
+    return left.crossJoin(right)
 
 
 def scored_candidates(candidates: DataFrame, pairs: DataFrame) -> DataFrame:

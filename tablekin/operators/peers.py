@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablekin.functions import values as V
 from tablekin.operators.cells import quoted
-from tablekin.operators.overlap import shared_values
+from tablekin.operators.overlap import shared_values, truth_flag
 from tablekin.operators.rows import Side, side_rows
+from tablekin.session import settle
 
 PEER = ["l_col", "r_col", "peer_l_col", "peer_r_col"]
 
@@ -17,8 +20,6 @@ def peer_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs that have neither their left nor their right column in common.
 
     Each two of them come once, the alphabetically first left column leading.
-    ``pairs`` holds at most left columns times right columns rows, a size the
-    schemas set, so it may be broadcast.
     """
     first = pairs.select("l_col", "r_col")
     second = pairs.select(
@@ -27,75 +28,103 @@ def peer_pairs(pairs: DataFrame) -> DataFrame:
     apart = (F.col("l_col") < F.col("peer_l_col")) & (
         F.col("r_col") != F.col("peer_r_col")
     )
-    return first.join(F.broadcast(second), apart)
-
-
-def _listed_peers(pairs: DataFrame) -> list[tuple[str, str, str, str]]:
-    """The peers as a list on the driver; their number is set by the schemas."""
-    listed = sorted(tuple(row) for row in pairs.select("l_col", "r_col").collect())
-    return [
-        (*first, *second)
-        for first in listed
-        for second in listed
-        if first[0] < second[0] and first[1] != second[1]
-    ]
+    return first.join(second, apart)
 
 
 def _two_column_keys(
-    df: DataFrame, couples: list[tuple[str, str]], prefix: str
+    df: DataFrame, names: list[str], couples: DataFrame, prefix: str
 ) -> DataFrame:
-    """Distinct keys of each couple of columns, with the number of rows that have them.
+    """Keys of each wanted couple of columns, one row per source row that has both.
 
-    Only columns that occur in a couple are read. Equal keys are combined before
-    they are shuffled, so frequent ones cost nothing extra.
+    ``couples`` is one row with an array ``couples`` of ``(couple, first, second)``,
+    the latter two being places in ``names``. Only these columns are read.
     """
-    names = sorted({name for couple in couples for name in couple})
-    place = {name: i for i, name in enumerate(names)}
     keys = []
-    for name, i in place.items():
+    for name in names:
         value, data_type = quoted(name), df.schema[name].dataType
-        key = F.concat(
-            V.typed_category(value, data_type),
-            F.lit("|"),
-            V.typed_match_key(value, data_type),
-        )
-        keys.append(key.alias(f"k{i}"))
+        category = V.typed_category(value, data_type)
+        key = V.typed_match_key(value, data_type)
+        keys.append(F.concat(category, F.lit("|"), key))
     columns = [f"{prefix}_couple", f"{prefix}_key", f"peer_{prefix}_key"]
-    combined = [
-        F.struct(
-            F.lit(number).alias(columns[0]),
-            F.col(f"k{place[first]}").alias(columns[1]),
-            F.col(f"k{place[second]}").alias(columns[2]),
-        )
-        for number, (first, second) in enumerate(couples)
-    ]
+    wanted = F.transform(
+        "couples",
+        lambda c: F.struct(
+            c["couple"].alias(columns[0]),
+            F.get("keys", c["first"]).alias(columns[1]),
+            F.get("keys", c["second"]).alias(columns[2]),
+        ),
+    )
+    has_both = F.col(columns[1]).isNotNull() & F.col(columns[2]).isNotNull()
     return (
-        df.select(*keys)
-        .select(F.inline(F.array(*combined)))
-        .filter(F.col(columns[1]).isNotNull() & F.col(columns[2]).isNotNull())
-        .groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias(f"{prefix}_n"))
+        df.select(F.array(*keys).alias("keys"))
+        .crossJoin(F.broadcast(couples))
+        .select(F.inline(wanted))
+        .filter(has_both)
+        .withColumn(f"{prefix}_hash", F.xxhash64(*columns[1:]))
     )
 
 
+def _couples(peers: DataFrame, first: str, second: str) -> DataFrame:
+    """The different couples of one side, numbered: ``(couple, first, second)``."""
+    pair = peers.select(F.col(first).alias("first"), F.col(second).alias("second"))
+    order = Window.orderBy("first", "second")
+    return pair.distinct().withColumn("couple", F.row_number().over(order))
+
+
+def _placed(couples: DataFrame, names: list[str]) -> DataFrame:
+    """All couples as one array; they are as many as the schema allows at most."""
+    place = F.array(*[F.lit(n) for n in names])
+    at = [
+        (F.array_position(place, F.col(c)) - 1).cast("int").alias(c)
+        for c in ("first", "second")
+    ]
+    return couples.agg(F.collect_list(F.struct("couple", *at)).alias("couples"))
+
+
+#: Hashes of two-column keys that are broadcast to thin out the other table.
+MOST_HASHES = 2_000_000
+
+
 def peer_row_overlap(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     """Row pairs that agree on both column pairs, for every two peers.
 
-    Takes the two tables themselves. Row pairs are counted, never listed: rows
-    of each table are grouped by the keys they have in two columns, and equal
-    groups multiply. A group occurs once per couple of columns, so the join does
-    not grow with the frequency of a key.
+    Takes the two tables themselves; ``pairs`` should be read from files. Row pairs are
+    counted, never listed: rows of each table are grouped by the keys they have in two
+    columns, and equal groups multiply. Only couples of columns that some peers have are
+    looked at, and rows of the right table whose two keys the left table has nowhere,
+    which are nearly all, leave before they are grouped. A group occurs once per couple
+    of columns, so the join does not grow with the frequency of a key.
     """
-    spark = left.sparkSession
-    schema = ", ".join(f"{c} string" for c in PEER)
+    peers = settle(peer_pairs(pairs), "peers")
     none = F.lit(0).cast("decimal(38,0)").alias("row_pairs")
-    peers = _listed_peers(pairs)
-    if not peers:
-        return spark.createDataFrame([], schema).select(*PEER, none)
-    l_couples = sorted({(a, c) for a, _, c, _ in peers})
-    r_couples = sorted({(b, d) for _, b, _, d in peers})
-    l_keys = _two_column_keys(left, l_couples, "l")
-    r_keys = _two_column_keys(right, r_couples, "r")
+    # Column names of the two tables, which their schemas bound.
+    names = {
+        side: sorted(
+            {r[0] for r in peers.select(f"{side}_col").distinct().collect()}
+            | {r[0] for r in peers.select(f"peer_{side}_col").distinct().collect()}
+        )
+        for side in ("l", "r")
+    }
+    if not names["l"]:
+        return peers.select(*PEER, none)
+    l_couples = _couples(peers, "l_col", "peer_l_col")
+    r_couples = _couples(peers, "r_col", "peer_r_col")
+    l_rows = _two_column_keys(left, names["l"], _placed(l_couples, names["l"]), "l")
+    l_keys = settle(
+        l_rows.groupBy("l_couple", "l_key", "peer_l_key", "l_hash").agg(
+            F.count(F.lit(1)).alias("l_n")
+        ),
+        "keys",
+    )
+    r_rows = _two_column_keys(right, names["r"], _placed(r_couples, names["r"]), "r")
+    hashes = l_keys.select(F.col("l_hash").alias("r_hash")).distinct()
+    if hashes.limit(MOST_HASHES + 1).count() <= MOST_HASHES:
+        hashes = F.broadcast(hashes)
+    r_keys = (
+        r_rows.join(hashes, "r_hash", "left_semi")
+        .groupBy("r_couple", "r_key", "peer_r_key")
+        .agg(F.count(F.lit(1)).alias("r_n"))
+    )
     agree = (l_keys.l_key == r_keys.r_key) & (l_keys.peer_l_key == r_keys.peer_r_key)
     products = F.col("l_n").cast("decimal(19,0)") * F.col("r_n").cast("decimal(18,0)")
     counted = (
@@ -103,25 +132,30 @@ def peer_row_overlap(left: DataFrame, right: DataFrame, pairs: DataFrame) -> Dat
         .groupBy("l_couple", "r_couple")
         .agg(F.sum(products).cast("decimal(38,0)").alias("row_pairs"))
     )
-    numbered = spark.createDataFrame(
-        [(*p, l_couples.index(p[::2]), r_couples.index(p[1::2])) for p in peers],
-        f"{schema}, l_couple int, r_couple int",
-    )
+    numbered = peers.join(l_couples.toDF("l_col", "peer_l_col", "l_couple"), ["l_col", "peer_l_col"])
+    numbered = numbered.join(r_couples.toDF("r_col", "peer_r_col", "r_couple"), ["r_col", "peer_r_col"])
     return numbered.join(counted, ["l_couple", "r_couple"], "left").select(
         *PEER, F.coalesce("row_pairs", none).alias("row_pairs")
     )
 
 
 def _rows_in_both(rows: DataFrame, alias: str) -> DataFrame:
-    """Rows of one table that take part in two peers, counted per peers."""
-    lists = rows.groupBy("row_id").agg(
-        F.collect_list(F.struct("l_col", "r_col")).alias("pairs")
+    """Rows of one table that take part in two peers, counted per peers.
+
+    Rows that take part in the same pairs are counted together first. There are few
+    such sets of pairs, so the square of a set is made once and not once per row.
+    """
+    lists = (
+        rows.groupBy("row_id")
+        .agg(F.sort_array(F.collect_list(F.struct("l_col", "r_col"))).alias("pairs"))
+        .groupBy("pairs")
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
     first, second = F.col("first"), F.col("second")
     apart = (first["l_col"] < second["l_col"]) & (first["r_col"] != second["r_col"])
     return (
-        lists.select("pairs", F.explode("pairs").alias("first"))
-        .select("first", F.explode("pairs").alias("second"))
+        lists.select("rows", "pairs", F.explode("pairs").alias("first"))
+        .select("rows", "first", F.explode("pairs").alias("second"))
         .filter(apart)
         .groupBy(
             first["l_col"].alias("l_col"),
@@ -129,7 +163,7 @@ def _rows_in_both(rows: DataFrame, alias: str) -> DataFrame:
             second["l_col"].alias("peer_l_col"),
             second["r_col"].alias("peer_r_col"),
         )
-        .agg(F.count(F.lit(1)).alias(alias))
+        .agg(F.sum("rows").alias(alias))
     )
 
 
@@ -139,7 +173,7 @@ def peer_containment(left: Side, right: Side) -> DataFrame:
     Only peers that have rows in common on both sides are kept. Sizes and flags
     are named for the pair and for the peer, per side.
     """
-    shared = shared_values(left.sets, right.sets)
+    shared = settle(shared_values(left.sets, right.sets), "shared")
     l_rows = side_rows(left.index, shared, left.heavy, "l")
     r_rows = side_rows(right.index, shared, right.heavy, "r")
     sizes = shared.groupBy("l_col", "r_col").agg(
@@ -195,3 +229,46 @@ def peer_score(contained: DataFrame) -> DataFrame:
         seen_from("shared").alias("score"),
         seen_from("peer_shared").alias("peer_score"),
     )
+
+
+def evidence_report(
+    left: Side, right: Side, truth: Iterable[tuple[str, str]] = ()
+) -> DataFrame:
+    """What speaks for each column pair: its rows and, per peer, containment and score.
+
+    One row per pair and peer, from the pair's side, and one for a pair without peers.
+    ``truth`` names the pairs known to be true matches, which are marked on both.
+    """
+    spark = left.sets.sparkSession
+    shared = settle(shared_values(left.sets, right.sets), "shared")
+    sizes = shared.groupBy("l_col", "r_col").agg(
+        F.count(F.lit(1)).alias("shared"),
+        F.sum("l_n").alias("l_rows"),
+        F.sum("r_n").alias("r_rows"),
+    )
+    marked = settle(truth_flag(spark, sizes, truth), "marked")
+    contained = settle(peer_containment(left, right), "contained")
+    scored = contained.join(
+        peer_score(contained).select(*PEER, "score", "peer_score"), PEER
+    )
+    kept = ["l_overlap", "r_overlap"]
+    sides = ("l", "r")
+    from_pair = scored.select(
+        *PEER, *kept, "score",
+        *[f"peer_contains_pair_{s}" for s in sides],
+        *[f"pair_contains_peer_{s}" for s in sides],
+    )
+    from_peer = scored.select(
+        F.col("peer_l_col").alias("l_col"), F.col("peer_r_col").alias("r_col"),
+        F.col("l_col").alias("peer_l_col"), F.col("r_col").alias("peer_r_col"),
+        *kept, F.col("peer_score").alias("score"),
+        *[F.col(f"pair_contains_peer_{s}").alias(f"peer_contains_pair_{s}") for s in sides],
+        *[F.col(f"peer_contains_pair_{s}").alias(f"pair_contains_peer_{s}") for s in sides],
+    )
+    peer_marks = marked.select(
+        F.col("l_col").alias("peer_l_col"),
+        F.col("r_col").alias("peer_r_col"),
+        F.col("true_positive").alias("peer_true_positive"),
+    )
+    evidence = from_pair.unionByName(from_peer).join(peer_marks, PEER[2:])
+    return marked.join(evidence, ["l_col", "r_col"], "left")

@@ -1,10 +1,9 @@
 """From shared values to the rows behind them.
 
 Rows are found by joins on values, and a value may be held by a large part of a
-table. Values of more than ``PART_ROWS`` cells are therefore split over several
-tasks, the ``MAX_HEAVY`` most frequent of them, which is what bounds the list that
-is broadcast. A value that does not make the list has at most ``1 / MAX_HEAVY`` of
-all cells, less than an even share of a task.
+table. Every value of more than ``PART_ROWS`` cells is therefore split over several
+tasks. The list of such values is broadcast while it is short and joined by a shuffle
+when it is not.
 """
 
 from __future__ import annotations
@@ -14,24 +13,27 @@ from pyspark.sql import functions as F
 
 from tablekin.operators.cells import value_index, value_sets
 from tablekin.operators.overlap import shared_values
+from tablekin.session import settle
 
 PART_ROWS = 5_000_000
 BLOCK_PAIRS = 50_000_000
-MAX_HEAVY = 20_000
+FEW = 20_000
 KEY = ["column_name", "category", "match_key"]
 
 
 def heavy_values(sets: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Frequent values, with the number of ``parts`` to split the cells of each."""
     n = F.col("n")
-    return (
-        sets.filter(n > part_rows)
-        .orderBy(n.desc())
-        .limit(MAX_HEAVY)
-        .select(*KEY, F.ceil(n / part_rows).cast("int").alias("parts"))
+    return sets.filter(n > part_rows).select(
+        *KEY, F.ceil(n / part_rows).cast("int").alias("parts")
     )
 
 
+def short(listed: DataFrame) -> DataFrame:
+    """A list to join with, marked for broadcast if a look at it finds it short."""
+    return F.broadcast(listed) if listed.limit(FEW + 1).count() <= FEW else listed
+
+
 def _numbered(parts: Column) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1)
 
@@ -42,7 +44,7 @@ def hits(index: DataFrame, keys: DataFrame, heavy: DataFrame) -> DataFrame:
     The cells of a heavy value are dealt out by a hash of their row, its key
     being repeated once per piece.
     """
-    spread = F.broadcast(heavy)
+    spread = short(heavy)
     piece = F.pmod(F.xxhash64("row_id"), F.coalesce("parts", F.lit(1)).cast("bigint"))
     dealt = index.join(spread, KEY, "left").withColumn("piece", piece).drop("parts")
     pieces = _numbered(F.coalesce("parts", F.lit(1)))
@@ -85,7 +87,10 @@ def side_rows(
 
 
 class Side:
-    """What the row operators need of one table: its value index and value sets."""
+    """What the row operators need of one table: its value index and value sets.
+
+    The sets are looked at several times and should be read from files.
+    """
 
     def __init__(self, index: DataFrame, sets: DataFrame, part_rows: int = PART_ROWS):
         self.index, self.sets, self.part_rows = index, sets, part_rows
@@ -93,7 +98,8 @@ class Side:
     @classmethod
     def of(cls, df: DataFrame, row_id: str, columns=None, **options) -> Side:
         """A table whose column ``row_id`` tells its rows apart."""
-        return cls(value_index(df, row_id, columns), value_sets(df, columns), **options)
+        sets = settle(value_sets(df, columns), "sets")
+        return cls(value_index(df, row_id, columns), sets, **options)
 
     @property
     def heavy(self) -> DataFrame:
@@ -133,43 +139,52 @@ def fetch_matched_rows(
     return df.join(found, row_id, "left_semi")
 
 
-def _weight() -> Column:
-    return F.col("l_n").cast("double") * F.col("r_n").cast("double")
+def fetch_pair_rows(
+    df: DataFrame,
+    row_id: str,
+    table: Side,
+    other_sets: DataFrame,
+    column: str,
+    other_column: str,
+) -> DataFrame:
+    """Full source rows behind one column pair."""
+    own = table.sets.filter(F.col("column_name") == column)
+    other = other_sets.filter(F.col("column_name") == other_column)
+    keys = shared_on_side(own, other)
+    index = table.index.filter(F.col("column_name") == column)
+    found = hits(index, keys, table.heavy).select(F.col("row_id").alias(row_id))
+    return df.join(found, row_id, "left_semi")
+
+
+RIGHT_KEY = ["r_col", "category", "match_key"]
 
 
 def row_pair_blocks(
-    left: Side, right: Side, block_pairs: int = BLOCK_PAIRS
+    shared: DataFrame, part_rows: int = PART_ROWS, block_pairs: int = BLOCK_PAIRS
 ) -> DataFrame:
     """How to cut frequent values before listing row pairs.
 
-    A value is cut when it makes more than ``block_pairs`` row pairs, or has more
-    cells than its own side allows in one piece. ``l_parts * r_parts`` blocks of
-    row pairs result. The list is bounded like that of ``heavy_values``.
+    All left columns that share a value with a right column meet it there, so their
+    cells are added up. A value is cut when it makes more than ``block_pairs`` row
+    pairs, or has more than ``part_rows`` cells on a side; ``l_parts * r_parts`` blocks
+    of row pairs result.
     """
-    weight = _weight()
+    met = shared.groupBy(*RIGHT_KEY).agg(
+        F.sum("l_n").alias("l_n"), F.max("r_n").alias("r_n")
+    )
+    weight = F.col("l_n").cast("double") * F.col("r_n").cast("double")
     cuts = F.ceil(weight / block_pairs)
-    l_parts = F.least(F.col("l_n"), F.ceil(F.sqrt(cuts)))
-    by_output = (
-        shared_values(left.sets, right.sets)
-        .filter(weight > block_pairs)
-        .orderBy(weight.desc())
-        .limit(MAX_HEAVY)
-        .select(
-            "category",
-            "match_key",
-            l_parts.cast("int").alias("l_parts"),
-            F.least(F.col("r_n"), F.ceil(cuts / l_parts)).cast("int").alias("r_parts"),
-        )
+    l_parts = F.greatest(
+        F.least(F.col("l_n"), F.ceil(F.sqrt(cuts))), F.ceil(F.col("l_n") / part_rows)
     )
-    one = F.lit(1)
-    by_left = left.heavy.select("category", "match_key", F.col("parts"), one)
-    by_right = right.heavy.select("category", "match_key", one, F.col("parts"))
-    return (
-        by_output.union(by_left)
-        .union(by_right)
-        .groupBy("category", "match_key")
-        .agg(F.max("l_parts").alias("l_parts"), F.max("r_parts").alias("r_parts"))
+    r_parts = F.greatest(
+        F.least(F.col("r_n"), F.ceil(cuts / l_parts)), F.ceil(F.col("r_n") / part_rows)
     )
+    return met.select(
+        *RIGHT_KEY,
+        l_parts.cast("int").alias("l_parts"),
+        r_parts.cast("int").alias("r_parts"),
+    ).filter((F.col("l_parts") > 1) | (F.col("r_parts") > 1))
 
 
 def row_pairs(
@@ -182,35 +197,34 @@ def row_pairs(
 
     The result is as large as ``row_pair_count`` says, which for columns of few
     values is the product of the two tables. ``pairs`` (``l_col, r_col``) narrows
-    it to chosen column pairs; what the others have is given exactly, and in linear
-    size, by ``row_pair_count`` and ``matched_rows``.
+    it to chosen column pairs: each left cell is given the right columns it is wanted
+    for before the join, so the join makes the rows of the result and no others.
     """
-    blocks = F.broadcast(row_pair_blocks(left, right, block_pairs))
-
-    def cut(index: DataFrame, prefix: str, own: str, other: str) -> DataFrame:
+    shared = shared_values(left.sets, right.sets)
+    if pairs is not None:
+        wanted = pairs.select("l_col", "r_col")
+        shared = shared.join(wanted, ["l_col", "r_col"], "left_semi")
+    shared = settle(shared, "shared")
+    part_rows = min(left.part_rows, right.part_rows)
+    blocks = short(row_pair_blocks(shared, part_rows, block_pairs))
+    keys = shared.select(F.col("l_col").alias("column_name"), *KEY[1:], "r_col")
+
+    def cut(cells: DataFrame, row: str, own: str, other: str) -> DataFrame:
         own_parts = F.coalesce(own, F.lit(1)).cast("bigint")
         others = _numbered(F.coalesce(other, F.lit(1)))
-        return index.join(blocks, ["category", "match_key"], "left").select(
-            "category",
-            "match_key",
-            F.col("column_name").alias(f"{prefix}_col"),
-            F.col("row_id").alias(f"{prefix}_row"),
-            F.pmod(F.xxhash64("row_id"), own_parts).alias(own),
+        return cells.join(blocks, RIGHT_KEY, "left").select(
+            *[c for c in cells.columns if c not in (own, other)],
+            F.pmod(F.xxhash64(row), own_parts).alias(own),
             F.explode(others).alias(other),
         )
 
-    def of_pairs(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-        """Keep the rows that belong to ``pairs``, whose number the schemas bound."""
-        if pairs is None:
-            return df
-        wanted = pairs.select(*[F.col(c).alias(name) for c, name in columns.items()])
-        return df.join(F.broadcast(wanted), list(columns.values()), "left_semi")
-
-    l_index = of_pairs(left.index, {"l_col": "column_name"})
-    r_index = of_pairs(right.index, {"r_col": "column_name"})
-    joined = cut(l_index, "l", "l_parts", "r_parts").join(
-        cut(r_index, "r", "r_parts", "l_parts"),
-        ["category", "match_key", "l_parts", "r_parts"],
+    l_cells = hits(left.index, keys, left.heavy).select(
+        F.col("column_name").alias("l_col"), F.col("row_id").alias("l_row"), *RIGHT_KEY
+    )
+    r_cells = right.index.select(
+        F.col("column_name").alias("r_col"), F.col("row_id").alias("r_row"), *KEY[1:]
+    )
+    joined = cut(l_cells, "l_row", "l_parts", "r_parts").join(
+        cut(r_cells, "r_row", "r_parts", "l_parts"), [*RIGHT_KEY, "l_parts", "r_parts"]
     )
-    found = joined.select("l_col", "r_col", "l_row", "r_row")
-    return of_pairs(found, {"l_col": "l_col", "r_col": "r_col"})
+    return joined.select("l_col", "r_col", "l_row", "r_row")

@@ -19,7 +19,7 @@ from tablekin.operators import overlap as O
 from tablekin.operators import peers as P
 from tablekin.operators import profile as PR
 from tablekin.operators import rows as R
-from tablekin.plans.discovery import JoinDiscovery, Table
+from tablekin.plans.discovery import JoinDiscovery, Table, from_dumps
 from tablekin.session import prepare, settle, spread, work_dir
 from tablekin.sources import catalog as CT
 from tablekin.sources import dump as D
@@ -81,7 +81,6 @@ def _overlap_columns(found: DataFrame) -> DataFrame:
         "r_col",
         "shared",
         F.col("row_pairs").cast("string").alias("row_pairs"),
-        F.concat_ws(",", "categories").alias("categories"),
         "l_distinct",
         "r_distinct",
         "l_ratio",
@@ -109,16 +108,14 @@ def _parts(spark, sf_dir):
     return integers(spark, sf_dir, "part", "p_partkey")
 
 
-def _scattered(spark, sf_dir):
-    """Order keys of one status, which leaves gaps."""
-    kept = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
-    return I.set_build(kept, "o_orderkey")
+def _line_orders(spark, sf_dir):
+    """Order keys of all lines; some orders have none, which leaves gaps."""
+    return integers(spark, sf_dir, "lineitem", "l_orderkey")
 
 
-def _late(spark, sf_dir):
-    """Order keys on lines shipped late, which overlap the scattered ones."""
-    kept = table(spark, sf_dir, "lineitem").filter("l_linestatus = 'O'")
-    return I.set_build(kept, "l_orderkey")
+def _label_documents(spark, sf_dir):
+    """Keys of all labelled documents, which overlap the order keys in part."""
+    return integers(spark, sf_dir, "labels", "doc_id")
 
 
 # Column pairs -----------------------------------------------------------------
@@ -169,6 +166,14 @@ def q_common_categories(spark, sf_dir):
     )
 
 
+@query
+def q_shared_per_category(spark, sf_dir):
+    found = O.shared_per_category(
+        sets(spark, sf_dir, "orders"), sets(spark, sf_dir, "lineitem")
+    )
+    return found.withColumn("row_pairs", F.col("row_pairs").cast("string"))
+
+
 @query
 def q_shared_values(spark, sf_dir):
     return O.shared_values(
@@ -196,6 +201,19 @@ def q_join_discovery(spark, sf_dir):
     return job.report()
 
 
+@query
+def q_discovery_from_dumps(spark, sf_dir):
+    """The whole way: dumps and their descriptions, value sets, report."""
+    root = work_dir(prepare(spark), "dumps")
+    named = {n: table(spark, sf_dir, n) for n in ("orders", "customer")}
+    for name, df in named.items():
+        D.write_dump(df, f"{root}/{name}")
+    tables, columns = CT.catalog(spark, named)
+    tables = tables.withColumn("dumpfile", F.concat(F.lit(f"{root}/"), "name"))
+    columns = columns.withColumnRenamed("table_id", "table_info_id")
+    return from_dumps(spark, tables, columns, "orders", "customer").report()
+
+
 # Cells and value sets ---------------------------------------------------------
 
 
@@ -208,13 +226,14 @@ def q_cells(spark, sf_dir):
 def q_drop_empty(spark, sf_dir):
     """Cells left per column when empty ones are skipped.
 
-    Emptiness is made from the data: part names are cut at their first blank and
-    order priorities at a digit.
+    The tables have none, so some are made: names and brands that start in one way
+    are emptied.
     """
-    part = table(spark, sf_dir, "part").select(
-        "p_partkey",
-        F.regexp_replace("p_name", "^(small|red) .*", "").alias("name"),
-        F.regexp_replace("p_brand", "^Brand#1.*", "").alias("brand"),
+    part = table(spark, sf_dir, "part").withColumns(
+        {
+            "p_name": F.regexp_replace("p_name", "^(small|red) .*", ""),
+            "p_brand": F.regexp_replace("p_brand", "^Brand#1.*", ""),
+        }
     )
     found = C.cells(part, "p_partkey")
     return found.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_cells"))
@@ -285,8 +304,10 @@ def q_prototype_single_column(spark, sf_dir):
 
 @query
 def q_bucket_of(spark, sf_dir):
-    found = sets(spark, sf_dir, "lineitem").filter("category LIKE 'P%'")
-    bucket = values.bucket_of(F.col("match_key").cast("bigint")).alias("bucket")
+    """Buckets of all keys; those of integers have one, other keys none."""
+    found = sets(spark, sf_dir, "lineitem")
+    whole = F.when(F.substring("category", 1, 1).isin("P", "N"), F.col("match_key"))
+    bucket = values.bucket_of(whole.cast("bigint")).alias("bucket")
     return found.groupBy("column_name", bucket).agg(
         F.count(F.lit(1)).alias("distinct_keys")
     )
@@ -294,8 +315,8 @@ def q_bucket_of(spark, sf_dir):
 
 @query
 def q_text_bucket_of(spark, sf_dir):
-    """Text keys per column when spread over buckets and added up again."""
-    found = sets(spark, sf_dir, "documents").filter("category LIKE 'S%'")
+    """Keys per column when spread over buckets and added up again."""
+    found = sets(spark, sf_dir, "documents")
     bucket = values.text_bucket_of(F.col("match_key")).alias("bucket")
     per_bucket = found.groupBy("column_name", bucket).agg(
         F.count(F.lit(1)).alias("keys")
@@ -386,7 +407,25 @@ def q_fetch_matched_rows(spark, sf_dir):
     found = R.fetch_matched_rows(
         documents, "doc_id", kept, sets(spark, sf_dir, "labels")
     )
-    return found.select("doc_id", "lang", "source", "n_chars")
+    return found
+
+
+@query
+def q_fetch_pair_rows(spark, sf_dir):
+    """Documents behind one column pair: those whose key is a labelled one."""
+    documents = table(spark, sf_dir, "documents")
+    kept = R.Side.of(documents, "doc_id")
+    labels = sets(spark, sf_dir, "labels")
+    return R.fetch_pair_rows(documents, "doc_id", kept, labels, "doc_id", "doc_id")
+
+
+@query
+def q_row_pairs_chosen(spark, sf_dir):
+    """Row pairs of suppliers and customers by key; nations, of which the two tables
+    have few, are not wanted and not listed."""
+    left, right = side(spark, sf_dir, "supplier"), side(spark, sf_dir, "customer")
+    wanted = spark.createDataFrame([("s_suppkey", "c_custkey")], "l_col string, r_col string")
+    return R.row_pairs(left, right, pairs=wanted)
 
 
 @query
@@ -438,6 +477,25 @@ def q_peer_score(spark, sf_dir):
     )
 
 
+@query
+def q_peer_score_orders_lineitem(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    # Lines have no key of their own; their number in the table tells them apart.
+    numbered = settle(D.with_row_number(lines, "line"), "lines")
+    left = side(spark, sf_dir, "orders")
+    right = R.Side.of(numbered, "line", lines.columns)
+    return P.peer_score(P.peer_containment(left, right))
+
+
+@query
+def q_evidence_report(spark, sf_dir):
+    return P.evidence_report(
+        side(spark, sf_dir, "customer"),
+        side(spark, sf_dir, "supplier"),
+        [("c_nationkey", "s_nationkey")],
+    )
+
+
 # Profiles ---------------------------------------------------------------------
 
 
@@ -515,6 +573,7 @@ def q_catalog_checks(spark, sf_dir):
         F.col("doc_id").alias("id"),
         F.nullif("lang", F.lit("en")).alias("name"),
         F.when(F.col("n_chars") > 500, F.col("source")).alias("dumpfile"),
+        F.nullif("source", F.lit("src0")).alias("source_id"),
     )
     columns = table(spark, sf_dir, "labels").select(
         F.when(F.col("toxic") == 0, F.col("doc_id")).alias("id"),
@@ -565,7 +624,8 @@ def q_row_id(spark, sf_dir):
 def q_bad_lines(spark, sf_dir):
     """Lines of all conversations by word count, those of twelve words left out."""
     path = work_dir(prepare(spark), "lines")
-    D.write_dump(table(spark, sf_dir, "conversations").select("text"), path)
+    lines = F.explode(F.split("text", "\n", -1)).alias("line")
+    D.write_dump(table(spark, sf_dir, "conversations").select(lines), path, None)
     found = D.bad_lines(spark, path, 12, delimiter=" ")
     return found.groupBy("n_fields").agg(F.count(F.lit(1)).alias("n_lines"))
 
@@ -574,7 +634,7 @@ def q_bad_lines(spark, sf_dir):
 def q_typed_load(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     texts = orders.select([C.quoted(c).cast("string").alias(c) for c in orders.columns])
-    found = L.typed_load(texts, "o_orderkey", DECLARED_ORDERS)
+    found = L.typed_load(texts, "o_orderkey", DECLARED_ORDERS, strict=False)
     return found.select(
         F.col("row_id").cast("bigint").alias("row_id"),
         F.col("o_custkey").cast("bigint").alias("o_custkey"),
@@ -585,6 +645,14 @@ def q_typed_load(spark, sf_dir):
     )
 
 
+@query
+def q_load_rejects(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    texts = orders.select([C.quoted(c).cast("string").alias(c) for c in orders.columns])
+    found = L.load_rejects(texts, "o_orderkey", DECLARED_ORDERS)
+    return found.withColumn("row_id", F.col("row_id").cast("bigint"))
+
+
 @query
 def q_hashed_projection(spark, sf_dir):
     """Distinct hashes per column, which must equal its distinct values."""
@@ -619,9 +687,11 @@ def q_pair_store(spark, sf_dir):
     store.write_shared_values(
         O.shared_values(
             sets(spark, sf_dir, "orders"), sets(spark, sf_dir, "lineitem")
-        )
+        ),
+        "orders",
+        "lineitem",
     )
-    return store.read_shared_values("l_orderkey", "o_orderkey")
+    return store.read_shared_values("orders", "lineitem", "o_orderkey", "l_orderkey")
 
 
 # Integer sets -----------------------------------------------------------------
@@ -640,13 +710,13 @@ def q_set_cardinality(spark, sf_dir):
 @query
 def q_set_contains(spark, sf_dir):
     return I.set_contains(
-        _scattered(spark, sf_dir), probes(spark, sf_dir, "lineitem", "l_orderkey")
+        _line_orders(spark, sf_dir), probes(spark, sf_dir, "lineitem", "l_orderkey")
     )
 
 
 def _two_sets(operator):
     def run(spark, sf_dir):
-        return operator(_scattered(spark, sf_dir), _late(spark, sf_dir))
+        return operator(_line_orders(spark, sf_dir), _label_documents(spark, sf_dir))
 
     return run
 
@@ -701,24 +771,24 @@ def q_set_all(spark, sf_dir):
 
 @query
 def q_set_all_scattered(spark, sf_dir):
-    return I.set_all(_scattered(spark, sf_dir))
+    return I.set_all(_line_orders(spark, sf_dir))
 
 
 @query
 def q_set_complement(spark, sf_dir):
-    return I.set_complement(spark, _scattered(spark, sf_dir))
+    return I.set_complement(spark, _line_orders(spark, sf_dir))
 
 
 @query
 def q_set_next(spark, sf_dir):
     return I.set_next(
-        _scattered(spark, sf_dir), probes(spark, sf_dir, "orders", "o_orderkey")
+        _line_orders(spark, sf_dir), probes(spark, sf_dir, "orders", "o_orderkey")
     )
 
 
 @query
 def q_set_elements(spark, sf_dir):
-    return I.bitmap_decode(I.bitmap_encode(_scattered(spark, sf_dir)))
+    return I.bitmap_decode(I.bitmap_encode(_line_orders(spark, sf_dir)))
 
 
 @query
@@ -733,40 +803,40 @@ def q_set_point_updates(spark, sf_dir):
     updates = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("element"), op.alias("op")
     )
-    return I.set_point_updates(_scattered(spark, sf_dir), updates)
+    return I.set_point_updates(_line_orders(spark, sf_dir), updates)
 
 
 @query
 def q_set_storage_size(spark, sf_dir):
-    return I.set_storage_size(_scattered(spark, sf_dir))
+    return I.set_storage_size(_line_orders(spark, sf_dir))
 
 
-def _scattered_words(spark, sf_dir):
-    return I.bitmap_encode(_scattered(spark, sf_dir))
+def _line_words(spark, sf_dir):
+    return I.bitmap_encode(_line_orders(spark, sf_dir))
 
 
-def _late_words(spark, sf_dir):
-    return I.bitmap_encode(_late(spark, sf_dir))
+def _label_words(spark, sf_dir):
+    return I.bitmap_encode(_label_documents(spark, sf_dir))
 
 
 @query
 def q_bitmap_encode(spark, sf_dir):
-    return _scattered_words(spark, sf_dir)
+    return _line_words(spark, sf_dir)
 
 
 @query
 def q_bitmap_cardinality(spark, sf_dir):
-    return I.bitmap_cardinality(_scattered_words(spark, sf_dir))
+    return I.bitmap_cardinality(_line_words(spark, sf_dir))
 
 
 @query
 def q_bitmap_pages(spark, sf_dir):
-    return I.bitmap_pages_cardinality(I.bitmap_pages(_scattered(spark, sf_dir)))
+    return I.bitmap_pages_cardinality(I.bitmap_pages(_line_orders(spark, sf_dir)))
 
 
 def _two_bitmaps(operator):
     def run(spark, sf_dir):
-        return operator(_scattered_words(spark, sf_dir), _late_words(spark, sf_dir))
+        return operator(_line_words(spark, sf_dir), _label_words(spark, sf_dir))
 
     return run
 
@@ -777,7 +847,7 @@ for _name in ("bitmap_and", "bitmap_andnot", "bitmap_or", "bitmap_xor"):
 
 @query
 def q_trailing_zeros(spark, sf_dir):
-    found = _scattered_words(spark, sf_dir)
+    found = _line_words(spark, sf_dir)
     first = F.shiftleft("word_offset", words.WORD_SHIFT) + words.trailing_zeros(
         F.col("bits")
     )

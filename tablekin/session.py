@@ -46,12 +46,19 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a work folder, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settle(df: DataFrame, label: str, root: str | None = None) -> DataFrame:
     """Write a result that is used several times and go on from the files.
 
-    Executors may be lost at any later point; only files are read again then.
+    Executors may be lost at any later point; only files are read again then. The
+    files lie below ``root`` if it is given.
     """
-    path = work_dir(df.sparkSession, label)
+    path = f"{root}/{label}-{uuid.uuid4().hex}" if root else work_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

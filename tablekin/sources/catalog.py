@@ -126,7 +126,10 @@ def _label(kind: str, *columns: str):
 
 
 def catalog_checks(table_info: DataFrame, column_info: DataFrame) -> DataFrame:
-    """What is incomplete in stored descriptions: ``(rule, object)``."""
+    """What is incomplete in stored descriptions: ``(rule, object)``.
+
+    Where tables carry a ``source_id``, each must name the source it was read from.
+    """
     table = _label("table", "id", "name")
     column = _label("column", "id", "name")
 
@@ -147,6 +150,9 @@ def catalog_checks(table_info: DataFrame, column_info: DataFrame) -> DataFrame:
             column,
         ),
     ]
+    if "source_id" in table_info.columns:
+        sourceless = table_info.filter(_missing("source_id"))
+        found.append(broken(sourceless, "table source", table))
     result = found[0]
     for more in found[1:]:
         result = result.unionByName(more)
@@ -154,7 +160,14 @@ def catalog_checks(table_info: DataFrame, column_info: DataFrame) -> DataFrame:
 
 
 def require_complete(table_info: DataFrame, column_info: DataFrame) -> None:
-    """Raise ``CatalogError`` naming some of the violations, if there are any."""
-    first = catalog_checks(table_info, column_info).limit(5).collect()
-    if first:
-        raise CatalogError("; ".join(f"{r['rule']}: {r['object']}" for r in first))
+    """Raise ``CatalogError`` with the number of violations per rule, if there are any.
+
+    ``catalog_checks`` lists them all.
+    """
+    broken = catalog_checks(table_info, column_info).groupBy("rule").agg(
+        F.count(F.lit(1)).alias("n"), F.min("object").alias("example")
+    )
+    found = broken.orderBy("rule").collect()
+    if found:
+        told = (f"{r['rule']}: {r['n']}, such as {r['example']}" for r in found)
+        raise CatalogError("; ".join(told) + "; catalog_checks lists all")

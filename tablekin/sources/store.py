@@ -1,30 +1,30 @@
 """Stored value sets, value indexes and shared values.
 
-Everything is Parquet, laid out by table, column and class letter. The full
-category, which holds the byte length, stays a data column: with free text there
-are tens of thousands of lengths, too many for folders. Rows are rebalanced by
-layout before writing, which cuts a large column into several files and keeps a
-small one in a single file.
+Everything is Parquet, a folder per table or pair of tables and below it one per column
+and class letter. Writing replaces the whole folder of its table or pair, so nothing of
+an earlier run stays behind. The full category, which holds the byte length, stays a
+data column: with free text there are tens of thousands of lengths, too many for
+folders. Rows are rebalanced by layout before writing, which cuts a large column into
+several files and keeps a small one in a single file.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekin.functions.ids import pair_id
-
 SETS = (
-    "category string, match_key string, n bigint, "
-    "table_name string, column_name string, letter string"
+    "category string, match_key string, n bigint, column_name string, letter string"
 )
 INDEX = (
     "category string, match_key string, row_id {row_type}, "
-    "table_name string, column_name string, letter string"
+    "column_name string, letter string"
 )
 PAIRS = (
-    "l_col string, r_col string, category string, match_key string, l_n bigint, "
-    "r_n bigint, pair_id string, letter string"
+    "category string, match_key string, l_n bigint, r_n bigint, "
+    "l_col string, r_col string, letter string"
 )
 
 
@@ -34,20 +34,23 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _write(self, df: DataFrame, kind: str, *layout: str) -> None:
+    def _folder(self, kind: str, *names: str) -> str:
+        return "/".join([self.root, kind, *(quote(n, safe="") for n in names)])
+
+    def _write(self, df: DataFrame, folder: str, *layout: str) -> None:
         lettered = df.withColumn("letter", F.substring("category", 1, 1))
         parts = [*layout, "letter"]
         (
             lettered.hint("rebalance", *parts)
             .sortWithinPartitions(*parts, "category")
             .write.partitionBy(*parts)
-            .option("partitionOverwriteMode", "dynamic")
+            .option("partitionOverwriteMode", "static")
             .mode("overwrite")
-            .parquet(f"{self.root}/{kind}")
+            .parquet(folder)
         )
 
-    def _read(self, kind: str, schema: str, **wanted: str | None) -> DataFrame:
-        df = self.spark.read.schema(schema).parquet(f"{self.root}/{kind}")
+    def _read(self, folder: str, schema: str, **wanted: str | None) -> DataFrame:
+        df = self.spark.read.schema(schema).parquet(folder)
         category = wanted.pop("category", None)
         for column, value in wanted.items():
             if value is not None:
@@ -59,20 +62,17 @@ class Store:
         return df.drop("letter")
 
     def write_value_sets(self, sets: DataFrame, table: str) -> None:
-        named = sets.withColumn("table_name", F.lit(table))
-        self._write(named, "value_sets", "table_name", "column_name")
+        self._write(sets, self._folder("value_sets", table), "column_name")
 
     def read_value_sets(
         self, table: str, column: str | None = None, category: str | None = None
     ) -> DataFrame:
-        found = self._read(
-            "value_sets", SETS, table_name=table, column_name=column, category=category
-        )
+        folder = self._folder("value_sets", table)
+        found = self._read(folder, SETS, column_name=column, category=category)
         return found.select("column_name", "category", "match_key", "n")
 
     def write_value_index(self, index: DataFrame, table: str) -> None:
-        named = index.withColumn("table_name", F.lit(table))
-        self._write(named, "value_index", "table_name", "column_name")
+        self._write(index, self._folder("value_index", table), "column_name")
 
     def read_value_index(
         self,
@@ -80,31 +80,35 @@ class Store:
         column: str | None = None,
         category: str | None = None,
         row_type: str = "bigint",
+        match_key: str | None = None,
     ) -> DataFrame:
+        """Cells of a table, of one column, category or key where these are given."""
         found = self._read(
-            "value_index",
+            self._folder("value_index", table),
             INDEX.format(row_type=row_type),
-            table_name=table,
             column_name=column,
             category=category,
+            match_key=match_key,
         )
         return found.select("row_id", "column_name", "category", "match_key")
 
-    def write_shared_values(self, shared: DataFrame) -> None:
-        labelled = shared.withColumn("pair_id", pair_id(F.col("l_col"), F.col("r_col")))
-        self._write(labelled, "shared_values", "pair_id")
+    def write_shared_values(
+        self, shared: DataFrame, l_table: str, r_table: str
+    ) -> None:
+        folder = self._folder("shared_values", l_table, r_table)
+        self._write(shared, folder, "l_col", "r_col")
 
     def read_shared_values(
         self,
+        l_table: str,
+        r_table: str,
         l_col: str | None = None,
         r_col: str | None = None,
         category: str | None = None,
     ) -> DataFrame:
-        """Shared values, of one pair when both columns are given in any order."""
-        label = None
-        if l_col is not None and r_col is not None:
-            label = f"{max(l_col, r_col)}-{min(l_col, r_col)}"
-        found = self._read("shared_values", PAIRS, pair_id=label, category=category)
+        """Shared values of two tables, of one column on either side where given."""
+        folder = self._folder("shared_values", l_table, r_table)
+        found = self._read(folder, PAIRS, l_col=l_col, r_col=r_col, category=category)
         return found.select("l_col", "r_col", "category", "match_key", "l_n", "r_n")
 
     def save_bucketed_sets(self, sets: DataFrame, name: str, buckets: int) -> None:

@@ -130,3 +130,11 @@ def test_two_set_operators_take_one_shuffle(spark):
     a = spark.range(1000).select(F.col("id").alias("element"))
     plan = I.set_intersect(a, a)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("bad", [1.2, -1.0, 1e30])
+def test_only_non_negative_integers_make_a_set(spark, bad):
+    df = spark.createDataFrame([(1.0,), (2.0,), (None,)], "v double")
+    assert elements(I.set_build(df, "v")) == {1, 2}
+    with pytest.raises(Exception, match="non-negative"):
+        I.set_build(df.union(spark.createDataFrame([(bad,)], "v double")), "v").collect()

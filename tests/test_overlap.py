@@ -1,4 +1,5 @@
 from conftest import rows
+import pytest
 from pyspark.sql import functions as F
 
 from tablekin.operators import cells as C
@@ -84,13 +85,24 @@ def test_row_pairs_beyond_64_bits_are_exact(spark):
     assert int(counted) == 3 * n * n > 2**63
 
 
-def test_both_uses_of_a_value_set_share_one_shuffle(spark, small):
+@pytest.mark.parametrize("columns", [["*"], ["l_col", "shared"], ["r_col", "l_ratio"]])
+def test_tables_are_read_once_whatever_is_asked_for(spark, small, columns):
     orders = spark.read.parquet(f"{small}/orders.parquet")
     customer = spark.read.parquet(f"{small}/customer.parquet")
-    df = O.pair_overlap(C.value_sets(orders), C.value_sets(customer))
+    df = O.pair_overlap(C.value_sets(orders), C.value_sets(customer)).select(columns)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.split("== Initial Plan ==")[0].count("ReusedExchange") > 0
+    final = plan.split("== Initial Plan ==")[0]
+    assert "orders.parquet" not in final
+    assert final.count("FileScan parquet") <= 8
+
+
+def test_shared_per_category(spark):
+    l_sets, r_sets = sides(spark)
+    found = O.shared_per_category(l_sets, r_sets)
+    pairs = O.pair_overlap(l_sets, r_sets)
+    total = found.groupBy("l_col", "r_col").agg(F.sum("shared").alias("shared"))
+    assert rows(total) == rows(pairs, "l_col", "r_col", "shared")
 
 
 def test_a_hot_value_is_combined_before_the_shuffle(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tablekin.operators import cells as C
 from tablekin.operators import load as L
 from tablekin.operators import overlap as O
-from tablekin.plans.discovery import JoinDiscovery, Table
+from tablekin.plans.discovery import JoinDiscovery, Table, from_dumps
 from tablekin.session import work_dir
 from tablekin.sources import catalog as CT
 from tablekin.sources import dump as D
@@ -91,16 +91,61 @@ def test_store_round_trips_and_prunes(spark, tmp_path, small):
     expected = o_sets.filter("column_name = 'o_custkey' AND category = 'P2'")
     assert rows(one) == rows(expected)
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(table_name" in plan
+    assert "PartitionFilters: [isnotnull(column_name" in plan
     index = C.value_index(orders, "o_orderkey")
     store.write_value_index(index, "orders")
     assert rows(store.read_value_index("orders")) == rows(index)
     shared = O.shared_values(o_sets, c_sets)
-    store.write_shared_values(shared)
-    assert rows(store.read_shared_values()) == rows(shared)
+    store.write_shared_values(shared, "orders", "customer")
+    assert rows(store.read_shared_values("orders", "customer")) == rows(shared)
     pair = shared.filter("l_col = 'o_custkey' AND r_col = 'c_custkey'")
-    assert rows(store.read_shared_values("c_custkey", "o_custkey")) == rows(pair)
-    assert rows(store.read_shared_values("o_custkey", "c_custkey")) == rows(pair)
+    found = store.read_shared_values("orders", "customer", "o_custkey", "c_custkey")
+    assert rows(found) == rows(pair)
+    key = index.filter("column_name = 'o_custkey'").first()
+    looked_up = store.read_value_index(
+        "orders", "o_custkey", key["category"], match_key=key["match_key"]
+    )
+    same = (F.col("column_name") == "o_custkey") & (F.col("match_key") == key["match_key"])
+    assert rows(looked_up) == rows(index.filter(same))
+
+
+def test_store_forgets_earlier_runs(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for value in ("x", "5"):
+        df = spark.createDataFrame([(value,)], "c string")
+        store.write_value_sets(C.value_sets(df), "t")
+    assert [r["category"] for r in store.read_value_sets("t").collect()] == ["P1"]
+
+
+def test_store_keeps_pairs_and_tables_apart(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    left = spark.createDataFrame([(1, 2), (3, 4)], "a bigint, b bigint")
+    right = spark.createDataFrame([(2, 1), (4, 9)], "a bigint, b bigint")
+    other = spark.createDataFrame([(7, 7)], "a bigint, b bigint")
+    l_sets, r_sets, o_sets = map(C.value_sets, (left, right, other))
+    store.write_shared_values(O.shared_values(l_sets, r_sets), "l", "r-s")
+    store.write_shared_values(O.shared_values(o_sets, o_sets), "l-r", "s")
+    found = store.read_shared_values("l", "r-s", "a", "b")
+    assert rows(found, "l_col", "r_col", "match_key") == [("a", "b", "1")]
+    back = store.read_shared_values("l", "r-s", "b", "a")
+    assert rows(back, "match_key") == [("2",), ("4",)]
+    assert store.read_shared_values("l-r", "s").count() == 4
+
+
+def test_dumps_refuse_what_needs_quoting(spark, tmp_path):
+    for bad in ("a|b", "a\nb"):
+        df = spark.createDataFrame([(bad, "c")], "v string, w string")
+        with pytest.raises(Exception, match="quoting"):
+            D.write_dump(df, str(tmp_path / f"bad{len(bad)}{ord(bad[1])}"))
+
+
+def test_delimiter_of_several_characters(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    df = spark.createDataFrame([("a", None, "c|d")], "x string, y string, z string")
+    D.write_dump(df, path, "||")
+    scanned = D.dump_scan(spark, path, df.columns, "||")
+    assert rows(scanned, *df.columns) == [("a", None, "c|d")]
+    assert D.bad_lines(spark, path, 3, "||").count() == 0
 
 
 def test_bucketed_sets_join_without_a_shuffle(spark, tmp_path, small):
@@ -193,12 +238,21 @@ def test_typed_load(spark):
         {"name": "d", "data_type": "DATE"},
         {"name": "c", "data_type": "CHAR", "char_length": 1},
     ]
-    loaded = L.typed_load(df, "k", spec)
+    with pytest.raises(Exception, match="breaks the rule"):
+        L.typed_load(df, "k", spec).collect()
+    loaded = L.typed_load(df, "k", spec, strict=False)
     assert dict(loaded.dtypes)["n"] == "decimal(6,2)"
     assert [tuple(map(str, r)) for r in loaded.collect()] == [
         ("1", "abc", "12.35", "2020-01-01", "x"),
-        ("2", "None", "None", "None", "y"),
+        ("2", "abcd", "None", "None", "y"),
+    ]
+    assert rows(L.load_rejects(df, "k", spec)) == [
+        (2, "n", "oops", "number"),
+        (2, "v", "abcd", "length"),
     ]
+    late = spark.createDataFrame([(1, "2" * 31)], "k bigint, d string")
+    kept = L.typed_load(late, "k", [{"name": "d", "data_type": "DATE"}])
+    assert kept.first()["d"] == "2" * 31
     with pytest.raises(ValueError):
         L.typed_load(df, "k", [{"name": "v", "data_type": "BLOB"}])
 
@@ -236,7 +290,33 @@ def test_discovery_from_scan_to_report(spark, tmp_path):
     assert job.row_pairs().count() == int(
         direct.agg(F.sum("row_pairs")).first()[0]
     )
-    listed = job.row_pairs(limit=12).select("l_col", "r_col").distinct()
+    few = job.overlap.filter("row_pairs <= 12")
+    listed = job.row_pairs(few).select("l_col", "r_col").distinct()
     assert rows(listed) == [("a", "x"), ("a", "y")]
+    l_rows, r_rows = job.pair_rows("a", "x")
+    assert rows(l_rows, "a") == rows(r_rows, "x") == [(i,) for i in range(20, 30)]
     assert job.peers().filter("row_pairs > 0").count() > 0
     assert job.scored_peers().count() > 0
+    marked = job.evidence([("a", "x")]).filter("true_positive")
+    assert {(r["l_col"], r["r_col"]) for r in marked.collect()} == {("a", "x")}
+
+
+def test_tables_of_one_name(spark):
+    left = spark.createDataFrame([(1,), (2,)], "a bigint")
+    right = spark.createDataFrame([(2,), (3,)], "a bigint")
+    with pytest.raises(ValueError):
+        JoinDiscovery(spark, Table("t", left, "a"), Table("t", right, "a"))
+    job = JoinDiscovery(spark, Table("t", left, "a", "s"), Table("t", right, "a", "z"))
+    assert rows(job.overlap, "shared", "l_distinct", "r_distinct") == [(1, 2, 2)]
+    job.close()
+
+
+def test_discovery_from_dumps_needs_known_tables(spark, tmp_path):
+    tables = spark.createDataFrame([(1, "t", str(tmp_path))], "id bigint, name string, dumpfile string")
+    columns = spark.createDataFrame(
+        [(11, 1, 1, "a", "CHAR", 1, 1, 0)],
+        "id bigint, table_info_id bigint, num int, name string, data_type string, "
+        "char_length int, precision int, scale int",
+    )
+    with pytest.raises(ValueError, match="no table"):
+        from_dumps(spark, tables, columns, "t", "u")

@@ -1,3 +1,5 @@
+from hashlib import sha256
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -51,21 +53,20 @@ def test_categories(spark):
 
 
 def test_match_keys(spark):
-    long_text = "x" * 65
+    digest = {t: sha256(t.encode()).hexdigest() for t in ("abc", "x" * 64, "x" * 65)}
     cases = {
         "007": "7",
         "+7": "7",
         "-0": "0",
         "1.50": "1.50",
-        "abc": "abc",
-        "x" * 64: "x" * 64,
+        **digest,
         "0" * 70 + "5": "5",
+        "0" * 70 + ".5": "0" * 70 + ".5",
         "": None,
         None: None,
     }
-    df = spark.createDataFrame([(v,) for v in [*cases, long_text]], "v string")
+    df = spark.createDataFrame([(v,) for v in cases], "v string")
     found = {r[0]: r[1] for r in df.select("v", values.match_key(F.col("v"))).collect()}
-    assert len(found.pop(long_text)) == 64
     assert found == cases
 
 
@@ -129,7 +130,7 @@ def test_qualified_names(spark):
     assert [r[0] for r in df.select(name).collect()] == [
         "s.t.c",
         "t.c",
-        "s.Table name is not defined.c",
+        "s.c",
     ]
 
 
