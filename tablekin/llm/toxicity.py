@@ -38,6 +38,9 @@ SAMPLE_ROWS, SAMPLE_BYTES = 3000, 20_000
 #: Standard errors that part the classes' shares of an n-gram before it first counts.
 SURE = 4.0
 
+#: Weight of the unknown text in the curve, as a share of all texts of class 0.
+UNKNOWN = 0.25
+
 #: Share that every step takes off all parameters.
 DECAY = 0.002
 
@@ -138,8 +141,11 @@ def _train(bags: list[np.ndarray], label: np.ndarray, weight: np.ndarray, epochs
                 v += 0.01 * (g.astype(np.float32) ** 2 - v)
                 p *= 1 - DECAY
                 p -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    side = soft[:, 1] - soft[:, 0]
-    return (table @ side).astype(np.float32), float(base[1] - base[0])
+    logits = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
+    met = np.zeros(ROWS, bool)
+    met[np.concatenate(bags)] = True
+    # What no text of the sample showed says nothing either way.
+    return np.where(met, logits, 0).astype(np.float32), float(base[1] - base[0])
 
 
 def fit(
@@ -183,7 +189,10 @@ def fit(
                         w.append(1.0)
         weight, bias = _train(bags, np.array(y), np.array(w), epochs, rng)
     top = np.array([_highest(segment_logits(text.split(), weight, bias)).mean() for text, _ in docs])
-    return Model(weight, bias, *_curve(top, label, np.where(label == 1, prior[1], prior[0])))
+    share = np.where(label == 1, prior[1], prior[0])
+    # A text of which nothing is known has the bias for its logit, and is no toxic one.
+    unknown = UNKNOWN * share[label == 0].sum()
+    return Model(weight, bias, *_curve(np.append(top, bias), np.append(label, 0), np.append(share, unknown)))
 
 
 def _curve(top: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
