@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablekin.functions.ids import coverage, pair_id, qualified_name
-from tablekin.session import settle
 
 
 def _side(sets: DataFrame, prefix: str) -> DataFrame:
@@ -80,9 +79,13 @@ def row_pair_total():
 
 
 def column_totals(sets: DataFrame) -> DataFrame:
-    """Distinct keys and non-empty cells per column."""
+    """Distinct keys and non-empty cells per column.
+
+    Keys are counted by their cells, which are never none: so the grouping below always
+    has the counts, whatever columns are asked for, and equals that of other uses.
+    """
     return sets.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("distinct_keys"), F.sum("n").alias("n_cells")
+        F.count_if(F.col("n") > 0).alias("distinct_keys"), F.sum("n").alias("n_cells")
     )
 
 
@@ -94,19 +97,16 @@ def pair_overlap(
     ``shared`` counts the common keys over all categories; the ratios divide it
     by the distinct keys of the left and of the right column. ``row_pairs`` is
     the number of (left row, right row) pairs that agree on the two columns.
-    The sets are used for the join and for the totals. They are written once first,
-    so both read files, whatever columns are asked for; ``stored`` tells that the
-    sets are files already.
+    ``stored`` tells that the sets are read from files, which are narrowed to what can
+    match first. Otherwise the join and the totals share the groupings of the sets.
     """
-    if not stored:
-        l_sets, r_sets = settle(l_sets, "sets"), settle(r_sets, "sets")
-    left, right = comparable(l_sets, r_sets), comparable(r_sets, l_sets)
+    left, right = l_sets, r_sets
+    if stored:
+        left, right = comparable(l_sets, r_sets), comparable(r_sets, l_sets)
     found = (
         shared_values(left, right)
         .groupBy("l_col", "r_col")
-        .agg(
-            F.count(F.lit(1)).alias("shared"), row_pair_total().alias("row_pairs")
-        )
+        .agg(F.count(F.lit(1)).alias("shared"), row_pair_total().alias("row_pairs"))
     )
     return with_coverage(found, l_sets, r_sets)
 

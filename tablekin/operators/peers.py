@@ -34,10 +34,11 @@ def peer_pairs(pairs: DataFrame) -> DataFrame:
 def _two_column_keys(
     df: DataFrame, names: list[str], couples: DataFrame, prefix: str
 ) -> DataFrame:
-    """Keys of each wanted couple of columns, one row per source row that has both.
+    """Each source row once per couple of columns in which it has keys.
 
-    ``couples`` is one row with an array ``couples`` of ``(couple, first, second)``,
-    the latter two being places in ``names``. Only these columns are read.
+    ``couples`` is ``(couple, first, second)``, the latter two being places in
+    ``names``; there are as many as the schema allows at most. Only these columns are
+    read. Rows carry their keys and a hash of the two that the couple names.
     """
     keys = []
     for name in names:
@@ -45,25 +46,31 @@ def _two_column_keys(
         category = V.typed_category(value, data_type)
         key = V.typed_match_key(value, data_type)
         keys.append(F.concat(category, F.lit("|"), key))
-    columns = [f"{prefix}_couple", f"{prefix}_key", f"peer_{prefix}_key"]
-    wanted = F.transform(
-        "couples",
-        lambda c: F.struct(
-            c["couple"].alias(columns[0]),
-            F.get("keys", c["first"]).alias(columns[1]),
-            F.get("keys", c["second"]).alias(columns[2]),
-        ),
-    )
-    has_both = F.col(columns[1]).isNotNull() & F.col(columns[2]).isNotNull()
+    hashed = [F.when(k.isNotNull(), F.xxhash64(k)) for k in keys]
+    first, second = F.get("hashes", F.col("first")), F.get("hashes", F.col("second"))
     return (
-        df.select(F.array(*keys).alias("keys"))
-        .crossJoin(F.broadcast(couples))
-        .select(F.inline(wanted))
-        .filter(has_both)
-        .withColumn(f"{prefix}_hash", F.xxhash64(*columns[1:]))
+        df.select(F.array(*keys).alias("keys"), F.array(*hashed).alias("hashes"))
+        .join(F.broadcast(couples))
+        .filter(first.isNotNull() & second.isNotNull())
+        .select(
+            F.col("couple").alias(f"{prefix}_couple"),
+            F.xxhash64(first, second).alias("hash"),
+            "keys",
+            "first",
+            "second",
+        )
     )
 
 
+def _grouped(rows: DataFrame, prefix: str) -> DataFrame:
+    """Rows per couple of columns and its two keys."""
+    return rows.groupBy(
+        f"{prefix}_couple",
+        F.get("keys", F.col("first")).alias(f"{prefix}_key"),
+        F.get("keys", F.col("second")).alias(f"peer_{prefix}_key"),
+    ).agg(F.count(F.lit(1)).alias(f"{prefix}_n"))
+
+
 def _couples(peers: DataFrame, first: str, second: str) -> DataFrame:
     """The different couples of one side, numbered: ``(couple, first, second)``."""
     pair = peers.select(F.col(first).alias("first"), F.col(second).alias("second"))
@@ -72,27 +79,32 @@ def _couples(peers: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def _placed(couples: DataFrame, names: list[str]) -> DataFrame:
-    """All couples as one array; they are as many as the schema allows at most."""
+    """The couples with the places of their columns instead of the names."""
     place = F.array(*[F.lit(n) for n in names])
     at = [
         (F.array_position(place, F.col(c)) - 1).cast("int").alias(c)
         for c in ("first", "second")
     ]
-    return couples.agg(F.collect_list(F.struct("couple", *at)).alias("couples"))
+    return couples.select("couple", *at)
 
 
 #: Hashes of two-column keys that are broadcast to thin out the other table.
 MOST_HASHES = 2_000_000
 
 
+def _thin(hashes: DataFrame) -> DataFrame:
+    """Hashes to filter with, broadcast while there are not too many."""
+    return F.broadcast(hashes) if hashes.limit(MOST_HASHES + 1).count() <= MOST_HASHES else hashes
+
+
 def peer_row_overlap(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     """Row pairs that agree on both column pairs, for every two peers.
 
     Takes the two tables themselves; ``pairs`` should be read from files. Row pairs are
     counted, never listed: rows of each table are grouped by the keys they have in two
     columns, and equal groups multiply. Only couples of columns that some peers have are
-    looked at, and rows of the right table whose two keys the left table has nowhere,
-    which are nearly all, leave before they are grouped. A group occurs once per couple
+    looked at, and rows whose two keys the other table has nowhere, which are nearly
+    all, leave before they are grouped. A group occurs once per couple
     of columns, so the join does not grow with the frequency of a key.
     """
     peers = settle(peer_pairs(pairs), "peers")
@@ -110,21 +122,13 @@ def peer_row_overlap(left: DataFrame, right: DataFrame, pairs: DataFrame) -> Dat
     l_couples = _couples(peers, "l_col", "peer_l_col")
     r_couples = _couples(peers, "r_col", "peer_r_col")
     l_rows = _two_column_keys(left, names["l"], _placed(l_couples, names["l"]), "l")
-    l_keys = settle(
-        l_rows.groupBy("l_couple", "l_key", "peer_l_key", "l_hash").agg(
-            F.count(F.lit(1)).alias("l_n")
-        ),
-        "keys",
-    )
     r_rows = _two_column_keys(right, names["r"], _placed(r_couples, names["r"]), "r")
-    hashes = l_keys.select(F.col("l_hash").alias("r_hash")).distinct()
-    if hashes.limit(MOST_HASHES + 1).count() <= MOST_HASHES:
-        hashes = F.broadcast(hashes)
-    r_keys = (
-        r_rows.join(hashes, "r_hash", "left_semi")
-        .groupBy("r_couple", "r_key", "peer_r_key")
-        .agg(F.count(F.lit(1)).alias("r_n"))
-    )
+    l_hashes = settle(l_rows.select("hash").distinct(), "hashes")
+    r_keys = _grouped(r_rows.join(_thin(l_hashes), "hash", "left_semi"), "r")
+    r_keys = settle(r_keys, "keys")
+    r_hash = F.xxhash64(F.xxhash64("r_key"), F.xxhash64("peer_r_key")).alias("hash")
+    r_hashes = r_keys.select(r_hash).distinct()
+    l_keys = _grouped(l_rows.join(_thin(r_hashes), "hash", "left_semi"), "l")
     agree = (l_keys.l_key == r_keys.r_key) & (l_keys.peer_l_key == r_keys.peer_r_key)
     products = F.col("l_n").cast("decimal(19,0)") * F.col("r_n").cast("decimal(18,0)")
     counted = (
