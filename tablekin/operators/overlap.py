@@ -103,10 +103,12 @@ def pair_overlap(
     left, right = l_sets, r_sets
     if stored:
         left, right = comparable(l_sets, r_sets), comparable(r_sets, l_sets)
+    # Counted by cells, like the totals: see ``column_totals``.
+    common = F.count_if((F.col("l_n") > 0) & (F.col("r_n") > 0))
     found = (
         shared_values(left, right)
         .groupBy("l_col", "r_col")
-        .agg(F.count(F.lit(1)).alias("shared"), row_pair_total().alias("row_pairs"))
+        .agg(common.alias("shared"), row_pair_total().alias("row_pairs"))
     )
     return with_coverage(found, l_sets, r_sets)
 
@@ -127,7 +129,7 @@ def with_coverage(
 ) -> DataFrame:
     """Add size and covered share of both sides to pairs that carry ``shared``."""
     for prefix, sets in (("l", l_sets), ("r", r_sets)):
-        totals = column_totals(sets).select(
+        totals = column_totals(sets).filter("distinct_keys > 0").select(
             F.col("column_name").alias(f"{prefix}_col"),
             F.col("distinct_keys").alias(f"{prefix}_distinct"),
             F.col("n_cells").alias(f"{prefix}_cells"),
