@@ -141,4 +141,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     contaminated.
     """
     bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("__contaminated")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__contaminated"), "left_anti")
+    # Contaminated documents grow with the table: joined by a shuffle at every size.
+    return docs.join(bad.hint("merge"), docs["doc_id"] == F.col("__contaminated"), "left_anti")

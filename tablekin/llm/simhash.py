@@ -316,7 +316,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.binary())], ["id", "shingles"])
 
     wanted = candidates.select(F.col("node").alias("doc_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
     # Of a doc_id that repeats with other texts, any one text stands for it.
     shingles = rows.mapInArrow(sets, "id long, shingles binary")
 
@@ -342,7 +342,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
                     out.append((u, v))
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
-    armed = candidates.join(shingles, F.col("node") == F.col("id")).select(*kept, "shingles")
+    armed = candidates.join(shingles.hint("merge"), F.col("node") == F.col("id")).select(*kept, "shingles")
     found = armed.groupBy("part").applyInArrow(verify, "u long, v long")
     named = sketches.join(nodes.select("digest", "node"), "digest").select("doc_id", "node")
     # Rows of one doc_id belong together, whatever their texts.
@@ -356,11 +356,12 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     """The rows of ``docs`` with one document of each group of similar ones left.
 
     The smallest doc_id of a group stays, and of rows that repeat it any one. Rows
-    without a doc_id are in no group and stay.
+    without a doc_id are in no group and stay. What goes grows with the table, so it is
+    joined by a shuffle at every size.
     """
     grouped = settle(similar(docs, width, similarity), "similar")
     gone = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    rest = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    rest = docs.join(gone.hint("merge"), docs["doc_id"] == F.col("__gone"), "left_anti")
     twice = settle(
         grouped.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")),
         "repeated",
