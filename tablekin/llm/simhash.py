@@ -25,13 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import shuffle_partitions, texts, word_blocks
+from tablekin.llm.common import is_small, shuffle_partitions, texts, word_blocks
 from tablekin.llm.graph import components
 from tablekin.session import settle
 
 SEED = 42
 LEAF = 1024
 
+#: One text in so many tells which shingles are common, and how many of these are kept.
+SAMPLE, MOST_COMMON = 8, 200_000
+
 
 def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
     """XXH64 of all word shingles of a lower-cased text, repeats included, in parts.
@@ -167,14 +170,16 @@ def _band(fp: Column, band: int, bands: int) -> Column:
     return F.shiftrightunsigned(F.shiftleft(fp, 64 - high), 64 - (high - low))
 
 
-def dealt(keyed: DataFrame, by: list[str], leaf: int, groups: int) -> DataFrame:
+def dealt(keyed: DataFrame, by: list[str], leaf: int, groups: int, apart: str | None = None) -> DataFrame:
     """Rows of shards, with shards of more than ``leaf`` rows cut into pairs of blocks.
 
     Adds ``shard``, ``part`` (a bounded number of shards together), ``in_tree`` and
     ``asks``: block i searches the trees of the blocks j >= i, and each pair (i, j) is
-    a shard of its own. Shards of a single row are left out. ``node`` decides the block.
+    a shard of its own. Shards of a single row are left out, and those that have one
+    value of ``apart`` if it is given. ``node`` decides the block.
     """
-    sized = keyed.groupBy(*by).count().where("count > 1")
+    sized = keyed.groupBy(*by).agg(F.count("*").alias("count"), *([F.min(apart) < F.max(apart)] if apart else []))
+    sized = sized.toDF(*by, "count", *(["mixed"] if apart else [])).where("count > 1 and mixed" if apart else "count > 1")
     sized = sized.select(*by, F.ceil(F.col("count") / leaf).cast("int").alias("blocks"))
     placed = keyed.join(sized, by).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -243,41 +248,109 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint32)
 
 
-def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, digest, fp, least)``: a digest of the words, the fingerprint, and the
-    smallest of all shingle hashes under each of a few hash functions."""
+def _different(text: bytes, width: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the different shingles of a text."""
+    parts = [np.unique(h) for h in shingle_hashes(text, width)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most common shingles of one text in ``SAMPLE``, and how many
+    of these have each."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in texts(batch.column("text")):
+                yield pa.record_batch([pa.array(_different(t, width).view(np.int64))], ["token"])
 
-    def one(text: bytes) -> tuple[bytes, int, list[int]]:
+    some = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SAMPLE)) == 0).select("text")
+    counted = some.mapInArrow(work, "token long").groupBy("token").count().where("count > 2")
+    found = counted.orderBy(F.desc("count"), "token").limit(MOST_COMMON).toArrow()
+    token, count = found.column("token").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(token)
+    return token[order], count[order]
+
+
+def _prefix(held: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of a set, as many as a set this similar cannot all lack.
+
+    All sets are ordered by the same counts and then by hash, so that the first shingle
+    two similar sets share is in the prefix of both. The counts only make it rare.
+    """
+    token, count = common
+    often = np.zeros(len(held), np.int64)
+    if len(token):
+        at = np.minimum(np.searchsorted(token, held), len(token) - 1)
+        often = np.where(token[at] == held, count[at], 0)
+    keep = len(held) - math.ceil(similarity * len(held) - 1e-9) + 1 if len(held) else 0
+    return held[np.lexsort((held, often))[:keep]]
+
+
+def _sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``(doc_id, digest, fp, least, size, prefix)``: a digest of the words, and of the set
+    of shingles the fingerprint, the smallest hash under each of a few hash functions,
+    the size and the rarest ones."""
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, width))
+
+    def one(text: bytes) -> tuple[bytes, int, list[int], int, np.ndarray]:
         digest = xxhash.xxh3_128()
-        total, ones, least = 0, np.zeros(64, np.int64), [(1 << 64) - 1] * len(_FACTORS)
         for words in word_blocks(text.lower()):
             digest.update(b" ".join(words) + b" ")
-        for h in shingle_hashes(text, width):
-            total += len(h)
+        held = _different(text, width)
+        ones, least = np.zeros(64, np.int64), [(1 << 64) - 1] * len(_FACTORS)
+        for low in range(0, len(held), 1 << 16):
+            h = held[low : low + (1 << 16)]
             ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
             for k, factor in enumerate(_FACTORS):
                 mixed = h * np.uint64(factor)
                 least[k] = min(least[k], int(((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)).min()))
-        fp = int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
-        return digest.digest(), fp, least
+        fp = int.from_bytes(np.packbits(2 * ones > len(held)).tobytes(), "big")
+        return digest.digest(), fp, least, len(held), _prefix(held, similarity, common.value)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [one(t) for t in texts(batch.column("text"))]
             fps = np.array([r[1] for r in rows], np.uint64).view(np.int64)
             least = np.array([r[2] for r in rows], np.uint64).reshape(-1, len(_FACTORS)).view(np.int64)
+            ends = np.cumsum([0] + [len(r[4]) for r in rows])
+            prefix = np.concatenate([np.empty(0, np.uint64)] + [r[4] for r in rows]).view(np.int64)
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
                     pa.array([r[0] for r in rows], pa.binary()),
                     pa.array(fps),
                     pa.array(least.tolist(), pa.list_(pa.int64())),
+                    pa.array([r[3] for r in rows], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)),
                 ],
-                ["doc_id", "digest", "fp", "least"],
+                ["doc_id", "digest", "fp", "least", "size", "prefix"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    return rows.mapInArrow(work, "doc_id long, digest binary, fp long, least array<long>")
+    return rows.mapInArrow(work, "doc_id long, digest binary, fp long, least array<long>, size long, prefix array<long>")
+
+
+def _shared(part: pa.Table, similarity: float) -> pa.Table:
+    """``(u, v, p, q)``: pairs of nodes of different components p and q that share a
+    shingle so early that their sets can be similar."""
+    part = part.take(pa.array(np.argsort(part.column("shard").to_numpy(), kind="stable")))
+    shard, node, top, size, pos = (part.column(c).to_numpy() for c in ("shard", "node", "top", "size", "pos"))
+    tree, asks = (part.column(c).to_numpy(zero_copy_only=False) for c in ("in_tree", "asks"))
+    after = np.searchsorted(shard, shard, side="right") - np.arange(len(shard)) - 1
+    upto, low, out = np.concatenate(([0], np.cumsum(after))), 0, [np.empty((0, 4), np.int64)]
+    while low < len(shard):
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] + (1 << 20), side="right")) - 1)
+        a = np.repeat(np.arange(low, high), after[low:high])
+        b = a + 1 + np.arange(len(a)) - (upto[a] - upto[low])
+        need = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9)
+        fits = (top[a] != top[b]) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need)
+        fits &= (asks[a] & tree[b]) | (asks[b] & tree[a])
+        a, b = a[fits], b[fits]
+        a, b = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
+        out.append(np.unique(np.stack([node[a], node[b], top[a], top[b]], axis=1), axis=0))
+        low = high
+    found = np.unique(np.concatenate(out), axis=0)
+    return pa.table(dict(zip(("u", "v", "p", "q"), found.T.copy())))
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 20, leaf: int = LEAF) -> DataFrame:
@@ -288,12 +361,14 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
     documents that share the smallest hash of their shingles under one of five hash
     functions, which for a pair of similarity s is missed with a chance of (1 - s)^5.
     BK-trees find the pairs of a shard within a radius that pairs of similarity 0.8
-    reach, and the shingle sets of these decide. Texts of equal words are one from the
-    start; texts without words are equal.
+    mostly reach, and the shingle sets of these decide. What this misses is found by the
+    prefixes of the sets: pairs of documents that are in different components so far and
+    share one of their rarest shingles, of which similar sets cannot lack all. Texts of
+    equal words are one from the start; texts without words are equal.
     """
-    sketches = settle(_sketches(docs, width), "sketches")
+    sketches = settle(_sketches(docs, width, similarity), "sketches")
     nodes = settle(
-        sketches.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("least").alias("least")),
+        sketches.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("fp", "least", "size", "prefix")]),
         "nodes",
     )
     keyed = nodes.select("node", "fp", "least", F.posexplode("least").alias("slot", "value"))
@@ -349,7 +424,29 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: in
     repeated = named.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"))
     repeated = repeated.where("u <> v").select("u", "v")
     grouped = settle(components(found.unionByName(repeated)), "components")
-    return named.join(grouped, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    tops = nodes.join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("top"), "size", "prefix")
+    rare = tops.select("node", "top", "size", F.posexplode("prefix").alias("pos", "token"))
+    rare = dealt(rare, ["token"], leaf, groups, "top")
+    missed = rare.groupBy("part").applyInArrow(lambda part: _shared(part, similarity), "u long, v long, p long, q long")
+    missed = settle(missed.distinct(), "missed")
+    ends = missed.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    ends = F.broadcast(ends) if is_small(ends, 100_000) else ends.hint("merge")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(ends, "doc_id", "left_semi")
+    held = settle(rows.mapInArrow(sets, "id long, shingles binary"), "shingles")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = ([np.frombuffer(x, np.uint32) for x in batch.column(c).to_pylist()] for c in ("x", "y"))
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
+            alike = [n >= similarity * (len(x) + len(y) - n) for x, y, n in zip(left, right, both)]
+            yield pa.record_batch([batch.column("p"), batch.column("q")], ["u", "v"]).filter(pa.array(alike, pa.bool_()))
+
+    pairs = missed.join(held.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u")
+    pairs = pairs.join(held.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v")
+    above = components(pairs.select("p", "q", "x", "y").mapInArrow(decide, "u long, v long"))
+    above = settle(above.select(F.col("node").alias("component"), F.col("component").alias("above")), "components")
+    named = named.join(grouped, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    return named.join(above, "component", "left").select("doc_id", F.coalesce("above", "component").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -114,3 +114,40 @@ def test_rows_without_doc_id_stay(spark):
     df = frame(spark, [(None, "a b c", "s"), (None, "a b c", "s"), (1, "a b c", "s"), (2, "a b c", "s")])
     kept = [r["doc_id"] for r in simhash.deduplicate(df).collect()]
     assert sorted(kept, key=str) == [1, None, None]
+
+
+@pytest.mark.parametrize("leaf", [1024, 3])
+def test_similar_sets_of_unlike_texts(spark, leaf):
+    """Lines that repeat in one text alone, and sets of four and five shingles."""
+    rng = random.Random(12)
+    docs, line = [], " ".join(f"line{k}" for k in range(20))
+    for k in range(40):
+        base = " ".join(f"v{rng.randrange(10**6)}" for _ in range(300))
+        docs += [(4 * k, f"{base} {line}", "s"), (4 * k + 1, f"{base}{f' {line}' * 60}", "s")]
+        short = [f"u{rng.randrange(10**6)}" for _ in range(9)]
+        docs += [(4 * k + 2, " ".join(short), "s"), (4 * k + 3, " ".join(short[:8]), "s")]
+    for k in range(400, 1600, 2):
+        short = [f"t{rng.randrange(10**6)}" for _ in range(9)]
+        docs += [(k, " ".join(short), "s"), (k + 1, " ".join(short[1:]), "s")]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, docs), leaf=leaf).collect()}
+    assert found == {i: i - i % 2 for i, _, _ in docs}
+
+
+@pytest.mark.parametrize("leaf", [1024, 3])
+def test_prefixes_lose_no_pair(spark, monkeypatch, leaf):
+    """Pairs at the limit, found by the prefixes alone."""
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "_found", lambda part, radius: (np.empty(0, np.int64),) * 2)
+    rng = random.Random(13)
+    docs, passage = [], " ".join(f"p{k}" for k in range(30))
+    for k in range(120):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 60))]
+        other = base[: len(base) - rng.randrange(1, 1 + len(base) // 5)] + ["z"] * rng.randrange(2)
+        more = [passage] if k % 3 == 0 else []
+        docs += [(2 * k, " ".join(more + base), "s"), (2 * k + 1, " ".join(more + other), "s")]
+    sets = {i: set(shingles(t, 5)) for i, t, _ in docs}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    expected = grouped(list(sets), alike)
+    assert 20 < sum(i != c for i, c in expected.items()) < 110
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, docs), leaf=leaf).collect()}
+    assert found == expected
