@@ -10,12 +10,15 @@ Labels belong to whole texts, of which a few words may be toxic. So a text is ju
 its most toxic segments: training picks these in each text labelled 1, at first by
 n-gram frequencies, later by the model of the round before, against segments of the
 texts labelled 0, the worst ones included. At last a logistic curve turns the mean of
-the largest segment logits of a text into its probability.
+the largest segment logits of a text into its probability. That mean is larger by chance
+the more segments there are, so the curve also looks at the number of these. It learns
+from whole labelled texts of every length, and from made-up texts whose n-grams meet
+rows of the table by chance.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +44,9 @@ SURE = 4.0
 #: Weight of the unknown text in the curve, as a share of all texts of class 0.
 UNKNOWN = 0.25
 
+#: Segments of the unknown texts, how many there are of each, and n-grams of a segment.
+LENGTHS, DRAWS, GRAMS = (1, 10, 100, 1000, 10_000, 100_000), 4, 10
+
 #: Share that every step takes off all parameters.
 DECAY = 0.002
 
@@ -55,6 +61,7 @@ class Model:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    tilt: float = 0.0
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,13 +106,32 @@ def _highest(logits: np.ndarray) -> np.ndarray:
     return logits if len(logits) <= TOP else np.partition(logits, -TOP)[-TOP:]
 
 
-def worst(text: bytes, weight: np.ndarray, bias: float) -> float:
-    """Mean of the ``TOP`` largest segment logits of a whole text; the bias alone if it
-    has no words."""
-    top = np.empty(0)
+def measures(text: bytes, weight: np.ndarray, bias: float) -> tuple[float, int]:
+    """Mean of the ``TOP`` largest segment logits of a whole text, the bias alone if it
+    has no words; and the number of its segments."""
+    top, n = np.empty(0), 0
     for words in word_blocks(text.lower(), 1 << 16):
-        top = _highest(np.concatenate((top, segment_logits(words, weight, bias))))
-    return float(top.mean()) if len(top) else bias
+        found = segment_logits(words, weight, bias)
+        top, n = _highest(np.concatenate((top, found))), n + len(found)
+    return (float(top.mean()) if len(top) else bias), n
+
+
+def worst(text: bytes, weight: np.ndarray, bias: float) -> float:
+    """Mean of the ``TOP`` largest segment logits of a whole text."""
+    return measures(text, weight, bias)[0]
+
+
+def _chance(weight: np.ndarray, bias: float, rng) -> list[tuple[float, int]]:
+    """What :func:`measures` gives for unknown texts of several lengths, whose n-grams
+    share rows of the table with others by chance."""
+    out = [(bias, 0)]
+    for n in LENGTHS:
+        for _ in range(DRAWS):
+            found = np.concatenate(
+                [weight[rng.integers(0, ROWS, (min(n - low, 4096), GRAMS))].mean(axis=1) for low in range(0, n, 4096)]
+            )
+            out.append((float(_highest(found).mean()) + bias, n))
+    return out
 
 
 def probability(logit: np.ndarray | float) -> np.ndarray | float:
@@ -149,12 +175,14 @@ def _train(bags: list[np.ndarray], label: np.ndarray, weight: np.ndarray, epochs
 
 
 def fit(
-    sample: list[tuple[bytes, int]], prior: tuple[float, float] = (1, 1), rounds: int = 3, epochs: int = 6, seed: int = 11
+    sample: list[tuple[bytes, int]], prior: tuple[float, float] = (1, 1), rounds: int = 3, epochs: int = 6, seed: int = 11,
+    whole: Callable[[np.ndarray, float], list[tuple[float, int, int]]] | None = None,
 ) -> Model:
     """Train on labelled texts. With one class only, the score is that class's share.
 
     ``prior`` weighs a text of class 0 and 1 in the curve, where the sample does not
-    have the classes in their natural shares.
+    have the classes in their natural shares. ``whole`` gives mean, number of segments
+    and label of each text for the curve where the sample holds parts of some.
     """
     rng = np.random.default_rng(seed)
     docs = [(t.lower(), int(y)) for t, y in sample if t.split()]
@@ -188,23 +216,35 @@ def fit(
                         y.append(kind)
                         w.append(1.0)
         weight, bias = _train(bags, np.array(y), np.array(w), epochs, rng)
-    top = np.array([_highest(segment_logits(text.split(), weight, bias)).mean() for text, _ in docs])
+    if whole:
+        known = whole(weight, bias)
+    else:
+        known = [(*measures(text, weight, bias), y) for text, y in docs]
+    label = np.array([y for _, _, y in known], np.int64)
     share = np.where(label == 1, prior[1], prior[0])
-    # A text of which nothing is known has the bias for its logit, and is no toxic one.
-    unknown = UNKNOWN * share[label == 0].sum()
-    return Model(weight, bias, *_curve(np.append(top, bias), np.append(label, 0), np.append(share, unknown)))
-
-
-def _curve(top: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Logistic curve over the largest logits, by Newton steps with a weak prior."""
-    spread = max(float(top.std()), 1e-6)
-    x = np.stack([(top - top.mean()) / spread, np.ones_like(top)], axis=1)
-    beta, weight = np.zeros(2), weight / weight.mean()
+    # A text of which nothing is known is no toxic one, whatever its length.
+    chance = _chance(weight, bias, rng)
+    unknown = UNKNOWN * share[label == 0].sum() / len(chance)
+    top, n = (np.array(x, float) for x in zip(*[k[:2] for k in known], *chance))
+    curve = np.append(label, np.zeros(len(chance))), np.append(share, np.full(len(chance), unknown))
+    slope, tilt, shift = _curve(np.stack([top, np.log1p(n)], axis=1), *curve)
+    if tilt > 0:
+        # Length alone is no evidence.
+        (slope, shift), tilt = _curve(top[:, None], *curve), 0.0
+    return Model(weight, bias, slope, shift, tilt)
+
+
+def _curve(at: np.ndarray, label: np.ndarray, weight: np.ndarray) -> list[float]:
+    """Factors and shift of a logistic curve, by Newton steps with a weak prior."""
+    spread, middle = np.maximum(at.std(axis=0), 1e-6), at.mean(axis=0)
+    x = np.column_stack([(at - middle) / spread, np.ones(len(at))])
+    beta, weight = np.zeros(x.shape[1]), weight / weight.mean()
     for _ in range(50):
         p = probability(x @ beta)
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(beta))
         beta += np.clip(np.linalg.solve(hess, x.T @ (weight * (label - p)) - 0.05 * beta), -2, 2)
-    return float(beta[0] / spread), float(beta[1] - beta[0] * top.mean() / spread)
+    factors = beta[:-1] / spread
+    return [*factors.tolist(), float(beta[-1] - factors @ middle)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -215,19 +255,47 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(
     docs: DataFrame, labels: DataFrame, rows: int, size: int
 ) -> tuple[list[tuple[bytes, int]], tuple[float, float]]:
-    """At most ``rows`` texts of each class, of at most ``size`` bytes, by hash order;
-    and how many labels one of them stands for."""
+    """At most ``rows`` texts of each class by hash order, of a longer one a stretch of
+    ``size`` bytes; and how many labels one of them stands for."""
+    out, prior = [], [1.0, 1.0]
+    for kind, found, known in _picked(docs, labels, rows):
+        prior[kind] = max(known / rows, 1.0)
+        text, spare = F.encode("text", "utf-8"), F.greatest(F.octet_length("text") - size, F.lit(0))
+        part = F.substring(text, F.pmod(F.xxhash64("id"), spare + 1).cast("int") + 1, F.lit(size))
+        kept = found.select("id", part.alias("text"), (spare > 0).alias("cut")).orderBy("id", "text").limit(rows)
+        for r in kept.collect():
+            # The first and the last word of a stretch may be halves.
+            held = bytes(r["text"])
+            out.append((b" ".join(held.split()[1:-1]) or held if r["cut"] else held, kind))
+    return out, tuple(prior)
+
+
+def whole_texts(docs: DataFrame, labels: DataFrame, rows: int, model: tuple[np.ndarray, float]) -> list[tuple[float, int, int]]:
+    """:func:`measures` and label of the texts the sample is taken from, at full length."""
+    kept = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [measures(t, *kept.value) for t in texts(batch.column("text"))]
+            top, n = pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.int64())
+            yield pa.record_batch([batch.column("id"), top, n], ["id", "top", "n"])
+
+    out = []
+    for kind, found, _ in _picked(docs, labels, rows):
+        rated = found.select("id", "text").mapInArrow(work, "id long, top double, n long").where("n > 0")
+        out += [(r["top"], r["n"], kind) for r in rated.orderBy("id", "top", "n").limit(rows).collect()]
+    return out
+
+
+def _picked(docs: DataFrame, labels: DataFrame, rows: int) -> Iterator[tuple[int, DataFrame, int]]:
+    """Class, texts of the first ``rows`` labels of it by hash, and number of its labels."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
-    out, prior = [], [1.0, 1.0]
     for kind in (1, 0):
-        picked = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("id"), "id").limit(rows)
-        found = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).where(
-            F.octet_length("text").between(1, size)
-        )
-        prior[kind] = max(known.where(F.col("toxic") == kind).count() / rows, 1.0)
-        out += found.select("id", F.encode("text", "utf-8").alias("text"), "toxic").orderBy("id", "text").limit(rows).collect()
-    return [(bytes(r["text"]), r["toxic"]) for r in out], tuple(prior)
+        of = known.where(F.col("toxic") == kind)
+        picked = of.orderBy(F.xxhash64("id"), "id").limit(rows)
+        found = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).where(F.octet_length("text") > 0)
+        yield kind, found.select(F.col("id").cast("long"), "text"), of.count()
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -235,15 +303,16 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     A column that has the name of the new one is replaced.
     """
-    curve = (model.bias, model.slope, model.shift)
+    curve = (model.bias, model.slope, model.shift, model.tilt)
     kept = docs.sparkSession.sparkContext.broadcast(model.weight)
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, (bias, slope, shift) = kept.value, curve
+        weight, (bias, slope, shift, tilt) = kept.value, curve
         for batch in batches:
-            top = np.array([worst(t, weight, bias) for t in texts(batch.column("text"))])
-            found = pa.array(probability(slope * top + shift), pa.float64())
+            rated = [measures(t, weight, bias) for t in texts(batch.column("text"))]
+            top, n = np.array(rated, np.float64).reshape(-1, 2).T
+            found = pa.array(probability(slope * top + tilt * np.log1p(n) + shift), pa.float64())
             yield pa.record_batch([*batch.columns, found], [*batch.schema.names, name])
 
     return rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
@@ -253,11 +322,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int
     """A model of the labelled texts that are not held out.
 
     The sample is bounded by ``rows`` of each class and ``size`` bytes of a text, so
-    its size does not grow with the tables. Only ``doc_id`` and ``toxic`` of ``labels``
+    its size does not grow with the tables; the curve looks at these texts as a whole. Only ``doc_id`` and ``toxic`` of ``labels``
     are read; rows where either is missing or no class are left out, and of several
     labels of a doc_id the higher one counts.
     """
-    return fit(*training_sample(docs, labels, rows, size))
+    return fit(*training_sample(docs, labels, rows, size), whole=lambda *model: whole_texts(docs, labels, rows, model))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
