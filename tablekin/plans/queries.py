@@ -401,9 +401,9 @@ def q_matched_row_counts(spark, sf_dir):
 
 @query
 def q_fetch_matched_rows(spark, sf_dir):
-    """Documents whose key, language or size is a value of the labels table."""
+    """Documents of which any column has a value of the labels table."""
     documents = table(spark, sf_dir, "documents")
-    kept = R.Side.of(documents, "doc_id", ["doc_id", "lang", "n_chars"])
+    kept = R.Side.of(documents, "doc_id")
     found = R.fetch_matched_rows(
         documents, "doc_id", kept, sets(spark, sf_dir, "labels")
     )

@@ -30,3 +30,17 @@ def test_flagship(spark):
         ("c_nationkey", "s_nationkey"): (10, 62),
         ("c_nationkey", "s_suppkey"): (10, 50),
     }
+
+
+def test_fetch_matched_rows_looks_at_all_columns(spark, tmp_path):
+    from tablekin.plans.queries import QUERIES
+
+    docs = [(901, "777", "en", "s", 50), (902, "x", "en", "778", 51), (903, "x", "en", "s", 52)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    spark.createDataFrame([(777, 1, 0), (778, 2, 1)], "doc_id bigint, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet")
+    )
+    found = QUERIES["fetch_matched_rows"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in found) == [901, 902]
