@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekin.llm import bpe, decontamination, hnsw, mixing, native_sql, placement, scoring, simhash, substrings, toxicity, urls
+from tablekin.llm import alignment, bpe, caps, decontamination, hnsw, mixing, native_sql, placement, scoring, simhash, substrings, toxicity, urls, whitening
 from tablekin.llm.common import table
 
 #: Times that mixing may use a source's tokens.
@@ -61,6 +61,19 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.place(docs.select("doc_id"), "doc_id", placement.names(placement.SHARDS))
 
 
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.alignment(table(spark, sf_dir, "documents"), *files)
+
+
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash_near_dedup,
     "op2_decontamination": benchmark_overlaps,
@@ -72,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts,
     "op9_sharding": sharding,
     "op10_toxicity": toxicity_scores,
+    "op11_alignment": tokenizer_alignment,
+    "op12_whitening": whitened_embeddings,
+    "op13_spherical_caps": embedding_near_duplicates,
 }
 SQL: dict[str, str] = {
     "op2_decontamination": native_sql.decontamination(decontamination.WINDOW, decontamination.MISSES, 6),
