@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,13 @@ from tablekin.session import settle
 
 #: Bytes of text in a chunk (a longer document is one of its own), characters encoded at
 #: once, units a task remembers, and the longest of them.
-CHUNK, TEXT, MEMORY, LONGEST = 4 << 20, 1 << 15, 200_000, 64
+CHUNK, TEXT, MEMORY, LONGEST = 4 << 20, 1 << 15, 400_000, 64
 
 #: B's space mark, the form of its byte pieces, and what a text starts with that units
 #: are put into (fixed values).
 MARK, BYTE_PIECE, LEAD = "▁", re.compile(r"<0x([0-9A-F]{2})>"), " a"
 
-_UNIT = re.compile(r"[ \n]+[^ \n]*")
+_UNIT, _ODD = re.compile(r"[ \n]+[^ \n]*"), re.compile(rf"[^\S \n][ \n]|{MARK}[ \n]")
 _B_BITS = 24
 
 
@@ -54,11 +55,11 @@ def byte_level() -> dict[str, int]:
 
 
 class Unit:
-    """The tokens of one unit: counts, groups as text, and its links as id pairs."""
+    """The tokens of one unit: counts, groups as text, and its links as bytes of id pairs."""
 
     __slots__ = ("n_a", "n_b", "n_groups", "text", "pairs", "same")
 
-    def __init__(self, n_a: int, n_b: int, n_groups: int, text: str, pairs: np.ndarray, same: bool):
+    def __init__(self, n_a: int, n_b: int, n_groups: int, text: str, pairs: bytes, same: bool):
         self.n_a, self.n_b, self.n_groups = n_a, n_b, n_groups
         self.text, self.pairs, self.same = text, pairs, same
 
@@ -70,7 +71,7 @@ def units_of(text: str) -> list[str]:
     one behind it.
     """
     units = _UNIT.findall(" " + text)
-    if not any(u[-1].isspace() or u[-1] == MARK for u in units[:-1]):
+    if not _ODD.search(text):
         return units
     joined, held = [], ""
     for u in units:
@@ -81,6 +82,14 @@ def units_of(text: str) -> list[str]:
     return joined + [held] if held else joined
 
 
+class Places(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        place = self[key] = len(self)
+        return place
+
+
 class Aligner:
     """Both tokenizers and their units; made once a task."""
 
@@ -106,6 +115,9 @@ class Aligner:
         ]
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        # An id as text, with what follows it inside a group and at the end of its side.
+        self.a_text = [f"{i}{c}" for i in range(len(self.a_bytes)) for c in "|,"]
+        self.b_text = [f"{i}{c}" for i in range(len(self.b_bytes)) for c in ";,"]
         self.known: dict[str, Unit] = {}
 
     @staticmethod
@@ -131,54 +143,49 @@ class Aligner:
         at = np.concatenate(([0], np.cumsum(width)))
         encoding = self.a.encode(text, add_special_tokens=False)
         a_ids = np.array(encoding.ids, np.int64)
-        spans = at[np.array(encoding.offsets, np.int64).reshape(-1, 2)]
+        spans = at[np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2)]
         a_ends = self._ends(spans[:, 0], spans[:, 1], self.a_size[a_ids])
         # The proto's spans are byte places in the text that B is given, without the space.
-        spans = np.array([(x.id, x.begin, x.end) for x in self.b.encode(text[1:], return_type="proto").pieces], np.int64)
-        b_ids, begin, end = spans[:, 0], spans[:, 1] + 1, spans[:, 2] + 1
+        pieces = self.b.encode(text[1:], return_type="proto").pieces
+        b_ids = np.array([x.id for x in pieces], np.int64)
+        begin, end = np.array([x.begin for x in pieces]) + 1, np.array([x.end for x in pieces]) + 1
         begin[0] -= 1
         return a_ids, a_ends, b_ids, self._ends(begin, end, self.b_size[b_ids])
 
     def _encode(self, units: list[str]) -> list[Unit]:
         """Units that may stand behind one another, all in one text."""
         text = LEAD + "".join(units)
+        data = text.encode()
         a_ids, a_ends, b_ids, b_ends = self._encoded(text)
-        stops = np.cumsum([len(LEAD), *(len(u.encode()) for u in units)])
-        ends = np.union1d(a_ends, b_ends)
-        a_of, b_of = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-        pairs = (a_ids[np.minimum(a_of, len(a_ids) - 1)] << _B_BITS) | b_ids[np.minimum(b_of, len(b_ids) - 1)]
-        cuts = np.intersect1d(a_ends, b_ends, assume_unique=False)
-        whole = b"".join(map(self.a_bytes.__getitem__, a_ids.tolist())) == text.encode()
-        whole = whole and b"".join(map(self.b_bytes.__getitem__, b_ids.tolist())) == text.encode()
-        if not whole:
+        a_list, b_list = a_ids.tolist(), b_ids.tolist()
+        whole = b"".join(map(self.a_bytes.__getitem__, a_list)) == data
+        if not (whole and b"".join(map(self.b_bytes.__getitem__, b_list)) == data):
             if len(units) > 1:
                 return [y for x in units for y in self._encode([x])]
-            return [Unit(0, 0, 0, "", pairs[:0], False)]
-        if not np.isin(stops, cuts).all():
+            return [Unit(0, 0, 0, "", b"", False)]
+        sizes = map(len, units) if len(data) == len(text) else (len(u.encode()) for u in units)
+        stops = np.cumsum([len(LEAD), *sizes])
+        ends = np.sort(np.concatenate((a_ends, b_ends)), kind="stable")
+        both = ends[1:] == ends[:-1]
+        cuts, ends = ends[1:][both], ends[np.concatenate((~both, [True]))]
+        pairs = (a_ids[np.searchsorted(a_ends, ends)] << _B_BITS) | b_ids[np.searchsorted(b_ends, ends)]
+        if not (cuts[np.minimum(np.searchsorted(cuts, stops), len(cuts) - 1)] == stops).all():
             raise ValueError("a token crosses the border of two units")
         a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
-        order = np.lexsort((np.concatenate((np.zeros(len(a_ids)), np.ones(len(b_ids)))), np.concatenate((a_group, b_group))))
+        order = np.argsort(np.concatenate((2 * a_group, 2 * b_group + 1)), kind="stable")
         same_a = np.concatenate((a_group[1:] == a_group[:-1], [False]))
         same_b = np.concatenate((b_group[1:] == b_group[:-1], [False]))
-        words = [f"{i}," if s else f"{i}|" for i, s in zip(a_ids.tolist(), same_a.tolist())]
-        words += [f"{i}," if s else f"{i};" for i, s in zip(b_ids.tolist(), same_b.tolist())]
-        words = [words[i] for i in order.tolist()]
-        a_at, b_at = np.searchsorted(a_ends, stops, "right"), np.searchsorted(b_ends, stops, "right")
-        cut_at, link_at = np.searchsorted(cuts, stops, "right"), np.searchsorted(ends, stops, "right")
-        made = []
-        for k in range(len(units)):
-            low, high = int(a_at[k] + b_at[k]), int(a_at[k + 1] + b_at[k + 1])
-            made.append(
-                Unit(
-                    int(a_at[k + 1] - a_at[k]),
-                    int(b_at[k + 1] - b_at[k]),
-                    int(cut_at[k + 1] - cut_at[k]),
-                    "".join(words[low:high])[:-1],
-                    pairs[link_at[k] : link_at[k + 1]].copy(),
-                    True,
-                )
-            )
-        return made
+        words = list(map(self.a_text.__getitem__, (2 * a_ids + same_a).tolist()))
+        words += map(self.b_text.__getitem__, (2 * b_ids + same_b).tolist())
+        words = list(map(words.__getitem__, order.tolist()))
+        a_at, b_at, cut_at, link_at = (np.searchsorted(x, stops, "right") for x in (a_ends, b_ends, cuts, ends))
+        counts = (np.diff(x).tolist() for x in (a_at, b_at, cut_at))
+        word_at, link_at = (a_at + b_at).tolist(), (8 * link_at).tolist()
+        flat = pairs.tobytes()
+        return [
+            Unit(n_a, n_b, n_groups, "".join(words[word_at[k] : word_at[k + 1]])[:-1], flat[link_at[k] : link_at[k + 1]], True)
+            for k, (n_a, n_b, n_groups) in enumerate(zip(*counts))
+        ]
 
     def look_up(self, units: Iterable[str]) -> list[Unit]:
         """The tokens of each of some different units."""
@@ -198,7 +205,8 @@ class Aligner:
                 held, size = [], 0
         if held:
             found.update(zip(held, self._encode(held)))
-        if len(self.known) + len(found) > MEMORY:
+        if len(self.known) > MEMORY:
+            # Those of this chunk stay, the frequent ones among them.
             self.known = {}
         self.known.update((u, x) for u, x in found.items() if len(u) <= LONGEST)
         return [found[u] for u in wanted]
@@ -215,10 +223,8 @@ _CHUNK = (
 
 def _chunk(aligner: Aligner, ids: list, texts: list[str | None]) -> pa.RecordBatch:
     """One row for the documents of a chunk; see :func:`alignment` for its use."""
-    place: dict[str, int] = {}
-    codes = []
-    for text in texts:
-        codes.append(np.fromiter((place.setdefault(u, len(place)) for u in units_of(text)), np.int32) if text else np.empty(0, np.int32))
+    place = Places()
+    codes = [np.array(list(map(place.__getitem__, units_of(text) if text else [])), np.int32) for text in texts]
     units = aligner.look_up(place)
     same = np.array([u.same for u in units], bool)
     # A text that either tokenizer does not give back has no tokens.
@@ -226,15 +232,15 @@ def _chunk(aligner: Aligner, ids: list, texts: list[str | None]) -> pa.RecordBat
     n_units = np.array([len(c) for c in codes], np.int64)
     every = np.concatenate(codes) if codes else np.empty(0, np.int32)
     stops = np.concatenate(([0], np.cumsum(n_units)))
-    unit_links = np.array([len(u.pairs) for u in units], np.int64)
+    unit_links = np.array([len(u.pairs) // 8 for u in units], np.int64)
     numbers = {"n_a": [u.n_a for u in units], "n_b": [u.n_b for u in units], "n_groups": [u.n_groups for u in units], "n_links": unit_links}
     sums = {}
     for name, values in numbers.items():
         told = np.concatenate(([0], np.cumsum(np.array(values, np.int64)[every])))
         sums[name] = told[stops[1:]] - told[stops[:-1]]
     written = [u.text for u in units]
-    hashes = [hashlib.sha256(";".join([written[i] for i in c.tolist()]).encode()).hexdigest() if len(c) else "" for c in codes]
-    flat = np.concatenate([u.pairs for u in units]) if units else np.empty(0, np.int64)
+    hashes = [hashlib.sha256(";".join(map(written.__getitem__, c.tolist())).encode()).hexdigest() if len(c) else "" for c in codes]
+    flat = np.frombuffer(b"".join([u.pairs for u in units]), np.int64)
     pairs, links = np.unique(flat, return_inverse=True)
     used = np.bincount(every, minlength=len(units))
     counts = np.zeros(len(pairs), np.int64)
