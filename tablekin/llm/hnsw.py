@@ -39,6 +39,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, which change no cosine, so that no square overflows
+    or vanishes: the largest component of each is between 1/2 and 1."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _packed(rows: DataFrame, id_name: str, vector: str) -> DataFrame:
     """``(id, vec)`` with the vector as bytes of doubles, unusable ones left out."""
 
@@ -135,6 +141,7 @@ def _layer(x: np.ndarray, kept: int) -> np.ndarray:
 
 def build(vectors: np.ndarray, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Nodes and their neighbours of each level, the lowest level first."""
+    vectors = _scaled(vectors)
     x = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
     level = np.floor(-np.log(1 - np.random.default_rng(seed).random(len(x))) / math.log(LINKS)).astype(int)
     nodes, near = [], []
@@ -242,24 +249,23 @@ def nearest(rows: DataFrame, queries: DataFrame, id_name: str, vector: str, k: i
             return none
         dim = graph.column("dim")[0].as_py()
         parts = graph.column("parts")[0].as_py()
-        vectors = np.frombuffer(parts[0], np.float64).reshape(-1, dim)
+        vectors = _scaled(np.frombuffer(parts[0], np.float64).reshape(-1, dim))
         ids = np.frombuffer(parts[1], np.int64).reshape(len(vectors), -1)
         own = [np.frombuffer(y, np.int32) for y in parts[2::2]]
         near = [np.frombuffer(y, np.int32).reshape(len(o), -1) for o, y in zip(own, parts[3::2])]
         norms = np.linalg.norm(vectors, axis=1)
         out: list[tuple[np.ndarray, ...]] = []
         who = asks.column("id").to_numpy()
-        what = np.frombuffer(b"".join(asks.column("vec").to_pylist()), np.float64).reshape(len(who), dim)
+        what = _scaled(np.frombuffer(b"".join(asks.column("vec").to_pylist()), np.float64).reshape(len(who), dim))
         for low in range(0, len(who), _STRIDE):
             me, q = who[low : low + _STRIDE], what[low : low + _STRIDE]
             held = search(vectors, own, near, q, beam)
             safe = np.maximum(held, 0)
             score = np.einsum("id,ijd->ij", q, vectors[safe]) / (np.linalg.norm(q, axis=1)[:, None] * norms[safe])
             score[held < 0] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, : 4 * k]
-            node, value = np.take_along_axis(safe, best, axis=1), np.take_along_axis(score, best, axis=1)
-            ident = ids[node].reshape(len(me), -1)
-            value = np.repeat(value, ids.shape[1], axis=1)
+            # The whole beam is ranked, so that of equal scores the smallest identifier wins.
+            ident = ids[safe].reshape(len(me), -1)
+            value = np.repeat(score, ids.shape[1], axis=1)
             value = np.where((ident < 0) | (ident == me[:, None]), -np.inf, value)
             order = np.lexsort((ident, -value), axis=1)[:, :k]
             ident, value = np.take_along_axis(ident, order, axis=1), np.take_along_axis(value, order, axis=1)

@@ -296,3 +296,21 @@ def test_pipeline_stages(spark, small):
             assert docs.columns == columns
         before = after
     assert docs.columns == [*columns, "slot", "shard"]
+
+
+def test_hnsw_of_very_large_and_small_vectors(spark):
+    big, small = 2.0**900, 2.0**-900
+    rows = [(0, [big, big]), (1, [1.0, 1.0]), (2, [big, 0.0]), (3, [small, small]), (4, [-1.0, -1.0]), (5, [5e-324, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = hnsw.nearest(df, df.where("vec_id = 0"), "vec_id", "embedding").orderBy("rank").collect()
+    assert [(r["vec_id"], round(r["score"], 12)) for r in got] == [
+        (1, 1.0), (3, 1.0), (2, round(0.5**0.5, 12)), (5, round(0.5**0.5, 12)), (4, -1.0)
+    ]
+
+
+def test_hnsw_ties_go_to_the_smallest_identifiers(spark):
+    # Sixty scaled copies are as many nodes of the same cosine.
+    rows = [(1000 - i, [3.0 * 2.0**i, 4.0 * 2.0**i]) for i in range(60)] + [(0, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = hnsw.nearest(df, df.where("vec_id = 0"), "vec_id", "embedding").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [941, 942, 943, 944, 945]
