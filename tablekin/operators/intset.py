@@ -27,8 +27,12 @@ def set_build(df: DataFrame, column: str) -> DataFrame:
     value = F.col(column)
     whole = value.try_cast("bigint")
     fits = whole.isNotNull() & (whole >= 0)
-    if not isinstance(df.schema[column].dataType, T.IntegralType):
-        fits = fits & (value.try_cast("decimal(38,10)") == whole)
+    data_type = df.schema[column].dataType
+    if isinstance(data_type, (T.FloatType, T.DoubleType, T.DecimalType)):
+        # In the type's own digits: a narrower one would round fractions away.
+        fits = fits & (value == F.floor(value)) & (whole.cast(data_type) == value)
+    elif not isinstance(data_type, T.IntegralType):
+        fits = fits & value.cast("string").rlike(r"\A\s*[+-]?[0-9]+([.]0*)?\s*\z")
     message = F.concat(F.lit("not a non-negative integer: "), value.cast("string"))
     element = F.when(F.coalesce(fits, F.lit(False)), whole).otherwise(F.raise_error(message))
     known = df.select(column).filter(value.isNotNull())

@@ -34,12 +34,48 @@ def declared_cast(value: Column, column: Row | dict) -> Column:
     raise ValueError(f"no rule for declared type {data_type!r}")
 
 
+#: Sign, digits before and behind the point, and exponent of a number.
+NUMBER_TEXT = r"\A\s*[+-]?([0-9]*)[.]?([0-9]*)(?:[eE]([+-]?[0-9]{1,9}))?\s*\z"
+#: Digits that the widest decimal holds.
+MOST_DIGITS = 38
+
+
+def _number_rule(value: Column, precision: int, scale: int) -> Column:
+    """What keeps a text from being a decimal of this precision and scale, exactly.
+
+    Digits are counted in the text, so nothing is rounded on the way: ``digits`` if more
+    count than any decimal holds, ``scale`` if some behind the point would be lost,
+    ``precision`` if there are too many before it.
+    """
+    whole, part, power = (F.regexp_extract(value, NUMBER_TEXT, i) for i in (1, 2, 3))
+    digits = F.concat(whole, part)
+    ended = F.rtrim(digits, F.lit("0"))
+    # The number is the digits up to the last that is not zero, times ten to the shift.
+    shift = (
+        F.coalesce(power.try_cast("int"), F.lit(0))
+        - F.length(part)
+        + (F.length(digits) - F.length(ended))
+    )
+    counting = F.length(F.ltrim(ended, F.lit("0")))
+    return (
+        F.when(~value.rlike(NUMBER_TEXT) | (digits == ""), "number")
+        .when(counting == 0, F.lit(None).cast("string"))
+        .when(counting > MOST_DIGITS, "digits")
+        .when(-shift > scale, "scale")
+        .when(counting + shift > precision - scale, "precision")
+    )
+
+
 def broken_rule(value: Column, column: Row | dict) -> Column:
-    """The rule of its declared type that a text breaks, NULL if none."""
+    """The rule of its declared type that a text breaks, NULL if none.
+
+    Texts may be too long (``length``); numbers may be none (``number``) or not fit
+    without loss (``scale``, ``precision``, ``digits``).
+    """
     spec, data_type = _spec(column)
     if data_type in NUMBER_TYPES:
-        fails = value.isNotNull() & declared_cast(value, column).isNull()
-        return F.when(fails, "number")
+        rule = _number_rule(value, spec.get("precision") or MOST_DIGITS, spec.get("scale") or 0)
+        return F.when(value.isNotNull(), rule)
     if data_type in TEXT_TYPES and spec.get("char_length") is not None:
         return F.when(F.char_length(value) > spec["char_length"], "length")
     return F.lit(None).cast("string")
@@ -54,8 +90,10 @@ def typed_load(
 ) -> DataFrame:
     """Row number and one column per declared type, named as declared.
 
-    A value that does not fit its type is an error. Without ``strict`` an overlong
-    text is kept as it is and a failed number is NULL; ``load_rejects`` lists both.
+    A value that does not fit its type is an error, and so is a number that would lose
+    digits. Without ``strict`` an overlong text is kept as it is, a number with too many
+    digits behind the point is rounded, and any other that does not fit is NULL;
+    ``load_rejects`` lists all of these.
     """
     made = []
     for column, text in _texts(columns):

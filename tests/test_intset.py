@@ -138,3 +138,20 @@ def test_only_non_negative_integers_make_a_set(spark, bad):
     assert elements(I.set_build(df, "v")) == {1, 2}
     with pytest.raises(Exception, match="non-negative"):
         I.set_build(df.union(spark.createDataFrame([(bad,)], "v double")), "v").collect()
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(38,12)", "string"])
+def test_fractions_of_any_size_make_no_set(spark, kind):
+    df = spark.createDataFrame([("1",), ("20",), ("0",)], "v string")
+    assert elements(I.set_build(df.select(F.col("v").cast(kind)), "v")) == {0, 1, 20}
+    bad = spark.createDataFrame([("1.00000000001",)], "v string").select(F.col("v").cast(kind))
+    with pytest.raises(Exception, match="non-negative"):
+        I.set_build(bad, "v").collect()
+
+
+def test_longs_at_the_end_of_their_range(spark):
+    last = 2**63 - 1
+    df = spark.createDataFrame([(last,)], "v bigint")
+    assert elements(I.set_build(df, "v")) == {last}
+    with pytest.raises(Exception, match="non-negative"):
+        I.set_build(spark.createDataFrame([(2.0**64,)], "v double"), "v").collect()

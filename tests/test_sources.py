@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -247,6 +249,7 @@ def test_typed_load(spark):
         ("2", "abcd", "None", "None", "y"),
     ]
     assert rows(L.load_rejects(df, "k", spec)) == [
+        (1, "n", "12.345", "scale"),
         (2, "n", "oops", "number"),
         (2, "v", "abcd", "length"),
     ]
@@ -320,3 +323,31 @@ def test_discovery_from_dumps_needs_known_tables(spark, tmp_path):
     )
     with pytest.raises(ValueError, match="no table"):
         from_dumps(spark, tables, columns, "t", "u")
+
+
+NUMBERS = {
+    "1.23": None, "1.239": "scale", "1.2300": None, "-0.0": None, "0.000": None, "": None,
+    "1234567890123.45": None, "12345678901234.5": "precision", "+7.": None, ".5": None,
+    ".": "number", "1e3": None, "12e-3": "scale", "120e-3": None, "1e20": "precision", "1e-99": "scale",
+    "0e99": None, " 5 ": None, "1,5": "number", "NaN": "number", "1" * 39: "digits",
+    "0." + "0" * 40 + "1": "scale", "0" * 60 + "12": None, "1" * 20 + "." + "1" * 20: "digits", "e5": "number",
+}
+
+
+def test_numbers_must_fit_without_loss(spark):
+    spec = [{"name": "n", "data_type": "NUMBER", "precision": 15, "scale": 2}]
+    df = spark.createDataFrame(list(enumerate(NUMBERS)), "k bigint, n string")
+    rules = {r["value"]: r["rule"] for r in L.load_rejects(df, "k", spec).collect()}
+    assert rules == {v: rule for v, rule in NUMBERS.items() if rule}
+    good = df.filter(~F.col("n").isin(list(rules)))
+    loaded = {r["row_id"]: r["n"] for r in L.typed_load(good, "k", spec).collect()}
+    for k, text in enumerate(NUMBERS):
+        if text and not NUMBERS[text]:
+            assert loaded[k] == Decimal(text.strip())
+    for value in ("1.239", "7.555"):
+        bad = spark.createDataFrame([(1, value)], "k bigint, n string")
+        with pytest.raises(Exception, match="scale"):
+            L.typed_load(bad, "k", spec).collect()
+    whole = [{"name": "n", "data_type": "NUMBER", "precision": 15}]
+    half = spark.createDataFrame([(1, "7.5")], "k bigint, n string")
+    assert rows(L.load_rejects(half, "k", whole)) == [(1, "n", "7.5", "scale")]
