@@ -43,6 +43,15 @@ ROW_IDS = {
     "labels": "doc_id",
 }
 
+CATALOG = COLUMNS | {
+    "region": ["r_regionkey", "r_name"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+    "embeddings": ["vec_id", "label"],
+}
+
 INTEGER = "(regexp_full_match(v, '[+-]?[0-9]+') AND TRY_CAST(v AS BIGINT) IS NOT NULL)"
 FLOAT = (
     "((regexp_full_match(v, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') "
@@ -105,6 +114,22 @@ def both_sets(left: str, right: str) -> str:
     )
 
 
+def catalog_overlap() -> str:
+    every = " UNION ALL ".join(
+        f"SELECT '{t}' AS t, column_name AS c, category, match_key FROM ({sets(t, columns)})"
+        for t, columns in CATALOG.items()
+    )
+    return (
+        f"WITH e AS MATERIALIZED ({every}), n AS (SELECT t, c, count(*) AS n FROM e GROUP BY 1, 2), "
+        "p AS (SELECT x.t AS l_table, x.c AS l_col, y.t AS r_table, y.c AS r_col, "
+        "count(*) AS shared FROM e x JOIN e y ON x.category = y.category "
+        "AND x.match_key = y.match_key AND x.t < y.t GROUP BY 1, 2, 3, 4) "
+        "SELECT p.*, a.n AS l_distinct, b.n AS r_distinct, "
+        "CAST(shared AS DOUBLE) / a.n AS l_ratio, CAST(shared AS DOUBLE) / b.n AS r_ratio "
+        "FROM p JOIN n a ON a.t = l_table AND a.c = l_col JOIN n b ON b.t = r_table AND b.c = r_col"
+    )
+
+
 def pair_overlap(left: str, right: str) -> str:
     return both_sets(left, right) + (
         "SELECT l_col, r_col, shared, CAST(row_pairs AS VARCHAR) AS row_pairs, "
@@ -398,6 +423,7 @@ def queries() -> dict[str, str]:
         + "SELECT l_col, r_col, shared, (l_col, r_col) IN "
         "(('o_orderkey', 'l_orderkey'), ('o_orderstatus', 'l_linestatus'), "
         "('o_orderdate', 'l_shipdate')) AS true_positive FROM o",
+        "catalog_overlap": catalog_overlap(),
         "cells": f"SELECT row_id, column_name, v AS value FROM ({cells('customer')})",
         "drop_empty": "SELECT column_name, count(*) AS n_cells FROM "
         f"({parts}) WHERE v <> '' GROUP BY column_name",
@@ -522,6 +548,14 @@ def queries() -> dict[str, str]:
         "o_orderpriority AS value, 'length' AS rule FROM orders "
         "WHERE length(o_orderpriority) > 8 UNION ALL SELECT o_orderkey, 'o_orderstatus', "
         "o_orderstatus, 'length' FROM orders WHERE length(o_orderstatus) > 1",
+        "load_rejects_numbers": " UNION ALL ".join(
+            f"SELECT row_id, '{c}' AS column_name, value, CASE WHEN value LIKE '%._%' AND "
+            "length(rtrim(split_part(value, '.', 2), '0')) > 1 THEN 'scale' ELSE 'precision' "
+            f"END AS rule FROM (SELECT {k} AS row_id, CAST({c} AS VARCHAR) AS value FROM {t}) "
+            "WHERE length(rtrim(split_part(value, '.', 2), '0')) > 1 "
+            "OR length(ltrim(split_part(value, '.', 1), '-')) > 4"
+            for t, k, c in (("customer", "c_custkey", "c_acctbal"), ("orders", "o_orderkey", "o_totalprice"))
+        ),
         "hashed_projection": hashed_orders,
         "value_set_store": sets("orders"),
         "value_index_store": index("customer"),

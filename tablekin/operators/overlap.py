@@ -7,7 +7,8 @@ left columns times right columns, however often the value is repeated.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,6 +195,50 @@ def truth_flag(
     )
 
 
+def catalog_sets(sets: Mapping[str, DataFrame]) -> DataFrame:
+    """Value sets of many tables in one frame, which tells the tables apart."""
+    named = [s.withColumn("table_name", F.lit(t)) for t, s in sets.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+def catalog_overlap(sets: DataFrame) -> DataFrame:
+    """Overlap of every two columns of different tables of a catalog.
+
+    ``sets`` are value sets with a ``table_name``. Every key is grouped once, whatever
+    the number of tables, with the columns that hold it; there are few different lists
+    of columns, so those are counted and only then taken apart into pairs. Lists are as
+    long as the catalog has columns at most, and a list is never made twice.
+
+    ``(l_table, l_col, r_table, r_col, shared, l_distinct, r_distinct, l_ratio,
+    r_ratio)``, the alphabetically first table on the left, pairs without a common key
+    left out.
+    """
+    column = F.struct("table_name", "column_name")
+    holders = sets.groupBy("category", "match_key").agg(F.sort_array(F.collect_set(column)).alias("holders"))
+    lists = holders.filter(F.size("holders") > 1).groupBy("holders").agg(F.count(F.lit(1)).alias("keys"))
+
+    def later(x):
+        return F.transform(
+            F.filter("holders", lambda y: y["table_name"] > x["table_name"]),
+            lambda y: F.struct(
+                x["table_name"].alias("l_table"), x["column_name"].alias("l_col"),
+                y["table_name"].alias("r_table"), y["column_name"].alias("r_col"),
+            ),
+        )
+
+    apart = lists.select("keys", F.inline(F.flatten(F.transform("holders", later))))
+    pairs = apart.groupBy("l_table", "l_col", "r_table", "r_col").agg(F.sum("keys").alias("shared"))
+    totals = sets.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("n"))
+    for side in ("l", "r"):
+        named = totals.toDF(f"{side}_table", f"{side}_col", f"{side}_distinct")
+        pairs = pairs.join(named, [f"{side}_table", f"{side}_col"])
+    return pairs.select(
+        "l_table", "l_col", "r_table", "r_col", "shared", "l_distinct", "r_distinct",
+        coverage(F.col("shared"), F.col("l_distinct")).alias("l_ratio"),
+        coverage(F.col("shared"), F.col("r_distinct")).alias("r_ratio"),
+    )
+
+
 def match_report(
     overlap: DataFrame,
     l_table: str,

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablekin.functions import values as V
-from tablekin.operators.cells import quoted
+from tablekin.operators.cells import quoted, value_sets
 from tablekin.operators.overlap import shared_values, truth_flag
 from tablekin.operators.rows import Side, side_rows
 from tablekin.session import settle
@@ -31,116 +32,159 @@ def peer_pairs(pairs: DataFrame) -> DataFrame:
     return first.join(second, apart)
 
 
-def _two_column_keys(
-    df: DataFrame, names: list[str], couples: DataFrame, prefix: str
-) -> DataFrame:
-    """Each source row once per couple of columns in which it has keys.
+#: Numbered keys that are broadcast to look cells up; more are joined by a shuffle.
+FEW_KEYS = 500_000
 
-    ``couples`` is ``(couple, first, second)``, the latter two being places in
-    ``names``; there are as many as the schema allows at most. Only these columns are
-    read. Rows carry their keys and a hash of the two that the couple names.
-    """
-    keys = []
-    for name in names:
-        value, data_type = quoted(name), df.schema[name].dataType
-        category = V.typed_category(value, data_type)
-        key = V.typed_match_key(value, data_type)
-        keys.append(F.concat(category, F.lit("|"), key))
-    hashed = [F.when(k.isNotNull(), F.xxhash64(k)) for k in keys]
-    first, second = F.get("hashes", F.col("first")), F.get("hashes", F.col("second"))
-    return (
-        df.select(F.array(*keys).alias("keys"), F.array(*hashed).alias("hashes"))
-        .join(F.broadcast(couples))
-        .filter(first.isNotNull() & second.isNotNull())
-        .select(
-            F.col("couple").alias(f"{prefix}_couple"),
-            F.xxhash64(first, second).alias("hash"),
-            "keys",
-            "first",
-            "second",
-        )
-    )
 
+def _key(df: DataFrame, name: str) -> tuple[Column, Column]:
+    value, data_type = quoted(name), df.schema[name].dataType
+    return V.typed_category(value, data_type), V.typed_match_key(value, data_type)
 
-def _grouped(rows: DataFrame, prefix: str) -> DataFrame:
-    """Rows per couple of columns and its two keys."""
-    return rows.groupBy(
-        f"{prefix}_couple",
-        F.get("keys", F.col("first")).alias(f"{prefix}_key"),
-        F.get("keys", F.col("second")).alias(f"peer_{prefix}_key"),
-    ).agg(F.count(F.lit(1)).alias(f"{prefix}_n"))
 
+def _looked_up(df: DataFrame, names: list[str], keys: DataFrame, more: tuple[str, ...]) -> DataFrame:
+    """The cells of each row by a broadcast per column, without a shuffle.
 
-def _couples(peers: DataFrame, first: str, second: str) -> DataFrame:
-    """The different couples of one side, numbered: ``(couple, first, second)``."""
-    pair = peers.select(F.col(first).alias("first"), F.col(second).alias("second"))
-    order = Window.orderBy("first", "second")
-    return pair.distinct().withColumn("couple", F.row_number().over(order))
+    An integer column is looked up by value: a canonical text of an integer is its key.
+    """
+    inside = F.struct("number", *more).alias("found")
+    letter, size = F.substring("category", 1, 1), F.substring("category", 2, 20).cast("int")
+    canonical = letter.isin("P", "N") & (F.octet_length("match_key") == size)
+    whole = F.broadcast(keys.filter(canonical).select(F.col("match_key").try_cast("bigint").alias("value"), inside))
+    texts = F.broadcast(keys.select("category", "match_key", inside))
+    columns, rows = [], df
+    for place, name in enumerate(names):
+        if isinstance(df.schema[name].dataType, T.IntegralType):
+            known = whole.toDF(f"__v{place}", f"__f{place}")
+            on = quoted(name).cast("bigint") == known[f"__v{place}"]
+        else:
+            known = texts.toDF(f"__c{place}", f"__v{place}", f"__f{place}")
+            category, key = _key(df, name)
+            on = (category == known[f"__c{place}"]) & (key == known[f"__v{place}"])
+        rows = rows.join(known, on, "left")
+        found = F.col(f"__f{place}")
+        cell = F.struct(F.lit(place).alias("place"), *[found[c].alias(c) for c in ("number", *more)])
+        columns.append(F.when(found.isNotNull(), cell))
+    return rows.select(F.array_compact(F.array(*columns)).alias("cells")).filter(F.size("cells") > 1)
+
+
+def _gathered(df: DataFrame, names: list[str], keys: DataFrame, more: tuple[str, ...]) -> DataFrame:
+    """The cells of each row by one shuffle of cells to their keys and one back."""
+    cells = []
+    for place, name in enumerate(names):
+        category, key = _key(df, name)
+        cell = F.struct(F.lit(place).alias("place"), category.alias("category"), key.alias("match_key"))
+        cells.append(F.when(quoted(name).cast("string") != "", cell))
+    # Rows are numbered in a step of their own: beside the explosion, cells would be.
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.array(*cells).alias("cells"))
+    found = rows.select("row", F.inline(F.array_compact("cells"))).join(keys, ["category", "match_key"])
+    cell = F.struct("place", "number", *more)
+    return found.groupBy("row").agg(F.collect_list(cell).alias("cells")).filter(F.size("cells") > 1).select("cells")
+
+
+def _numbered_rows(df: DataFrame, names: list[str], keys: DataFrame, *more: str) -> DataFrame:
+    """Rows with two or more cells that the other table has: ``(cells)``, each cell being
+    its column's place and its key's number, and what ``keys`` holds besides."""
+    few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    return (_looked_up if few else _gathered)(df, names, keys, more)
+
+
+def _bit(number: Column) -> Column:
+    """One of 64 bits, by a hash of a key's number."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(number), F.lit(64)).cast("int"))
+
+
+def _two_keys(rows: DataFrame, prefix: str, masked: bool) -> DataFrame:
+    """Every two cells of a row, the one with the smaller number first.
+
+    With ``masked`` only those whose keys stand together in some row of the other table,
+    so far as the masks of both tell. Two columns with the same key come both ways round.
+    """
 
+    def others(a: Column) -> Column:
+        def fits(b: Column) -> Column:
+            later = (a["number"] < b["number"]) | ((a["number"] == b["number"]) & (a["place"] != b["place"] if masked else a["place"] < b["place"]))
+            if not masked:
+                return later
+            return later & (a["mask"].bitwiseAND(b["bit"]) != 0) & (b["mask"].bitwiseAND(a["bit"]) != 0)
 
-def _placed(couples: DataFrame, names: list[str]) -> DataFrame:
-    """The couples with the places of their columns instead of the names."""
-    place = F.array(*[F.lit(n) for n in names])
-    at = [
-        (F.array_position(place, F.col(c)) - 1).cast("int").alias(c)
-        for c in ("first", "second")
-    ]
-    return couples.select("couple", *at)
+        pair = lambda b: F.struct(a["number"].alias("low"), b["number"].alias("high"), a["place"].alias(f"{prefix}_low"), b["place"].alias(f"{prefix}_high"))
+        return F.transform(F.filter("cells", fits), pair)
 
+    return rows.select(F.inline(F.flatten(F.transform("cells", others))))
 
-#: Hashes of two-column keys that are broadcast to thin out the other table.
-MOST_HASHES = 2_000_000
 
+def _grouped(pairs: DataFrame, prefix: str) -> DataFrame:
+    return pairs.groupBy("low", "high", f"{prefix}_low", f"{prefix}_high").agg(F.count(F.lit(1)).alias(f"{prefix}_n"))
 
-def _thin(hashes: DataFrame) -> DataFrame:
-    """Hashes to filter with, broadcast while there are not too many."""
-    return F.broadcast(hashes) if hashes.limit(MOST_HASHES + 1).count() <= MOST_HASHES else hashes
 
+def _common_keys(l_sets: DataFrame, r_sets: DataFrame) -> DataFrame:
+    """Keys that both tables have, by one grouping: ``(category, match_key)``."""
+    tagged = l_sets.select("category", "match_key", F.lit(1).alias("side")).unionByName(
+        r_sets.select("category", "match_key", F.lit(2).alias("side"))
+    )
+    both = tagged.groupBy("category", "match_key").agg(F.bit_or("side").alias("sides"))
+    return both.filter("sides = 3").drop("sides")
 
-def peer_row_overlap(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def peer_row_overlap(
+    left: DataFrame,
+    right: DataFrame,
+    pairs: DataFrame,
+    l_sets: DataFrame | None = None,
+    r_sets: DataFrame | None = None,
+) -> DataFrame:
     """Row pairs that agree on both column pairs, for every two peers.
 
-    Takes the two tables themselves; ``pairs`` should be read from files. Row pairs are
-    counted, never listed: rows of each table are grouped by the keys they have in two
-    columns, and equal groups multiply. Only couples of columns that some peers have are
-    looked at, and rows whose two keys the other table has nowhere, which are nearly
-    all, leave before they are grouped. A group occurs once per couple
-    of columns, so the join does not grow with the frequency of a key.
+    Takes the two tables themselves, and their value sets where these are stored;
+    ``pairs`` should be read from files. Row pairs are counted, never listed. Keys that both tables have are numbered; a row is the numbers
+    of its cells, and two cells of it are a key of two numbers. Such keys are grouped in
+    each table, and equal groups multiply, so nothing grows with the frequency of a key.
+
+    Of the right table's rows nearly all have no partner. Every key of the left table
+    therefore carries a mask: one of 64 bits, by hash, for each key it shares a row with.
+    Two cells of a right row are only taken out of it if each one's bit is in the other's
+    mask, so a key that stands in few left rows lets few of them through. The left rows
+    are thinned by what is left of the right ones.
     """
     peers = settle(peer_pairs(pairs), "peers")
     none = F.lit(0).cast("decimal(38,0)").alias("row_pairs")
     # Column names of the two tables, which their schemas bound.
-    names = {
-        side: sorted(
-            {r[0] for r in peers.select(f"{side}_col").distinct().collect()}
-            | {r[0] for r in peers.select(f"peer_{side}_col").distinct().collect()}
-        )
-        for side in ("l", "r")
-    }
-    if not names["l"]:
+    ends = peers.select(F.explode(F.array(*[F.struct(F.lit(c[-5]).alias("side"), F.col(c).alias("name")) for c in PEER])).alias("end"))
+    named = ends.select("end.*").distinct().collect()
+    names = {side: sorted(r["name"] for r in named if r["side"] == side) for side in ("l", "r")}
+    if not named:
         return peers.select(*PEER, none)
-    l_couples = _couples(peers, "l_col", "peer_l_col")
-    r_couples = _couples(peers, "r_col", "peer_r_col")
-    l_rows = _two_column_keys(left, names["l"], _placed(l_couples, names["l"]), "l")
-    r_rows = _two_column_keys(right, names["r"], _placed(r_couples, names["r"]), "r")
-    l_hashes = settle(l_rows.select("hash").distinct(), "hashes")
-    r_keys = _grouped(r_rows.join(_thin(l_hashes), "hash", "left_semi"), "r")
-    r_keys = settle(r_keys, "keys")
-    r_hash = F.xxhash64(F.xxhash64("r_key"), F.xxhash64("peer_r_key")).alias("hash")
-    r_hashes = r_keys.select(r_hash).distinct()
-    l_keys = _grouped(l_rows.join(_thin(r_hashes), "hash", "left_semi"), "l")
-    agree = (l_keys.l_key == r_keys.r_key) & (l_keys.peer_l_key == r_keys.peer_r_key)
+    if l_sets is None or r_sets is None:
+        l_sets, r_sets = value_sets(left, names["l"]), value_sets(right, names["r"])
+    l_sets = l_sets.filter(F.col("column_name").isin(names["l"]))
+    r_sets = r_sets.filter(F.col("column_name").isin(names["r"]))
+    common = _common_keys(l_sets, r_sets)
+    numbered = settle(common.withColumn("number", F.monotonically_increasing_id()), "keys")
+    l_rows = settle(_numbered_rows(left, names["l"], numbered), "rows")
+    union = F.aggregate("cells", F.lit(0).cast("bigint"), lambda told, c: told.bitwiseOR(_bit(c["number"])))
+    masks = l_rows.select(F.explode("cells.number").alias("number"), union.alias("mask")).groupBy("number").agg(F.bit_or("mask").alias("mask"))
+    masked = settle(numbered.join(masks, "number").withColumn("bit", _bit(F.col("number"))), "masks")
+    r_keys = settle(_grouped(_two_keys(_numbered_rows(right, names["r"], masked, "mask", "bit"), "r", True), "r"), "pairs")
+    l_pairs = _two_keys(l_rows, "l", False)
+    thin = r_keys.select("low", "high").distinct()
+    thin = F.broadcast(thin) if thin.limit(FEW_KEYS + 1).count() <= FEW_KEYS else thin
+    l_keys = _grouped(l_pairs.join(thin, ["low", "high"], "left_semi"), "l")
     products = F.col("l_n").cast("decimal(19,0)") * F.col("r_n").cast("decimal(18,0)")
+    # The pair whose left column comes first leads, whichever key is the smaller.
+    first = F.col("l_low") < F.col("l_high")
+    turned = {
+        "l_col": F.when(first, F.col("l_low")).otherwise(F.col("l_high")),
+        "r_col": F.when(first, F.col("r_low")).otherwise(F.col("r_high")),
+        "peer_l_col": F.when(first, F.col("l_high")).otherwise(F.col("l_low")),
+        "peer_r_col": F.when(first, F.col("r_high")).otherwise(F.col("r_low")),
+    }
+    place = {side: F.array(*[F.lit(n) for n in names[side]]) for side in ("l", "r")}
     counted = (
-        l_keys.join(r_keys, agree)
-        .groupBy("l_couple", "r_couple")
+        l_keys.join(r_keys, ["low", "high"])
+        .groupBy(*[F.get(place[c[-5]], at).alias(c) for c, at in turned.items()])
         .agg(F.sum(products).cast("decimal(38,0)").alias("row_pairs"))
     )
-    numbered = peers.join(l_couples.toDF("l_col", "peer_l_col", "l_couple"), ["l_col", "peer_l_col"])
-    numbered = numbered.join(r_couples.toDF("r_col", "peer_r_col", "r_couple"), ["r_col", "peer_r_col"])
-    return numbered.join(counted, ["l_couple", "r_couple"], "left").select(
-        *PEER, F.coalesce("row_pairs", none).alias("row_pairs")
-    )
+    return peers.join(counted, PEER, "left").select(*PEER, F.coalesce("row_pairs", none).alias("row_pairs"))
 
 
 def _rows_in_both(rows: DataFrame, alias: str) -> DataFrame:

@@ -129,7 +129,7 @@ class JoinDiscovery:
     def peers(self) -> DataFrame:
         """Row pairs every two peers have in common."""
         return P.peer_row_overlap(
-            self.left.described(), self.right.described(), self.overlap
+            self.left.described(), self.right.described(), self.overlap, self.l_sets, self.r_sets
         )
 
     def scored_peers(self) -> DataFrame:

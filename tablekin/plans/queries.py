@@ -217,6 +217,19 @@ def q_discovery_from_dumps(spark, sf_dir):
 # Cells and value sets ---------------------------------------------------------
 
 
+CATALOG = (
+    "benchmark conversations customer documents embeddings events labels lineitem nation "
+    "orders pages part region supplier"
+).split()
+
+
+@query
+def q_catalog_overlap(spark, sf_dir):
+    """All tables against all: columns of any two that share values."""
+    every = O.catalog_sets({name: sets(spark, sf_dir, name) for name in CATALOG})
+    return O.catalog_overlap(settle(every, "catalog"))
+
+
 @query
 def q_cells(spark, sf_dir):
     return C.cells(table(spark, sf_dir, "customer"), "c_custkey")
@@ -456,8 +469,9 @@ def q_peer_row_overlap_orders_lineitem(spark, sf_dir):
 
 def _peer_rows(spark, sf_dir, l_name, r_name):
     left, right = table(spark, sf_dir, l_name), table(spark, sf_dir, r_name)
-    pairs = O.pair_overlap(C.value_sets(left), C.value_sets(right))
-    found = P.peer_row_overlap(spread(left), spread(right), settle(pairs, "pairs"))
+    l_sets, r_sets = settle(C.value_sets(left), "sets"), settle(C.value_sets(right), "sets")
+    pairs = settle(O.pair_overlap(l_sets, r_sets, stored=True), "pairs")
+    found = P.peer_row_overlap(spread(left), spread(right), pairs, l_sets, r_sets)
     return found.withColumn("row_pairs", F.col("row_pairs").cast("string"))
 
 
@@ -653,6 +667,18 @@ def q_load_rejects(spark, sf_dir):
     return found.withColumn("row_id", F.col("row_id").cast("bigint"))
 
 
+@query
+def q_load_rejects_numbers(spark, sf_dir):
+    """Balances and prices that a narrower number would round or cut."""
+    found = None
+    for name, key, column in (("customer", "c_custkey", "c_acctbal"), ("orders", "o_orderkey", "o_totalprice")):
+        texts = table(spark, sf_dir, name).select(key, F.col(column).cast("string").alias(column))
+        spec = [{"name": column, "data_type": "NUMBER", "precision": 5, "scale": 1}]
+        rejects = L.load_rejects(texts, key, spec)
+        found = rejects if found is None else found.unionByName(rejects)
+    return found
+
+
 @query
 def q_hashed_projection(spark, sf_dir):
     """Distinct hashes per column, which must equal its distinct values."""

@@ -123,3 +123,23 @@ def test_stored_sets_drop_what_cannot_match(spark):
     assert rows(O.pair_overlap(l_sets, r_sets, stored=True), *columns) == rows(
         O.pair_overlap(l_sets, r_sets), *columns
     )
+
+
+def test_catalog_overlap_equals_that_of_every_two_tables(spark):
+    tables = {
+        "a": spark.createDataFrame([(i, str(i % 7), None) for i in range(50)], "k bigint, t string, e string"),
+        "b": spark.createDataFrame([(i * 2, f"x{i % 3}") for i in range(40)], "k int, t string"),
+        "c": spark.createDataFrame([("x1", "07"), ("", "3"), (None, "x2")] * 5, "u string, v string"),
+        "d": spark.createDataFrame([], "k bigint"),
+    }
+    sets = {t: C.value_sets(df) for t, df in tables.items()}
+    found = O.catalog_overlap(O.catalog_sets(sets))
+    named = ["l_table", "l_col", "r_table", "r_col", "shared", "l_distinct", "r_distinct", "l_ratio", "r_ratio"]
+    expected = []
+    for l, r in [("a", "b"), ("a", "c"), ("b", "c"), ("a", "d")]:
+        for p in O.pair_overlap(sets[l], sets[r]).collect():
+            expected.append((l, p["l_col"], r, p["r_col"], *[p[c] for c in named[4:]]))
+    assert rows(found, *named) == sorted(expected) and len(expected) > 4
+    # Each value set is grouped once, keys once, lists once, pairs once.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and plan.count("collect_set") == 1

@@ -1,5 +1,7 @@
+import re
 from itertools import combinations
 
+import pytest
 from conftest import rows
 
 from tablekin.operators import cells as C
@@ -45,7 +47,9 @@ def frames(spark):
     )
 
 
-def test_overlap_equals_listed_row_pairs(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_overlap_equals_listed_row_pairs(spark, few, monkeypatch):
+    monkeypatch.setattr(P, "FEW_KEYS", few)
     left, right = frames(spark)
     pairs = O.pair_overlap(C.value_sets(left), C.value_sets(right))
     found = P.peer_row_overlap(left, right, pairs).collect()
@@ -101,3 +105,36 @@ def test_containment_and_score(spark):
         assert row["pair_contains_peer_r"] == (rq <= rp)
     assert scores == expected
     assert set(found) == set(expected)
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_overlap_of_all_kinds_of_values(spark, few, monkeypatch):
+    monkeypatch.setattr(P, "FEW_KEYS", few)
+    left = [("7", 7, 1.5, None), ("07", 7, 1.5, "x"), ("", 8, -0.0, "y"), ("-3", -3, 0.0, "x"), (None, None, None, "x")] * 3
+    right = [(7, "7", "1.5", "x"), (7, "+7", "0.0", "x"), (-3, "-3", "-0.0", None), (8, "", "1.5", "y")] * 2
+    l = spark.createDataFrame(left, "a string, b bigint, c double, d string")
+    r = spark.createDataFrame(right, "w int, x string, y string, z string")
+    pairs = O.pair_overlap(C.value_sets(l), C.value_sets(r))
+    found = {tuple(v)[:4]: int(v["row_pairs"]) for v in P.peer_row_overlap(l, r, pairs).collect()}
+
+    def key(v):
+        if v is None or v == "":
+            return None
+        text = str(v)
+        return (len(text), int(text)) if re.fullmatch("[+-]?[0-9]+", text) else text
+
+    names = "abcd", "wxyz"
+    match = [[{(n, m) for n in range(4) for m in range(4) if key(p[n]) is not None and key(p[n]) == key(q[m])} for q in right] for p in left]
+    known = {tuple(v) for v in pairs.select("l_col", "r_col").collect()}
+    expected = {}
+    for (a, w), (b, x) in peers_of(known):
+        one, two = (names[0].index(a), names[1].index(w)), (names[0].index(b), names[1].index(x))
+        expected[a, w, b, x] = sum(one in m and two in m for row in match for m in row)
+    assert found == expected and any(expected.values())
+
+
+def test_only_numbers_of_keys_are_grouped(spark):
+    left, right = frames(spark)
+    pairs = P.settle(O.pair_overlap(C.value_sets(left), C.value_sets(right)), "pairs")
+    plan = P.peer_row_overlap(left, right, pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "match_key" not in plan.split("Relation")[0]
