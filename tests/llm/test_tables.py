@@ -314,3 +314,10 @@ def test_hnsw_ties_go_to_the_smallest_identifiers(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = hnsw.nearest(df, df.where("vec_id = 0"), "vec_id", "embedding").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [941, 942, 943, 944, 945]
+
+
+def test_mixing_stage_keeps_a_column_called_copies(spark):
+    docs = frame(spark, corpus()).withColumn("copies", F.lit("mine"))
+    out = corpus_pipeline.mix_sources(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {r["copies"] for r in out.select("copies").collect()} == {"mine"}
