@@ -36,7 +36,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and some of the smaller sources' twice: no budget is set, so
     mixing takes each source whole and repeats it as its weight asks."""
-    return mixing.realise(mixing.mix(docs, mixing.Target(repeats=REPEATS)))
+    planned = mixing.plan(docs, mixing.Target(repeats=REPEATS))
+    # Under a name of its own, so that no column of the documents gets lost.
+    return mixing.realise(mixing.copies(docs, planned, name="__copies"), "__copies")
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
