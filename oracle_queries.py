@@ -559,6 +559,11 @@ def queries() -> dict[str, str]:
         "hashed_projection": hashed_orders,
         "value_set_store": sets("orders"),
         "value_index_store": index("customer"),
+        "value_index_lookup": "SELECT * FROM ("
+        + index("lineitem").replace("CAST(NULL AS BIGINT) AS row_id", "l_orderkey AS row_id")
+        + ") WHERE match_key = '1'",
+        "bucketed_overlap": orders_lines
+        + "SELECT l_col, r_col, shared, CAST(row_pairs AS VARCHAR) AS row_pairs FROM o",
         "pair_store": orders_lines
         + "SELECT * FROM s WHERE l_col = 'o_orderkey' AND r_col = 'l_orderkey'",
         "set_build": "SELECT DISTINCT l_suppkey AS element FROM lineitem",

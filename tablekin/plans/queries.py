@@ -707,6 +707,30 @@ def q_value_index_store(spark, sf_dir):
     return store.read_value_index("customer")
 
 
+@query
+def q_value_index_lookup(spark, sf_dir):
+    """Cells of all columns of lines whose key is that of the number 1."""
+    store = Store(spark, work_dir(prepare(spark), "index"))
+    lines = table(spark, sf_dir, "lineitem")
+    store.write_value_index(C.value_index(lines, "l_orderkey"), "lineitem")
+    return store.read_value_index("lineitem", match_key="1")
+
+
+@query
+def q_bucketed_overlap(spark, sf_dir):
+    """Overlap of two stored tables, joined bucket by bucket without a shuffle."""
+    store = Store(spark, work_dir(prepare(spark), "bucketed"))
+    names = {}
+    for name in ("orders", "lineitem"):
+        names[name] = f"sets_{name}_{store.root.rsplit('-', 1)[-1]}"
+        store.save_bucketed_sets(sets(spark, sf_dir, name), names[name], 16)
+    left, right = (store.read_bucketed_sets(n) for n in names.values())
+    shared = O.shared_values(left, right, bucketed=True)
+    return shared.groupBy("l_col", "r_col").agg(
+        F.count(F.lit(1)).alias("shared"), O.row_pair_total().cast("string").alias("row_pairs")
+    )
+
+
 @query
 def q_pair_store(spark, sf_dir):
     store = Store(spark, work_dir(prepare(spark), "pairs"))

@@ -5,7 +5,9 @@ and class letter. Writing replaces the whole folder of its table or pair, so not
 an earlier run stays behind. The full category, which holds the byte length, stays a
 data column: with free text there are tens of thousands of lengths, too many for
 folders. Rows are rebalanced by layout before writing, which cuts a large column into
-several files and keeps a small one in a single file.
+several files and keeps a small one in a single file. A value index is written by ranges
+of keys instead, with Bloom filters on them, so that a look-up by key opens few files and
+few parts of them.
 """
 
 from __future__ import annotations
@@ -71,8 +73,26 @@ class Store:
         found = self._read(folder, SETS, column_name=column, category=category)
         return found.select("column_name", "category", "match_key", "n")
 
-    def write_value_index(self, index: DataFrame, table: str) -> None:
-        self._write(index, self._folder("value_index", table), "column_name")
+    def write_value_index(
+        self, index: DataFrame, table: str, distinct_keys: int = 1_000_000
+    ) -> None:
+        """Cells in order of their keys, a range of them per file.
+
+        The row takes part in the ranges, so a key that a large part of the table holds
+        spreads over several files. ``distinct_keys`` sizes the Bloom filters of a file.
+        """
+        parts = ["column_name", "letter"]
+        lettered = index.withColumn("letter", F.substring("category", 1, 1))
+        (
+            lettered.repartitionByRange(*parts, "match_key", F.xxhash64("row_id"))
+            .sortWithinPartitions(*parts, "match_key", "category")
+            .write.partitionBy(*parts)
+            .option("partitionOverwriteMode", "static")
+            .option("parquet.bloom.filter.enabled#match_key", "true")
+            .option("parquet.bloom.filter.expected.ndv#match_key", str(distinct_keys))
+            .mode("overwrite")
+            .parquet(self._folder("value_index", table))
+        )
 
     def read_value_index(
         self,
@@ -82,7 +102,11 @@ class Store:
         row_type: str = "bigint",
         match_key: str | None = None,
     ) -> DataFrame:
-        """Cells of a table, of one column, category or key where these are given."""
+        """Cells of a table, of one column, category or key where these are given.
+
+        A key is compared in the scan, which skips files and row groups whose range or
+        Bloom filter does not hold it.
+        """
         found = self._read(
             self._folder("value_index", table),
             INDEX.format(row_type=row_type),

@@ -1,5 +1,6 @@
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -351,3 +352,38 @@ def test_numbers_must_fit_without_loss(spark):
     whole = [{"name": "n", "data_type": "NUMBER", "precision": 15}]
     half = spark.createDataFrame([(1, "7.5")], "k bigint, n string")
     assert rows(L.load_rejects(half, "k", whole)) == [(1, "n", "7.5", "scale")]
+
+
+def test_lookup_by_key_reads_few_files(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # A third of all rows hold one key.
+        df = spark.range(9000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("v"))
+        store = Store(spark, str(tmp_path))
+        index = C.value_index(df, "k")
+        store.write_value_index(index, "t")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted(tmp_path.glob("value_index/t/**/*.parquet"))
+    spans = {}
+    for file in files:
+        column = pq.ParquetFile(file).metadata.row_group(0)
+        at = [i for i in range(column.num_columns) if column.column(i).path_in_schema == "match_key"][0]
+        spans[file] = (column.column(at).statistics.min, column.column(at).statistics.max)
+    holding = [f for f, (low, high) in spans.items() if low <= "1234" <= high]
+    assert len(files) >= 8 and len(holding) <= 2
+    # The frequent key is spread over files.
+    assert len([f for f, (low, high) in spans.items() if low <= "7" <= high and "column_name=v" in str(f)]) >= 2
+    found = store.read_value_index("t", match_key="1234")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(match_key,1234)" in plan
+    assert rows(found) == rows(index.filter("match_key = '1234'"))
+    assert store.read_value_index("t", column="v", match_key="7").count() == 3000 + 1
+
+
+def test_bucketed_sets_are_compared_without_a_shuffle(spark, small):
+    from tablekin.plans.queries import QUERIES
+
+    plan = QUERIES["bucketed_overlap"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("SortMergeJoin") if "SortMergeJoin" in plan else plan.index("HashJoin"):]
+    assert "Exchange hashpartitioning" not in below
