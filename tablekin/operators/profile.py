@@ -116,3 +116,31 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         F.count(F.lit(1)).alias("hash_unique_count"),
         F.approx_count_distinct("hash").alias("approx_count"),
     )
+
+
+#: Log2 of the registers of a sketch; its standard error is about 1.04 / sqrt(2 ** it).
+SKETCH_REGISTERS = 14
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """A HyperLogLog sketch of the distinct values of each column: ``(column_name, sketch)``.
+
+    Made in one pass: a task sends a sketch per column, however many values there are,
+    and nothing is grouped by value. Sketches of parts of a table merge into that of the
+    whole, so those of new files can be added to stored ones. A column without values
+    has a sketch of none, an empty table has no sketches.
+    """
+    names = list(columns or C.scalar_columns(df))
+    wide = df.select(*[F.nullif(C.quoted(c).cast("string"), F.lit("")).alias(c) for c in names])
+    long = wide.unpivot([], [C.quoted(c) for c in names], "column_name", "value")
+    return long.groupBy("column_name").agg(F.hll_sketch_agg("value", SKETCH_REGISTERS).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """One sketch per column from any number of them."""
+    return sketches.groupBy("column_name").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_counts(sketches: DataFrame) -> DataFrame:
+    """``(column_name, estimate)``: about how many distinct values each column has."""
+    return sketches.select("column_name", F.hll_sketch_estimate("sketch").alias("estimate"))

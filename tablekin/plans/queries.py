@@ -539,6 +539,19 @@ def q_distinct_counts(spark, sf_dir):
 # Catalog ----------------------------------------------------------------------
 
 
+@query
+def q_distinct_sketches(spark, sf_dir):
+    """Exact counts of lines, and whether merged sketches of their parts are within 3 %."""
+    store = Store(spark, work_dir(prepare(spark), "sketches"))
+    lines = table(spark, sf_dir, "lineitem")
+    for flag in (F.col("l_returnflag") == "R", F.col("l_returnflag") != "R"):
+        store.add_sketches(PR.distinct_sketches(lines.filter(flag)), "lineitem")
+    told = PR.sketched_counts(PR.merged_sketches(store.read_sketches("lineitem")))
+    exact = PR.distinct_counts(lines).select("column_name", "distinct_count")
+    near = F.abs(F.col("estimate") - F.col("distinct_count")) <= 0.03 * F.col("distinct_count")
+    return exact.join(told, "column_name").select("column_name", "distinct_count", near.alias("within_3_percent"))
+
+
 @query
 def q_catalog(spark, sf_dir):
     named = {n: table(spark, sf_dir, n) for n in ("nation", "customer", "orders")}

@@ -116,6 +116,15 @@ class Store:
         )
         return found.select("row_id", "column_name", "category", "match_key")
 
+    def add_sketches(self, sketches: DataFrame, table: str) -> None:
+        """Put the sketches of a part of a table beside those of its other parts."""
+        sketches.write.mode("append").parquet(self._folder("sketches", table))
+
+    def read_sketches(self, table: str) -> DataFrame:
+        """The sketches of all parts, to be merged: ``(column_name, sketch)``."""
+        schema = "column_name string, sketch binary"
+        return self.spark.read.schema(schema).parquet(self._folder("sketches", table))
+
     def write_shared_values(
         self, shared: DataFrame, l_table: str, r_table: str
     ) -> None:

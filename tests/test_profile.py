@@ -1,4 +1,8 @@
+from functools import reduce
+
 from conftest import rows
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablekin.operators import profile as PR
 
@@ -43,3 +47,17 @@ def test_profile_needs_no_shuffle_of_cells(spark, small):
     lines = spark.read.parquet(f"{small}/lineitem.parquet")
     plan = PR.column_profile(lines)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "Sort [" not in plan
+
+
+def test_sketches_merge_into_that_of_the_whole(spark):
+    df = spark.range(40_000).select(
+        F.col("id").alias("k"), (F.col("id") % 1000).cast("string").alias("t"), F.lit(None).cast("string").alias("e")
+    )
+    parts = [df.filter(F.col("k") % 3 == i) for i in range(3)] + [df.filter("k < 20000"), df.limit(0)]
+    merged = PR.merged_sketches(reduce(DataFrame.unionByName, map(PR.distinct_sketches, parts)))
+    found = {r["column_name"]: r["estimate"] for r in PR.sketched_counts(merged).collect()}
+    whole = {r["column_name"]: r["estimate"] for r in PR.sketched_counts(PR.distinct_sketches(df)).collect()}
+    for name, exact in (("k", 40_000), ("t", 1000), ("e", 0)):
+        # Three standard errors.
+        assert abs(found[name] - exact) <= 0.025 * exact
+        assert abs(found[name] - whole[name]) <= 0.025 * exact
