@@ -39,6 +39,12 @@ HEADLINES = [
     "column_profile",
     "distinct_counts",
     "join_discovery",
+    "catalog_overlap",
+    "evidence_report",
+    "row_pairs_chosen",
+    "value_index_lookup",
+    "bucketed_overlap",
+    "distinct_sketches",
     "dump_scan",
     "set_intersect",
     "set_comparison",

@@ -401,6 +401,20 @@ def queries() -> dict[str, str]:
     right_ids = " ".join(
         f"WHEN '{c}' THEN {2000 + i}" for i, c in enumerate(COLUMNS["orders"], 1)
     )
+    evidence = (
+        containment("customer", "supplier")
+        + f", e AS (SELECT *, {score('shared')} AS score, {score('peer_shared')} AS peer_score FROM c), "
+        "b AS (SELECT l_col, r_col, peer_l_col, peer_r_col, l_overlap, r_overlap, score, "
+        "peer_contains_pair_l, peer_contains_pair_r, pair_contains_peer_l, "
+        "pair_contains_peer_r FROM e UNION ALL SELECT peer_l_col, peer_r_col, l_col, r_col, "
+        "l_overlap, r_overlap, peer_score, pair_contains_peer_l, pair_contains_peer_r, "
+        "peer_contains_pair_l, peer_contains_pair_r FROM e) "
+        "SELECT l_col, r_col, p.shared, p.l_rows, p.r_rows, "
+        "l_col = 'c_nationkey' AND r_col = 's_nationkey' AS true_positive, "
+        "b.* EXCLUDE (l_col, r_col), CASE WHEN peer_l_col IS NOT NULL THEN "
+        "peer_l_col = 'c_nationkey' AND peer_r_col = 's_nationkey' END AS peer_true_positive "
+        "FROM p LEFT JOIN b USING (l_col, r_col)"
+    )
     return {
         "pair_overlap": pair_overlap("customer", "supplier"),
         "pair_overlap_orders_lineitem": pair_overlap("orders", "lineitem"),
@@ -487,18 +501,8 @@ def queries() -> dict[str, str]:
         "GROUP BY l_col, r_col, peer_l_col, peer_r_col",
         "peer_row_overlap_orders_lineitem": peer_rows_by_count("orders", "lineitem"),
         "peer_containment": containment("customer", "supplier") + "SELECT * FROM c",
-        "evidence_report": containment("customer", "supplier")
-        + f", e AS (SELECT *, {score('shared')} AS score, {score('peer_shared')} AS peer_score FROM c), "
-        "b AS (SELECT l_col, r_col, peer_l_col, peer_r_col, l_overlap, r_overlap, score, "
-        "peer_contains_pair_l, peer_contains_pair_r, pair_contains_peer_l, "
-        "pair_contains_peer_r FROM e UNION ALL SELECT peer_l_col, peer_r_col, l_col, r_col, "
-        "l_overlap, r_overlap, peer_score, pair_contains_peer_l, pair_contains_peer_r, "
-        "peer_contains_pair_l, peer_contains_pair_r FROM e) "
-        "SELECT l_col, r_col, p.shared, p.l_rows, p.r_rows, "
-        "l_col = 'c_nationkey' AND r_col = 's_nationkey' AS true_positive, "
-        "b.* EXCLUDE (l_col, r_col), CASE WHEN peer_l_col IS NOT NULL THEN "
-        "peer_l_col = 'c_nationkey' AND peer_r_col = 's_nationkey' END AS peer_true_positive "
-        "FROM p LEFT JOIN b USING (l_col, r_col)",
+        "evidence_report": evidence,
+        "evidence_from_dumps": evidence,
         "peer_score_orders_lineitem": score_by_rows("orders", "lineitem"),
         "peer_score": containment("customer", "supplier")
         + "SELECT l_col, r_col, peer_l_col, peer_r_col, l_overlap, r_overlap, "

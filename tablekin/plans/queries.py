@@ -201,17 +201,28 @@ def q_join_discovery(spark, sf_dir):
     return job.report()
 
 
-@query
-def q_discovery_from_dumps(spark, sf_dir):
-    """The whole way: dumps and their descriptions, value sets, report."""
+def _from_dumps(spark, sf_dir, left, right):
     root = work_dir(prepare(spark), "dumps")
-    named = {n: table(spark, sf_dir, n) for n in ("orders", "customer")}
+    named = {n: table(spark, sf_dir, n) for n in (left, right)}
     for name, df in named.items():
         D.write_dump(df, f"{root}/{name}")
     tables, columns = CT.catalog(spark, named)
     tables = tables.withColumn("dumpfile", F.concat(F.lit(f"{root}/"), "name"))
     columns = columns.withColumnRenamed("table_id", "table_info_id")
-    return from_dumps(spark, tables, columns, "orders", "customer").report()
+    return from_dumps(spark, tables, columns, left, right)
+
+
+@query
+def q_discovery_from_dumps(spark, sf_dir):
+    """The whole way: dumps and their descriptions, value sets, report."""
+    return _from_dumps(spark, sf_dir, "orders", "customer").report()
+
+
+@query
+def q_evidence_from_dumps(spark, sf_dir):
+    """As far as it goes: from dumps to the evidence for and against each column pair."""
+    known = [("c_nationkey", "s_nationkey")]
+    return _from_dumps(spark, sf_dir, "customer", "supplier").evidence(known)
 
 
 # Cells and value sets ---------------------------------------------------------
