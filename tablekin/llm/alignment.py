@@ -34,7 +34,7 @@ from tablekin.session import settle
 
 #: Bytes of text in a chunk (a longer document is one of its own), characters encoded at
 #: once, units a task remembers, and the longest of them.
-CHUNK, TEXT, MEMORY, LONGEST = 4 << 20, 1 << 15, 400_000, 64
+CHUNK, TEXT, MEMORY, LONGEST = 4 << 20, 1 << 15, 250_000, 64
 
 #: B's space mark, the form of its byte pieces, and what a text starts with that units
 #: are put into (fixed values).
