@@ -114,6 +114,24 @@ def both_sets(left: str, right: str) -> str:
     )
 
 
+def set_pair_sizes() -> str:
+    columns = (
+        "customer.c_custkey customer.c_nationkey supplier.s_suppkey supplier.s_nationkey part.p_partkey part.p_size "
+        "orders.o_orderkey orders.o_custkey lineitem.l_orderkey lineitem.l_partkey lineitem.l_suppkey lineitem.l_linenumber"
+    ).split()
+    every = " UNION ".join(
+        f"SELECT '{c}' AS id, CAST({c} AS BIGINT) AS e FROM {c.split('.')[0]} WHERE {c} IS NOT NULL" for c in columns
+    )
+    return (
+        f"WITH x AS MATERIALIZED ({every}), s AS (SELECT id, count(*) AS n FROM x GROUP BY id), "
+        "p AS (SELECT a.id AS a_id, b.id AS b_id, count(*) AS k FROM x a JOIN x b ON a.e = b.e AND a.id < b.id GROUP BY 1, 2) "
+        "SELECT a_id, b_id, u.n AS a_cardinality, v.n AS b_cardinality, k AS intersect_cardinality, "
+        "u.n - k AS difference_cardinality, u.n + v.n - k AS union_cardinality, "
+        "u.n + v.n - 2 * k AS symmetric_difference_cardinality "
+        "FROM p JOIN s u ON u.id = a_id JOIN s v ON v.id = b_id"
+    )
+
+
 def catalog_overlap() -> str:
     every = " UNION ALL ".join(
         f"SELECT '{t}' AS t, column_name AS c, category, match_key FROM ({sets(t, columns)})"
@@ -567,6 +585,7 @@ def queries() -> dict[str, str]:
         ),
         "hashed_projection": hashed_orders,
         "value_set_store": sets("orders"),
+        "value_set_loads": sets("orders"),
         "value_index_store": index("customer"),
         "value_index_lookup": "SELECT * FROM ("
         + index("lineitem").replace("CAST(NULL AS BIGINT) AS row_id", "l_orderkey AS row_id")
@@ -595,6 +614,7 @@ def queries() -> dict[str, str]:
         "na + nb - 2 * ni AS symmetric_difference_cardinality, "
         "na = ni AND nb = ni AS is_equal, nb = ni AS is_superset, "
         "nb = ni AND na > ni AS is_strict_superset FROM x",
+        "set_pair_sizes": set_pair_sizes(),
         "set_equal": "WITH a AS (SELECT o_custkey AS element FROM orders), "
         "b AS (SELECT c_custkey AS element FROM customer) "
         f"SELECT count(*) = 0 AS is_equal FROM ({SYMMETRIC})",

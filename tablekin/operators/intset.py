@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +19,9 @@ IN_A, IN_B = 1, 2
 RADIX_BITS = 16
 
 
-def set_build(df: DataFrame, column: str) -> DataFrame:
-    """The distinct non-null integers of a column.
-
-    A value that is no whole number, or a negative one, is an error.
-    """
-    value = F.col(column)
+def _checked(df: DataFrame, column: str) -> Column:
+    """A column as BIGINT; a value that is no whole number, or a negative one, is an error."""
+    value = F.col(f"`{column}`")
     whole = value.try_cast("bigint")
     fits = whole.isNotNull() & (whole >= 0)
     data_type = df.schema[column].dataType
@@ -35,8 +32,16 @@ def set_build(df: DataFrame, column: str) -> DataFrame:
         fits = fits & value.cast("string").rlike(r"\A\s*[+-]?[0-9]+([.]0*)?\s*\z")
     message = F.concat(F.lit("not a non-negative integer: "), value.cast("string"))
     element = F.when(F.coalesce(fits, F.lit(False)), whole).otherwise(F.raise_error(message))
-    known = df.select(column).filter(value.isNotNull())
-    return known.select(element.alias("element")).distinct()
+    return F.when(value.isNotNull(), element)
+
+
+def set_build(df: DataFrame, column: str) -> DataFrame:
+    """The distinct non-null integers of a column.
+
+    A value that is no whole number, or a negative one, is an error.
+    """
+    known = df.select(_checked(df, column).alias("element"))
+    return known.filter("element IS NOT NULL").distinct()
 
 
 def _membership(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -108,6 +113,58 @@ def set_symmetric_difference_cardinality(a: DataFrame, b: DataFrame) -> DataFram
     return set_cardinality(set_symmetric_difference(a, b))
 
 
+def integer_sets(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """Many sets in one frame ``(set_id, element)``: one per column, named ``name.column``.
+
+    All columns are checked and told apart in one scan and one grouping. The rules are
+    those of :func:`set_build`.
+    """
+    checked = [_checked(df, c).alias(c) for c in columns]
+    long = df.select(*checked).unpivot([], [F.col(f"`{c}`") for c in columns], "column_name", "element")
+    set_id = F.concat(F.lit(f"{name}."), "column_name")
+    return long.filter("element IS NOT NULL").select(set_id.alias("set_id"), "element").distinct()
+
+
+def set_pair_sizes(sets: DataFrame) -> DataFrame:
+    """Sizes of intersection, differences and union of every two sets that meet.
+
+    ``sets`` holds ``(set_id, element)``, repeated rows allowed; a row lacking either is
+    ignored. One row per unordered pair with a common element, the smaller id as ``a``.
+    Elements are kept 64 to a row, one bit each, so that the join compares as many at
+    once and a dense set sends few rows; only sets that share such a row are paired. The
+    other sizes follow from those of the sets alone, without another look at elements.
+    """
+    element = F.col("element")
+    paged = (
+        sets.filter("set_id IS NOT NULL AND element IS NOT NULL")
+        .groupBy("set_id", W.word_offset(element).alias("page"))
+        .agg(F.bit_or(W.bit_mask(W.word_bit(element))).alias("bits"))
+    )
+    sizes = paged.groupBy("set_id").agg(F.sum(F.bit_count("bits")).alias("size"))
+    a, b = paged.alias("a"), paged.alias("b")
+    both = F.col("a.bits").bitwiseAND(F.col("b.bits"))
+    met = (
+        a.join(b, (F.col("a.page") == F.col("b.page")) & (F.col("a.set_id") < F.col("b.set_id")))
+        .filter(both != 0)
+        .groupBy(F.col("a.set_id").alias("a_id"), F.col("b.set_id").alias("b_id"))
+        .agg(F.sum(F.bit_count(both)).alias("both"))
+    )
+    named = met
+    for side in ("a", "b"):
+        known = sizes.select(F.col("set_id").alias(f"{side}_id"), F.col("size").alias(f"{side}_size"))
+        named = named.join(known, f"{side}_id")
+    return named.selectExpr(
+        "a_id",
+        "b_id",
+        "a_size AS a_cardinality",
+        "b_size AS b_cardinality",
+        "both AS intersect_cardinality",
+        "a_size - both AS difference_cardinality",
+        "a_size + b_size - both AS union_cardinality",
+        "a_size + b_size - 2 * both AS symmetric_difference_cardinality",
+    )
+
+
 def set_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     return set_comparison(a, b).select("is_equal")
 

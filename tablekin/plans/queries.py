@@ -7,6 +7,7 @@ exact decimals inside, and text is the one form every client reads alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -723,6 +724,19 @@ def q_value_set_store(spark, sf_dir):
     return store.read_value_sets("orders")
 
 
+@query
+def q_value_set_loads(spark, sf_dir):
+    """Value sets of orders from a load per priority, compacted in between."""
+    store = Store(spark, work_dir(prepare(spark), "loads"))
+    orders = table(spark, sf_dir, "orders")
+    urgent = F.col("o_orderpriority") < "3"
+    for load, part in (("urgent", urgent), ("rest", ~urgent), ("none", F.col("o_orderpriority").isNull())):
+        store.add_value_sets(C.value_sets(orders.filter(part)), "orders", load)
+        if load == "urgent":
+            store.compact_value_sets("orders")
+    return store.read_added_value_sets("orders")
+
+
 @query
 def q_value_index_store(spark, sf_dir):
     store = Store(spark, work_dir(prepare(spark), "index"))
@@ -809,6 +823,23 @@ for _name in (
     QUERIES[_name] = _two_sets(getattr(I, _name))
 
 
+#: Columns of whole numbers by table, each of them a set.
+INTEGER_COLUMNS = {
+    "customer": ["c_custkey", "c_nationkey"],
+    "supplier": ["s_suppkey", "s_nationkey"],
+    "part": ["p_partkey", "p_size"],
+    "orders": ["o_orderkey", "o_custkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+}
+
+
+@query
+def q_set_pair_sizes(spark, sf_dir):
+    """Every two integer columns of five tables as sets."""
+    each = [I.integer_sets(table(spark, sf_dir, t), t, c) for t, c in INTEGER_COLUMNS.items()]
+    return I.set_pair_sizes(reduce(DataFrame.unionByName, each))
+
+
 @query
 def q_set_equal(spark, sf_dir):
     """Customer keys on orders against customer keys on file."""

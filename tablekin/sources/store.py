@@ -8,6 +8,9 @@ folders. Rows are rebalanced by layout before writing, which cuts a large column
 several files and keeps a small one in a single file. A value index is written by ranges
 of keys instead, with Bloom filters on them, so that a look-up by key opens few files and
 few parts of them.
+
+Tables that grow need no full rewrite: value sets can be added load by load, are merged
+when read, and compacted now and then.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 SETS = (
     "category string, match_key string, n bigint, column_name string, letter string"
 )
+COMPACTED = "generation int, load string"
 INDEX = (
     "category string, match_key string, row_id {row_type}, "
     "column_name string, letter string"
@@ -73,6 +77,75 @@ class Store:
         found = self._read(folder, SETS, column_name=column, category=category)
         return found.select("column_name", "category", "match_key", "n")
 
+    def add_value_sets(self, sets: DataFrame, table: str, load: str) -> None:
+        """Store the counts of one load of rows beside those of earlier loads.
+
+        Only the new rows are grouped and written; nothing stored is touched. A load
+        that failed, or of which a part was lost, is written again under its name and
+        takes its own place. What a compaction has taken in already is not counted twice.
+        """
+        empty = self.spark.createDataFrame([], COMPACTED)
+        empty.write.mode("ignore").parquet(self._folder("value_set_compacted", table))
+        run = f"{self._folder('value_set_runs', table)}/load={quote(load, safe='')}"
+        self._write(sets, run, "column_name")
+
+    def _compacted(self, table: str) -> tuple[int, list[str]]:
+        """The last whole generation of merged loads and the loads in it: a row each."""
+        folder = self._folder("value_set_compacted", table)
+        listed = self.spark.read.schema(COMPACTED).parquet(folder).collect()
+        last = max((r["generation"] for r in listed), default=0)
+        return last, [r["load"] for r in listed if r["generation"] == last]
+
+    def _generation(self, table: str, number: int) -> str:
+        return self._folder("value_set_generations", table) + f"/{number}"
+
+    def _runs(self, table: str) -> DataFrame:
+        schema = f"{SETS}, load string"
+        return self.spark.read.schema(schema).parquet(self._folder("value_set_runs", table))
+
+    def read_added_value_sets(self, table: str, column: str | None = None) -> DataFrame:
+        """Value sets of all loads together, as a full build gives them.
+
+        Counts of the last compaction and of the loads after it are added up by one
+        grouping; the loads before it are left out by their folders.
+        """
+        generation, taken_in = self._compacted(table)
+        found = self._runs(table)
+        if taken_in:
+            found = found.filter(~F.col("load").isin(taken_in))
+        return self._merged(table, generation, found, column)
+
+    def _merged(self, table: str, generation: int, runs: DataFrame, column: str | None = None) -> DataFrame:
+        names = ["column_name", "category", "match_key"]
+        found = runs.select(*names, "n")
+        if generation:
+            merged = self.spark.read.schema(SETS).parquet(self._generation(table, generation))
+            found = merged.select(*names, "n").unionByName(found)
+        if column is not None:
+            found = found.filter(F.col("column_name") == column)
+        return found.groupBy(*names).agg(F.sum("n").alias("n"))
+
+    def compact_value_sets(self, table: str) -> None:
+        """Merge all loads so far into a new generation.
+
+        The loads that go into it are named first, so one that is added meanwhile stays
+        a run of its own. The generation counts only once it is listed, which is the last
+        step: a compaction that fails leaves everything as it was, and the next one
+        writes over its remains. Earlier generations stay for readers that began before.
+        """
+        generation, taken_in = self._compacted(table)
+        loads = [r["load"] for r in self._runs(table).select("load").distinct().collect()]
+        new = sorted(set(loads) - set(taken_in))
+        if not new:
+            return
+        merged = self._merged(table, generation, self._runs(table).filter(F.col("load").isin(new)))
+        self._write(merged, self._generation(table, generation + 1), "column_name")
+        listed = [(generation + 1, load) for load in [*taken_in, *new]]
+        (
+            self.spark.createDataFrame(listed, COMPACTED).coalesce(1)
+            .write.mode("append").parquet(self._folder("value_set_compacted", table))
+        )
+
     def write_value_index(
         self, index: DataFrame, table: str, distinct_keys: int = 1_000_000
     ) -> None:

@@ -155,3 +155,23 @@ def test_longs_at_the_end_of_their_range(spark):
     assert elements(I.set_build(df, "v")) == {last}
     with pytest.raises(Exception, match="non-negative"):
         I.set_build(spark.createDataFrame([(2.0**64,)], "v double"), "v").collect()
+
+
+def test_sizes_of_every_two_of_many_sets(spark):
+    held = {"a": {0, 1, 63, 64, 2**62}, "b": {1, 64, 65, 2**62}, "c": {200}, "d": {63, 65}, "e": set(range(500))}
+    rows = [(k, e) for k, v in held.items() for e in v] + [("a", 1), ("a", None), (None, 1)]
+    found = I.set_pair_sizes(spark.createDataFrame(rows, "set_id string, element bigint"))
+    expected = {
+        (x, y): (len(held[x]), len(held[y]), len(held[x] & held[y]), len(held[x] - held[y]), len(held[x] | held[y]), len(held[x] ^ held[y]))
+        for x in held for y in held if x < y and held[x] & held[y]
+    }
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in found.collect()} == expected
+    assert I.set_pair_sizes(found.sparkSession.createDataFrame([], "set_id string, element bigint")).collect() == []
+
+
+def test_integer_sets_of_many_columns_keep_the_rules(spark):
+    df = spark.createDataFrame([(1, 2.0, "3"), (1, None, "3"), (2, 5.0, None)], "x int, `y z` double, w string")
+    found = I.integer_sets(df, "t", ["x", "y z", "w"]).collect()
+    assert {tuple(r) for r in found} == {("t.x", 1), ("t.x", 2), ("t.y z", 2), ("t.y z", 5), ("t.w", 3)}
+    with pytest.raises(Exception, match="not a non-negative integer"):
+        I.integer_sets(df.withColumn("x", F.lit(1.5)), "t", ["x", "w"]).collect()

@@ -387,3 +387,52 @@ def test_bucketed_sets_are_compared_without_a_shuffle(spark, small):
     plan = QUERIES["bucketed_overlap"](spark, small)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("SortMergeJoin") if "SortMergeJoin" in plan else plan.index("HashJoin"):]
     assert "Exchange hashpartitioning" not in below
+
+
+def _loads(spark):
+    parts = {"a": [(1, "x"), (1, None)], "b/2=": [(1, "y"), (2, "x")], "c": [(3, "x")]}
+    return {k: spark.createDataFrame(v, "n bigint, t string") for k, v in parts.items()}
+
+
+def test_loads_add_up_to_a_full_build(spark, tmp_path):
+    store, loads = Store(spark, str(tmp_path / "store")), _loads(spark)
+    seen = None
+    for name, part in loads.items():
+        store.add_value_sets(C.value_sets(part), "t", name)
+        seen = part if seen is None else seen.unionByName(part)
+        assert rows(store.read_added_value_sets("t")) == rows(C.value_sets(seen))
+        store.compact_value_sets("t")
+        store.compact_value_sets("t")  # nothing new: changes nothing
+        assert rows(store.read_added_value_sets("t")) == rows(C.value_sets(seen))
+        one = store.read_added_value_sets("t", "n")
+        assert rows(one) == rows(C.value_sets(seen, ["n"]))
+
+
+def test_a_load_written_again_counts_once(spark, tmp_path):
+    store, loads = Store(spark, str(tmp_path / "store")), _loads(spark)
+    full = rows(C.value_sets(loads["a"].unionByName(loads["c"])))
+    store.add_value_sets(C.value_sets(loads["a"]), "t", "a")
+    store.add_value_sets(C.value_sets(loads["b/2="]), "t", "c")  # wrong rows, replaced by the next line
+    store.add_value_sets(C.value_sets(loads["c"]), "t", "c")
+    assert rows(store.read_added_value_sets("t")) == full
+    store.compact_value_sets("t")
+    store.add_value_sets(C.value_sets(loads["a"]), "t", "a")  # merged already
+    assert rows(store.read_added_value_sets("t")) == full
+
+
+def test_what_a_lost_run_leaves_behind_is_not_read(spark, tmp_path):
+    """A load that is lost is written again; a compaction that dies changes nothing."""
+    import shutil
+
+    store, loads = Store(spark, str(tmp_path / "store")), _loads(spark)
+    for name in ("a", "c"):
+        store.add_value_sets(C.value_sets(loads[name]), "t", name)
+    full = rows(store.read_added_value_sets("t"))
+    shutil.rmtree(tmp_path / "store" / "value_set_runs" / "t" / "load=c")
+    store.add_value_sets(C.value_sets(loads["c"]), "t", "c")
+    assert rows(store.read_added_value_sets("t")) == full
+    store._write(C.value_sets(loads["b/2="]), store._generation("t", 1), "column_name")  # never listed
+    assert rows(store.read_added_value_sets("t")) == full
+    store.compact_value_sets("t")
+    shutil.rmtree(tmp_path / "store" / "value_set_runs" / "t" / "load=c")  # no longer needed
+    assert rows(store.read_added_value_sets("t")) == full
