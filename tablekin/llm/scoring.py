@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.chunks import Chunk, bucket_of, narrow, numbered, pack, rolling, runs, wide
+from tablekin.llm.chunks import Chunk, bucket_of, numbered, pack, rolling, rows
 from tablekin.llm.common import is_small
 from tablekin.session import settle
 
@@ -49,10 +49,9 @@ class _Grams(Chunk):
     """Words and bigrams of a chunk; orders have buckets of their own."""
 
     def entries(self, buckets: int) -> list[tuple[np.ndarray, ...]]:
-        """For each order: bucket, value, count and target count of the different
-        n-grams in the order they are sent, positions of all, and the number of each.
-
-        The places 2 and 3 are the counts of the background and the target model."""
+        """For each order the different n-grams in rising order, each a bucket above the
+        bits of a hash, count and target count of each, positions of all n-grams, and
+        the number of each. Those of a higher order come after all of a lower one."""
         out = []
         for order in ORDERS:
             at = self.inside(order)
@@ -61,11 +60,9 @@ class _Grams(Chunk):
             short = (bucket << np.uint64(BITS)) | (hashes & TOLD_APART)
             sort, first, number = numbered(short)
             marked = self.marks[self.doc[at]] if len(at) else np.empty(0, bool)
-            own = short[sort][first]
             out.append(
                 (
-                    (own >> np.uint64(BITS)).astype(np.int64) + (order - 1) * buckets,
-                    own & TOLD_APART,
+                    short[sort][first] + (np.uint64((order - 1) * buckets) << np.uint64(BITS)),
                     np.bincount(number, minlength=len(first)),
                     np.bincount(number[marked], minlength=len(first)),
                     at,
@@ -75,62 +72,51 @@ class _Grams(Chunk):
         return out
 
 
-def _counts(values: np.ndarray) -> bytes:
-    """Counts in one byte each; those above 254 follow in full."""
-    large = values[values > 254]
-    return np.minimum(values, 255).astype(np.uint8).tobytes() + large.astype("<i8").tobytes()
-
-
-def _counted(data: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, "<i8", offset=n)
-    return out
+_ROWS = "chunk long, gram long, every long, target long"
 
-
-_REPLY = "chunk long, bucket int, every binary, target binary, different long, tokens long, wanted long"
+#: In place of a chunk: the row has how many n-grams a bucket has, and their counts.
+SUMS = -1
 
 
 def _totals(table: pa.Table) -> pa.Table:
-    """Totals of each n-gram of a bucket, for each chunk as far as they differ from its
-    own counts; the first row also has the sums of the bucket."""
-    lists = [wide(x, BITS // 8 - 1) for x in table.column("grams").to_pylist()]
-    sizes = [len(x) for x in lists]
-    own = [
-        np.concatenate([_counted(x, n) for x, n in zip(table.column(c).to_pylist(), sizes)]) for c in ("every", "target")
-    ]
-    _, first, number = numbered(np.concatenate(lists))
-    answers = []
-    for counts in own:
-        total = np.bincount(number, counts, len(first))[number]
-        differs = total != counts
-        parts = []
-        for low, n in zip(np.cumsum(sizes) - sizes, sizes):
-            d = differs[low : low + n]
-            parts.append(np.packbits(d).tobytes() + total[low : low + n][d].astype("<f4").tobytes())
-        answers.append(pa.array(parts, pa.binary()))
+    """Totals of each n-gram of a bucket, for each chunk where they differ from its own
+    counts, and one row of sums."""
+    order, first, number = numbered(table.column("gram").to_numpy())
+    differs, totals, sums = np.zeros(len(order), bool), {}, {}
+    for name in ("every", "target"):
+        own = table.column(name).to_numpy()
+        each = np.add.reduceat(own[order], first)
+        totals[name], sums[name] = each[number], own.sum()
+        differs |= totals[name] != own
     return pa.table(
         {
-            "chunk": table.column("chunk"),
-            "bucket": table.column("bucket"),
-            "every": answers[0],
-            "target": answers[1],
-            **{
-                name: pa.array([int(value)] + [0] * (len(sizes) - 1), pa.int64())
-                for name, value in (("different", len(first)), ("tokens", own[0].sum()), ("wanted", own[1].sum()))
-            },
+            "chunk": np.append(table.column("chunk").to_numpy()[differs], SUMS),
+            "gram": np.append(table.column("gram").to_numpy()[differs], len(first)),
+            **{name: np.append(totals[name][differs], sums[name]) for name in totals},
+            "bucket": np.repeat(table.column("bucket").to_numpy()[:1], differs.sum() + 1),
         }
     )
 
 
-def _merge(own: np.ndarray, bucket: np.ndarray, said: dict[int, bytes]) -> np.ndarray:
-    """Own counts, replaced by the totals that were sent back."""
-    out = own.astype(np.float64)
-    for b, low, high in runs(bucket):
-        n, data = high - low, said[b]
-        differs = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8), count=n).astype(bool)
-        part = out[low:high]
-        part[differs] = np.frombuffer(data, "<f4", offset=(n + 7) // 8)
-    return out
+def _sent(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Each different n-gram of each chunk once, with its counts there."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = _Grams(row, lower=True)
+                for gram, every, target, *_ in chunk.entries(buckets):
+                    yield from rows(
+                        {
+                            "chunk": np.full(len(gram), chunk.name),
+                            "gram": gram.view(np.int64),
+                            "every": every,
+                            "target": target,
+                            "bucket": (gram >> np.uint64(BITS)).astype(np.int32),
+                        }
+                    )
+
+    return chunks.mapInArrow(count, f"{_ROWS}, bucket int")
 
 
 def losses(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -145,47 +131,32 @@ def losses(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     marked = wanted.select(F.col("doc_id").alias("__wanted")).where("__wanted is not null").distinct()
     hint = F.broadcast if is_small(marked, MOST_MARKED) else (lambda x: x)
-    rows = docs.select("doc_id", "text")
-    rows = rows.join(hint(marked), F.col("doc_id") == F.col("__wanted"), "left").withColumn("__mark", F.col("__wanted").isNotNull())
-    chunks = settle(pack(rows, "__mark"), "chunks")
+    flagged = docs.select("doc_id", "text").join(hint(marked), F.col("doc_id") == F.col("__wanted"), "left")
+    chunks = settle(pack(flagged.withColumn("__mark", F.col("__wanted").isNotNull()), "__mark"), "chunks")
     size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(BUCKETS, math.ceil(size / COUNTED))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _Grams(row, lower=True)
-                for order, (bucket, value, every, target, *_) in zip(ORDERS, chunk.entries(buckets)):
-                    parts = list(runs(bucket))
-                    yield pa.record_batch(
-                        [
-                            pa.array([chunk.name] * len(parts), pa.int64()),
-                            pa.array([b for b, _, _ in parts], pa.int32()),
-                            pa.array([narrow(value[i:j], BITS // 8 - 1) for _, i, j in parts], pa.binary()),
-                            pa.array([_counts(every[i:j]) for _, i, j in parts], pa.binary()),
-                            pa.array([_counts(target[i:j]) for _, i, j in parts], pa.binary()),
-                        ],
-                        ["chunk", "bucket", "grams", "every", "target"],
-                    )
-
-    sent = chunks.mapInArrow(count, "chunk long, bucket int, grams binary, every binary, target binary")
-    replies = settle(sent.groupBy("bucket").applyInArrow(_totals, _REPLY), "totals")
-    words, tokens, wanted_tokens = (x or 0 for x in replies.where(F.col("bucket") < buckets).agg(
-        F.sum("different"), F.sum("tokens"), F.sum("wanted")
+    answers = settle(_sent(chunks, buckets).groupBy("bucket").applyInArrow(_totals, f"{_ROWS}, bucket int"), "totals")
+    replies = answers.where(F.col("chunk") != SUMS).drop("bucket")
+    words, tokens, wanted_tokens = (x or 0 for x in answers.where((F.col("chunk") == SUMS) & (F.col("bucket") < buckets)).agg(
+        F.sum("gram"), F.sum("every"), F.sum("target")
     ).first())
 
     def score(group: pa.Table, said: pa.Table) -> pa.Table:
         chunk = _Grams(group.to_pylist()[0], lower=True)
-        replied = {c: dict(zip(*(said.column(x).to_pylist() for x in ("bucket", c)))) for c in ("every", "target")}
         first, second = chunk.entries(buckets)
+        grams = np.concatenate((first[0], second[0]))
+        place = np.searchsorted(grams, said.column("gram").to_numpy().view(np.uint64))
         n = chunk.counts
         columns: dict[str, pa.Array] = {"doc_id": pa.array(chunk.ids, pa.int64()), "n_tokens": pa.array(n)}
         loss = {}
-        for name, place, total in (("target", 3, wanted_tokens), ("every", 2, tokens)):
-            one = _merge(first[place], first[0], replied[name])[first[5]]
-            two = _merge(second[place], second[0], replied[name])[second[5]]
+        for name, own, total in (("target", 2, wanted_tokens), ("every", 1, tokens)):
+            counts = np.concatenate((first[own], second[own])).astype(np.float64)
+            counts[place] = said.column(name).to_numpy()
+            one = counts[: len(first[0])][first[4]]
+            two = counts[len(first[0]) :][second[4]]
             chance = (one + ADDED) / (total + ADDED * words) if words else one
-            at = second[4]
+            at = second[3]
             pair = np.where(one[at] > 0, two / np.maximum(one[at], 1), chance[at + 1])
             chance[at + 1] = BIGRAM * pair + (1 - BIGRAM) * chance[at + 1]
             loss[name] = -np.bincount(chunk.doc, np.log(chance), len(n)) / np.maximum(n, 1)

@@ -8,9 +8,9 @@ whose hashes then find the smallest doc_id that has each of them; adjacent windo
 up the maximal repeats.
 
 Documents travel in chunks of a few megabytes. A chunk sends each of its different
-probes once, as the part of a hash that its bucket does not say, and gets one bit back;
-the same holds for full windows. So a passage that a third of all documents share is
-one number a chunk in every exchange, and no text leaves its chunk.
+probes once, a row of two numbers, and gets those back that are hit; the same holds for
+full windows. So a passage that a third of all documents share is one row a chunk in
+every exchange, rows sent are at most as many as words, and no text leaves its chunk.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.chunks import Chunk, bucket_of, narrow, numbered, pack, rolling, runs, wide
+from tablekin.llm.chunks import Chunk, bucket_of, numbered, pack, rolling, rows
 from tablekin.llm.common import word_blocks
 from tablekin.session import settle
 
@@ -41,8 +41,9 @@ class _Repeats(Chunk):
         self.width, self.block = width, (width + 1) // 2
 
     def probes(self, buckets: int) -> tuple[np.ndarray, ...]:
-        """Different probes in the order they are sent: bucket and value of each, the
-        number of each position's probe, its position, and whether it is hit at home."""
+        """Different probes in rising order, each a bucket above 31 bits of a hash and the
+        bit of blocks; the number of each position's probe, its position, and whether
+        each probe is hit at home."""
         at = self.inside(self.block)
         hashes = rolling(self.words, self.block, 0)[at]
         bucket = bucket_of(hashes, buckets)
@@ -53,8 +54,8 @@ class _Repeats(Chunk):
         is_block[number[(at - self.starts[self.doc[at]]) % self.block == 0]] = True
         doc = self.doc[at][order]
         home = is_block & (doc[first] != doc[last])
-        value = ((short[order][first] & np.uint64(0x7FFFFFFF)) << np.uint64(1)) | is_block.astype(np.uint64)
-        return bucket[order][first].astype(np.int64), value, number, at, home
+        probe = (short[order][first] << np.uint64(1)) | is_block.astype(np.uint64)
+        return probe.astype(np.int64), number, at, home
 
     def windows(self, hit: np.ndarray, number: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
         """Windows of full width around hits: bucket, hash and smallest doc_id of each
@@ -89,58 +90,51 @@ class _Repeats(Chunk):
             yield n, removed, b" ".join(words)
 
 
-def _bits(replies: pa.Table, kind: int, bucket: np.ndarray) -> np.ndarray:
-    """The bit sent back for each entry, in the order of the entries."""
-    out = np.zeros(len(bucket), bool)
-    said = {
-        b: x
-        for k, b, x in zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "bits")))
-        if k == kind
-    }
-    for b, low, high in runs(bucket):
-        out[low:high] = np.unpackbits(np.frombuffer(said[b], np.uint8), count=high - low).astype(bool)
-    return out
-
-
-_REPLY = "chunk long, kind int, bucket int, bits binary"
-
-
-def _reply(table: pa.Table, kind: int, sizes: list[int], bits: np.ndarray) -> pa.Table:
-    parts = np.split(bits, np.cumsum(sizes)[:-1])
-    n = table.num_rows
-    return pa.table(
-        {
-            "chunk": table.column("chunk"),
-            "kind": pa.array([kind] * n, pa.int32()),
-            "bucket": table.column("bucket"),
-            "bits": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary()),
-        }
-    )
+def _replied(replies: pa.Table, kind: int) -> np.ndarray:
+    """The entries of one kind that were sent back."""
+    entry = replies.column("entry").to_numpy()
+    return entry[replies.column("kind").to_numpy() == kind]
+
+
+_REPLY = "chunk long, kind int, entry long"
+
+
+def _reply(table: pa.Table, kind: int, entry: str, said: np.ndarray) -> pa.Table:
+    """The rows of which something is to be said, back to their chunks."""
+    kept = table.select(["chunk", entry]).filter(pa.array(said))
+    kinds = pa.array(np.full(kept.num_rows, kind, np.int32))
+    return pa.table({"chunk": kept.column("chunk"), "kind": kinds, "entry": kept.column(entry)})
 
 
 def _hits(table: pa.Table) -> pa.Table:
-    """For each probe of a bucket: does it meet a block across two chunks."""
-    lists = [wide(x) for x in table.column("probes").to_pylist()]
-    value = np.concatenate(lists)
-    source = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    key = value >> np.uint64(1)
-    order, first, number = numbered(key)
-    last = np.append(first[1:], len(order)) - 1
-    block = np.maximum.reduceat((value & np.uint64(1))[order], first).astype(bool)
-    hit = block & (source[order][first] != source[order][last])
-    return _reply(table, 1, [len(x) for x in lists], hit[number])
+    """Probes of a bucket that meet a block across two chunks."""
+    probe, chunk = table.column("probe").to_numpy(), table.column("chunk").to_numpy()
+    order, first, number = numbered(probe >> 1)
+    block = np.maximum.reduceat((probe & 1)[order], first).astype(bool)
+    source = chunk[order]
+    hit = block & (np.minimum.reduceat(source, first) != np.maximum.reduceat(source, first))
+    return _reply(table, 1, "probe", hit[number])
 
 
 def _smaller(table: pa.Table) -> pa.Table:
-    """For each window of a bucket: does another chunk have it under a smaller doc_id."""
-    lists = [np.frombuffer(x, np.uint64) for x in table.column("windows").to_pylist()]
-    names = [np.frombuffer(x, np.int64) for x in table.column("names").to_pylist()]
-    which = [np.frombuffer(x, np.uint32) for x in table.column("which").to_pylist()]
-    window = np.concatenate(lists)
-    doc_id = np.concatenate([n[w] for n, w in zip(names, which)])
-    order, first, number = numbered(window)
+    """Windows of a bucket that another chunk has under a smaller doc_id."""
+    doc_id = table.column("doc_id").to_numpy()
+    order, first, number = numbered(table.column("window").to_numpy())
     least = np.minimum.reduceat(doc_id[order], first)
-    return _reply(table, 2, [len(x) for x in lists], least[number] < doc_id)
+    return _reply(table, 2, "entry", least[number] < doc_id)
+
+
+def _probes(chunks: DataFrame, width: int, buckets: int) -> DataFrame:
+    """``(chunk, bucket, probe)``: each different probe of each chunk once."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sent, *_ = _Repeats(row, width).probes(buckets)
+                bucket = (sent >> 32).astype(np.int32)
+                yield from rows({"chunk": np.full(len(sent), row["chunk"]), "bucket": bucket, "probe": sent})
+
+    return chunks.mapInArrow(probe, "chunk long, bucket int, probe long")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -157,66 +151,47 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     probed, matched = (max(BUCKETS, math.ceil(size / each)) for each in (PROBED, MATCHED))
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _Repeats(row, width)
-                bucket, value, *_ = chunk.probes(probed)
-                parts = list(runs(bucket))
-                yield pa.record_batch(
-                    [
-                        pa.array([row["chunk"]] * len(parts), pa.int64()),
-                        pa.array([b for b, _, _ in parts], pa.int32()),
-                        pa.array([narrow(value[low:high]) for _, low, high in parts], pa.binary()),
-                    ],
-                    ["chunk", "bucket", "probes"],
-                )
-
-    probes = chunks.mapInArrow(probe, "chunk long, bucket int, probes binary")
-    replies = settle(probes.groupBy("bucket").applyInArrow(_hits, _REPLY), "hits")
+    replies = settle(_probes(chunks, width, probed).groupBy("bucket").applyInArrow(_hits, _REPLY), "hits")
 
     def opened(group: pa.Table, said: pa.Table) -> tuple:
         row = group.to_pylist()[0]
         chunk = _Repeats(row, width)
-        bucket, _, number, at, home = chunk.probes(probed)
-        return row["chunk"], chunk, chunk.windows(home | _bits(said, 1, bucket), number, at, matched)
+        sent, number, at, hit = chunk.probes(probed)
+        hit[np.searchsorted(sent, _replied(said, 1))] = True
+        return row["chunk"], chunk, chunk.windows(hit, number, at, matched)
 
     def window(group: pa.Table, said: pa.Table) -> pa.Table:
         name, _, (bucket, hashes, doc_id, *_) = opened(group, said)
-        parts = list(runs(bucket))
-        names, which = [], []
-        for _, low, high in parts:
-            some, place = np.unique(doc_id[low:high], return_inverse=True)
-            names.append(some.tobytes())
-            which.append(place.astype(np.uint32).tobytes())
         return pa.table(
             {
-                "chunk": pa.array([name] * len(parts), pa.int64()),
-                "bucket": pa.array([b for b, _, _ in parts], pa.int32()),
-                "windows": pa.array([hashes[low:high].tobytes() for _, low, high in parts], pa.binary()),
-                "names": pa.array(names, pa.binary()),
-                "which": pa.array(which, pa.binary()),
+                "chunk": pa.array(np.full(len(bucket), name, np.int64)),
+                "bucket": pa.array(bucket.astype(np.int32)),
+                "window": pa.array(hashes.view(np.int64)),
+                "doc_id": pa.array(doc_id),
+                "entry": pa.array(np.arange(len(bucket))),
             }
         )
 
     sent = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
-        window, "chunk long, bucket int, windows binary, names binary, which binary"
+        window, "chunk long, bucket int, window long, doc_id long, entry long"
     )
     smaller = settle(sent.groupBy("bucket").applyInArrow(_smaller, _REPLY), "smaller")
 
     def remove(group: pa.Table, said: pa.Table) -> pa.Table:
         _, chunk, (bucket, _, least, number, start, doc_id) = opened(group, said)
-        taken = start[_bits(said, 2, bucket)[number] | (doc_id > least[number])]
+        elsewhere = np.zeros(len(bucket), bool)
+        elsewhere[_replied(said, 2)] = True
+        taken = start[elsewhere[number] | (doc_id > least[number])]
         step = np.zeros(len(chunk.words) + 1, np.int64)
         np.add.at(step, taken, 1)
         np.add.at(step, taken + width, -1)
-        rows = list(chunk.keep(np.cumsum(step)[:-1] > 0))
+        kept = list(chunk.keep(np.cumsum(step)[:-1] > 0))
         return pa.table(
             {
                 "doc_id": pa.array(chunk.ids, pa.int64()),
-                "n_words": pa.array([r[0] for r in rows], pa.int64()),
-                "n_removed": pa.array([r[1] for r in rows], pa.int64()),
-                "text": pa.array([r[2] for r in rows], pa.binary()).cast(pa.string()),
+                "n_words": pa.array([r[0] for r in kept], pa.int64()),
+                "n_removed": pa.array([r[1] for r in kept], pa.int64()),
+                "text": pa.array([r[2] for r in kept], pa.binary()).cast(pa.string()),
             }
         )
 

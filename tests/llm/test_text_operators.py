@@ -9,6 +9,7 @@ import sentencepiece
 from helpers import corpus, frame, prose
 
 from tablekin.llm import bpe, decontamination, scoring, substrings, toxicity
+from tablekin.llm.chunks import pack
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -41,6 +42,21 @@ def test_repeats_by_brute_force(spark, monkeypatch):
     assert substrings.without_repeats(frame(spark, docs).where("false")).collect() == []
 
 
+def test_rows_sent_grow_with_the_words_alone(spark, monkeypatch, tmp_path):
+    """Not with chunks times buckets, of which both grow with the input."""
+    monkeypatch.setattr("tablekin.llm.chunks.CHUNK", 2000)
+    for n in (40, 80, 160):
+        docs = corpus(n=n)
+        words = sum(len(split(text)) for _, text, _ in docs)
+        pack(frame(spark, docs)).write.parquet(str(tmp_path / f"{n}"))
+        chunks = spark.read.parquet(str(tmp_path / f"{n}"))
+        for sent, per_word in ((substrings._probes, 1), (scoring._sent, 2)):
+            width = (13,) if per_word == 1 else ()
+            rows = [sent(chunks, *width, buckets).count() for buckets in (n // 10, 4 * n)]
+            assert rows[0] == pytest.approx(rows[1], rel=1e-3)
+            assert 0.3 * words < rows[1] <= per_word * words
+
+
 def test_token_counts_equal_the_library(spark):
     rng = random.Random(5)
     odd = "  ▁▁ab the \n\n\t\réß日本𓀀x.,</s><0x0A>\u200b \x00ing"
