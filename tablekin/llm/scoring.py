@@ -29,7 +29,7 @@ from tablekin.llm.common import is_small
 from tablekin.session import settle
 
 #: Bytes of text whose n-grams meet in one bucket, and buckets of an order at least.
-COUNTED, BUCKETS = 12 << 20, 64
+COUNTED, BUCKETS = 6 << 20, 64
 
 #: Weight of the bigram share against the word share; count added to every word.
 BIGRAM, ADDED = 0.6, 0.1
