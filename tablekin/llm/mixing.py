@@ -8,9 +8,11 @@ or to the largest one whose mix reaches a target entropy.
 Weights become numbers of copies: a source that is owed several passes is taken whole
 that often, and for the rest of its budget along a permutation. The permutation is one
 of blocks: documents fall into blocks of bounded size by the hash of their doc_id,
-blocks stand in hashed order, and so do documents inside a block. Only the block in
-which a source's budget ends is ever sorted, so a source with a third of all rows costs
-no task more than a small one does.
+blocks stand in hashed order, and so do documents inside a block. Where a source's
+budget ends is found in three steps: among ranges of that order, 4,096 at most, then
+among the blocks of one range, then among the documents of one block. Only those are
+ever sorted together, so of a source with a third of all rows a task sorts one block in
+4,096.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablekin.llm.common import is_small, n_words
-from tablekin.llm.placement import key_number
+from tablekin.llm.placement import KEY_BITS, key_number
 from tablekin.session import settle
 
 #: Steps of the exponent's grid, documents of a block, and sources that are broadcast.
@@ -31,6 +33,9 @@ GRID, BLOCK, FEW = 1 << 20, 1024, 50_000
 
 _FAN = 32
 
+#: Log2 of the ranges into which the order of a source's blocks is cut.
+RANGE_BITS = 12
+
 
 @dataclass(frozen=True)
 class Target:
@@ -142,6 +147,16 @@ def plan(docs: DataFrame, target: Target, seed: int = 7) -> DataFrame:
     placed = placed.select("p.source", "p.rest", "s.words", "s.key", F.pmod(F.col("s.key"), F.col("p.blocks")).alias("block"))
     per_block = placed.groupBy("source", "block").agg(F.sum("words").alias("words"), F.first("rest").alias("rest"))
     per_block = per_block.withColumn("order", _order(F.col("block"), seed))
+    per_block = per_block.withColumn("range", F.shiftright("order", KEY_BITS - RANGE_BITS))
+    per_block = settle(per_block, "mix-blocks")
+    # The last range that the rest reaches into, and what it leaves for that one.
+    per_range = per_block.groupBy("source", "range").agg(F.sum("words").alias("words"), F.first("rest").alias("rest"))
+    w = Window.partitionBy("source").orderBy("range")
+    per_range = per_range.withColumn("left", F.col("rest") - F.sum("words").over(w) + F.col("words"))
+    reached = per_range.where("left > 0").groupBy("source").agg(F.max_by(F.struct("range", "left"), "range").alias("end"))
+    b, r = per_block.alias("b"), hint(reached.select("source", "end.*")).alias("r")
+    same = F.col("b.source").eqNullSafe(F.col("r.source")) & (F.col("b.range") == F.col("r.range"))
+    per_block = b.join(r, same).select("b.source", "b.block", "b.order", "b.words", F.col("r.left").alias("rest"))
     w = Window.partitionBy("source").orderBy("order", "block")
     per_block = per_block.withColumn("before", F.sum("words").over(w) - F.col("words"))
     # The last block that the rest reaches into; it is taken in part.

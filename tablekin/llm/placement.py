@@ -47,10 +47,14 @@ def fill(shards: tuple[str, ...], slots: int) -> tuple[int, ...]:
     return tuple(table)
 
 
+#: Bits of the numbers of :func:`key_number`, four a hexadecimal digit.
+KEY_BITS = 60
+
+
 def key_number(key: Column) -> Column:
     """60 bits of the MD5 of a key's text; a missing key counts as the empty text."""
     text = F.coalesce(key.cast("string"), F.lit(""))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def lookup(table: tuple[int, ...]) -> Column:

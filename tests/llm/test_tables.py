@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from check_oracles import compare
-from helpers import corpus, frame
+from helpers import corpus, frame, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -55,6 +55,30 @@ def test_mixing_without_a_budget_drops_nothing(spark):
     assert out.count() == mixed.agg(F.sum("copies")).first()[0]
 
 
+@pytest.mark.parametrize("bits", [1, 5, 12])
+def test_mixing_cuts_a_hot_source_where_its_budget_ends(spark, monkeypatch, bits):
+    """By brute force, one source holding nine rows in ten."""
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    monkeypatch.setattr(mixing, "RANGE_BITS", bits)
+    rng = random.Random(bits)
+    rows = [(i, prose(rng, rng.randrange(1, 9)), "hot" if i % 10 else f"s{i % 3}") for i in range(600)]
+    df, target = frame(spark, rows), mixing.Target(repeats=1.6, budget=0.9)
+    planned = {r["source"]: r for r in mixing.plan(df, target).collect()}
+    assert sum(r["wanted"] % r["tokens"] > 0 for r in planned.values()) >= 3
+    expected = {}
+    for source, p in planned.items():
+        own, left = [], p["wanted"] - p["passes"] * p["tokens"]
+        for i, text, s in rows:
+            if s == source:
+                key = placement._number(f"mix-7:{i}")
+                block = key % p["blocks"]
+                own.append((placement._number(f"block-7:{block}"), block, key, i, len(text.split())))
+        for *_, i, n in sorted(own):
+            left -= n
+            expected[i] = p["passes"] + (left >= 0)
+    assert {r["doc_id"]: r["copies"] for r in mixing.mix(df, target).collect()} == expected
+
+
 def test_mixing_to_an_entropy(spark):
     shares = spark.createDataFrame([(0.7,), (0.2,), (0.1,)], "share double")
     step = mixing.exponent(shares, mixing.Target(entropy=0.95))
