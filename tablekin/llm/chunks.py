@@ -1,10 +1,11 @@
 """Documents in compressed chunks, and hashes of their words in buckets.
 
 Operators that compare every word of a corpus with every other send each different hash
-of a chunk once, as a row of its own, to the bucket that its upper bits name, and get a
-row back for each that the answer is not plain for. So rows grow with the text alone, not
-with chunks times buckets, and Spark's shuffle and sort may cut and spill them anywhere.
-How often a chunk repeats something adds nothing.
+of a chunk once to the bucket that its upper bits name. How often a chunk repeats
+something adds nothing. A hash may go as a row of its own (:func:`rows`), so that rows
+grow with the text alone, or packed with those of the chunk and bucket (:func:`narrow`),
+which takes less disk while buckets are few, but makes rows as many as chunks times
+buckets.
 """
 
 from __future__ import annotations
@@ -114,6 +115,13 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Bucket, begin and end of each run of equal buckets."""
+    if len(bucket):
+        cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
+        yield from zip(bucket[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist())
+
+
 def rows(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Columns of equal length as batches of bounded size."""
     table = pa.table({name: pa.array(values) for name, values in columns.items()})
@@ -129,3 +137,17 @@ def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number = np.empty(len(keys), np.int64)
     number[order] = np.cumsum(new) - 1
     return order, np.flatnonzero(new), number
+
+
+def narrow(values: np.ndarray, low: int = 3) -> bytes:
+    """Sorted numbers: how many have each high byte, then their ``low`` lower bytes."""
+    high = np.bincount((values >> np.uint64(8 * low)).astype(np.int64), minlength=256).astype("<u4")
+    return high.tobytes() + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].tobytes()
+
+
+def wide(data: bytes, low: int = 3) -> np.ndarray:
+    """The numbers that :func:`narrow` wrote."""
+    high = np.repeat(np.arange(256, dtype=np.uint64), np.frombuffer(data, "<u4", 256))
+    out = np.zeros((len(high), 8), np.uint8)
+    out[:, :low] = np.frombuffer(data, np.uint8, offset=1024).reshape(-1, low)
+    return out.view("<u8").ravel() | (high << np.uint64(8 * low))

@@ -50,11 +50,9 @@ def test_rows_sent_grow_with_the_words_alone(spark, monkeypatch, tmp_path):
         words = sum(len(split(text)) for _, text, _ in docs)
         pack(frame(spark, docs)).write.parquet(str(tmp_path / f"{n}"))
         chunks = spark.read.parquet(str(tmp_path / f"{n}"))
-        for sent, per_word in ((substrings._probes, 1), (scoring._sent, 2)):
-            width = (13,) if per_word == 1 else ()
-            rows = [sent(chunks, *width, buckets).count() for buckets in (n // 10, 4 * n)]
-            assert rows[0] == pytest.approx(rows[1], rel=1e-3)
-            assert 0.3 * words < rows[1] <= per_word * words
+        rows = [substrings._probes(chunks, 13, buckets).count() for buckets in (n // 10, 4 * n)]
+        assert rows[0] == pytest.approx(rows[1], rel=1e-3)
+        assert 0.3 * words < rows[1] <= words
 
 
 def test_token_counts_equal_the_library(spark):
