@@ -345,3 +345,18 @@ def test_mixing_stage_keeps_a_column_called_copies(spark):
     out = corpus_pipeline.mix_sources(spark, docs, "")
     assert out.columns == docs.columns
     assert {r["copies"] for r in out.select("copies").collect()} == {"mine"}
+
+
+def test_templates_of_a_host_and_a_url_with_most_pages(spark, monkeypatch):
+    # All keys by shuffle, all by broadcast, and some by each give the same rows.
+    rng = random.Random(5)
+    pages = [(i, f"x://big.com/{rng.choice(['de', 'fr', 'go'])}/{rng.randrange(30)}/{i % 7}") for i in range(300)]
+    pages += [(1000 + i, "x://big.com/go/1") for i in range(300)]
+    pages += [(2000 + i, f"x://h{i}.net/a/{i}") for i in range(30)] + [(3000, None), (None, "x://big.com/go/1")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string")
+    found = []
+    for often in (10**9, 20, 0):
+        monkeypatch.setattr(urls, "FREQUENT", often)
+        found.append(sorted(map(repr, urls.verdicts(df, tree=urls.Tree(levels=2, support=3)).collect())))
+    assert len(found[0]) == len(pages)
+    assert found[0] == found[1] == found[2]
