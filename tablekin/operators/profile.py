@@ -12,10 +12,8 @@ from pyspark.sql import types as T
 from tablekin.functions import values as V
 from tablekin.operators import cells as C
 
-# Few enough for the generated code of a pass to stay near the method size the
-# JVM compiles: 8 per pass took half as long again. 2 would be faster still on one
-# machine, at the price of twice the stages.
-COLUMNS_PER_PASS = 4
+#: Columns whose statistics are taken in one pass over the source.
+COLUMNS_PER_PASS = 100
 
 
 def _number(value: Column, text: Column, data_type: T.DataType) -> Column:
@@ -26,23 +24,28 @@ def _number(value: Column, text: Column, data_type: T.DataType) -> Column:
     return V.float_value(text)
 
 
-def _all_numeric(text: Column, number: Column) -> Column:
-    """NULL for a column without values."""
-    return F.bool_and(F.when(text.isNotNull(), number.isNotNull()))
+def _kind(text: Column, number: Column) -> Column:
+    """What one cell is; NULL for a missing one."""
+    whole = ~F.isnan(number) & (F.rint(number) == number)
+    return (
+        F.when(text.isNull(), F.lit(None).cast("string"))
+        .when(number.isNull(), "STRING").when(whole, "INTEGER").otherwise("FLOAT")
+    )
 
 
-def _real_type(text: Column, number: Column) -> Column:
-    numeric = _all_numeric(text, number)
-    whole = F.bool_and(
-        F.when(number.isNotNull(), ~F.isnan(number) & (F.rint(number) == number))
-    )
-    kind = F.when(numeric & whole, "INTEGER").when(numeric, "FLOAT")
-    return kind.when(numeric.isNotNull(), "STRING")
+def _real_type(kinds: Column) -> Column:
+    """The widest kind a column has; NULL for a column without values."""
+    widest = F.when(F.size(kinds) == 0, F.lit(None).cast("string"))
+    for kind in ("STRING", "FLOAT"):
+        widest = widest.when(F.array_contains(kinds, kind), kind)
+    return widest.otherwise("INTEGER")
 
 
 def _statistics(name: str, text: Column, number: Column) -> Column:
     ordered = F.when(~F.isnan(number), number)
-    numeric = _all_numeric(text, number)
+    # At most three kinds, whatever the data.
+    kinds = F.collect_set(_kind(text, number))
+    numeric = (F.size(kinds) > 0) & ~F.array_contains(kinds, "STRING")
     size = F.octet_length(text)
     return F.struct(
         F.lit(name).alias("column_name"),
@@ -53,20 +56,19 @@ def _statistics(name: str, text: Column, number: Column) -> Column:
         F.max(size).alias("max_length"),
         F.when(numeric, F.min(ordered)).alias("min_numeric"),
         F.when(numeric, F.max(ordered)).alias("max_numeric"),
-        _real_type(text, number).alias("real_type"),
+        _real_type(kinds).alias("real_type"),
     )
 
 
 def _type_only(name: str, text: Column, number: Column) -> Column:
-    return F.struct(
-        F.lit(name).alias("column_name"), _real_type(text, number).alias("real_type")
-    )
+    kinds = F.collect_set(_kind(text, number))
+    return F.struct(F.lit(name).alias("column_name"), _real_type(kinds).alias("real_type"))
 
 
 def _one_pass_each(
     df: DataFrame, columns: Sequence[str] | None, per_column
 ) -> DataFrame:
-    """Aggregate groups of columns side by side, each over its own columns only.
+    """Aggregate all columns side by side, in one pass for each ``COLUMNS_PER_PASS``.
 
     Text and number of a cell are projected first, so that they are computed
     once per cell rather than once per statistic.
@@ -90,10 +92,11 @@ def _one_pass_each(
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row of statistics per column, over its non-empty values.
 
-    Every column is an aggregate of its own in one ungrouped pass. Grouping by
-    column name instead would sort all cells, since text minima cannot be kept
-    in a hash table. Very wide tables take several passes, each over its own
-    columns.
+    The source is read once: all columns are aggregates of one ungrouped pass, which
+    keeps its text minima and sets of kinds as objects, so no cell is shuffled or
+    sorted and a task sends one row. Only tables of more than ``COLUMNS_PER_PASS``
+    columns take more passes, each over its own columns. A pass has as many tasks as
+    the source has splits; deal a small source out over the cores first.
     """
     return _one_pass_each(df, columns, _statistics)
 

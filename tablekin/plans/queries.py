@@ -527,17 +527,17 @@ def q_evidence_report(spark, sf_dir):
 
 @query
 def q_column_profile(spark, sf_dir):
-    return PR.column_profile(table(spark, sf_dir, "lineitem"))
+    return PR.column_profile(spread(table(spark, sf_dir, "lineitem")))
 
 
 @query
 def q_column_profile_text(spark, sf_dir):
-    return PR.column_profile(table(spark, sf_dir, "documents"))
+    return PR.column_profile(spread(table(spark, sf_dir, "documents")))
 
 
 @query
 def q_real_type(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     texts = orders.select([C.quoted(c).cast("string").alias(c) for c in orders.columns])
     return PR.real_type(texts)
 
@@ -671,7 +671,7 @@ def q_bad_lines(spark, sf_dir):
 
 @query
 def q_typed_load(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     texts = orders.select([C.quoted(c).cast("string").alias(c) for c in orders.columns])
     found = L.typed_load(texts, "o_orderkey", DECLARED_ORDERS, strict=False)
     return found.select(
@@ -686,7 +686,7 @@ def q_typed_load(spark, sf_dir):
 
 @query
 def q_load_rejects(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     texts = orders.select([C.quoted(c).cast("string").alias(c) for c in orders.columns])
     found = L.load_rejects(texts, "o_orderkey", DECLARED_ORDERS)
     return found.withColumn("row_id", F.col("row_id").cast("bigint"))

@@ -49,6 +49,22 @@ def test_profile_needs_no_shuffle_of_cells(spark, small):
     assert "hashpartitioning" not in plan and "Sort [" not in plan
 
 
+def test_profile_reads_its_source_once(spark, small):
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    for found in (PR.column_profile(lines), PR.real_type(lines)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1
+
+
+def test_profile_of_more_columns_than_a_pass(spark, monkeypatch):
+    wide = spark.range(20).select(*[(F.col("id") * i).cast("string" if i % 2 else "double").alias(f"c{i}") for i in range(130)])
+    whole = rows(PR.column_profile(wide))
+    assert len(whole) == 130
+    monkeypatch.setattr(PR, "COLUMNS_PER_PASS", 7)
+    assert rows(PR.column_profile(wide)) == whole
+    assert rows(PR.column_profile(wide.limit(0)).select("null_count", "real_type")) == [(0, None)] * 130
+
+
 def test_sketches_merge_into_that_of_the_whole(spark):
     df = spark.range(40_000).select(
         F.col("id").alias("k"), (F.col("id") % 1000).cast("string").alias("t"), F.lit(None).cast("string").alias("e")
