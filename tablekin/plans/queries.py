@@ -21,7 +21,7 @@ from tablekin.operators import peers as P
 from tablekin.operators import profile as PR
 from tablekin.operators import rows as R
 from tablekin.plans.discovery import JoinDiscovery, Table, from_dumps
-from tablekin.session import prepare, settle, spread, work_dir
+from tablekin.session import divided, prepare, settle, spread, work_dir
 from tablekin.sources import catalog as CT
 from tablekin.sources import dump as D
 from tablekin.sources.store import Store
@@ -60,7 +60,7 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return divided(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def sets(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -749,7 +749,7 @@ def q_value_index_store(spark, sf_dir):
 def q_value_index_lookup(spark, sf_dir):
     """Cells of all columns of lines whose key is that of the number 1."""
     store = Store(spark, work_dir(prepare(spark), "index"))
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     store.write_value_index(C.value_index(lines, "l_orderkey"), "lineitem")
     return store.read_value_index("lineitem", match_key="1")
 

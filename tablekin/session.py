@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,23 @@ SESSION_CONF = {
 }
 
 
+#: Most bytes that one task reads, of files and of a shuffle, as they lie compressed. Rows of
+#: numbers take forty times as much when a task groups or sorts them, so these bound its
+#: memory, however large the table.
+MOST_BYTES = {
+    "spark.sql.files.maxPartitionBytes": 16 * 2**20,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 * 2**20,
+}
+#: Shuffle partitions per split of a scan before small ones are merged.
+PARTS_PER_SPLIT = 16
+_UNITS = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}
+
+
+def _bytes(text: str) -> int:
+    number, unit = re.fullmatch(r"\s*([0-9]+)\s*([a-z]?)b?\s*", text.lower()).groups()
+    return int(number) << _UNITS[unit]
+
+
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Add the settings of this package to a session builder."""
     for key, value in SESSION_CONF.items():
@@ -28,9 +46,27 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session that already exists."""
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
+    for key, most in MOST_BYTES.items():
+        if _bytes(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
     return spark
 
 
+def divided(scan: DataFrame) -> DataFrame:
+    """Let shuffles begin with partitions in proportion to the splits of a scan.
+
+    A fixed number of them makes each grow with the table, and with it the memory of its
+    task. Adaptive execution merges those that turn out small, so a small table loses
+    nothing. The number only ever rises in a session.
+    """
+    spark, name = scan.sparkSession, "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    told = int(spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = PARTS_PER_SPLIT * scan.rdd.getNumPartitions()
+    if wanted > told:
+        spark.conf.set(name, str(wanted))
+    return scan
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared folder the cluster names.
 

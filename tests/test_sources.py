@@ -436,3 +436,26 @@ def test_what_a_lost_run_leaves_behind_is_not_read(spark, tmp_path):
     store.compact_value_sets("t")
     shutil.rmtree(tmp_path / "store" / "value_set_runs" / "t" / "load=c")  # no longer needed
     assert rows(store.read_added_value_sets("t")) == full
+
+
+def test_tasks_of_large_tables_stay_small(spark, tmp_path):
+    """What a task reads is bounded, and shuffles begin with parts by the size of a scan."""
+    from tablekin import session
+    from tablekin.plans.queries import table
+
+    keys = (*session.MOST_BYTES, "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    before = {key: spark.conf.get(key, None) for key in keys}
+    try:
+        for key in session.MOST_BYTES:
+            spark.conf.set(key, "128MB")
+        session.prepare(spark)
+        assert {key: int(spark.conf.get(key)) for key in session.MOST_BYTES} == session.MOST_BYTES
+        spark.conf.set(keys[0], "64k")
+        session.prepare(spark)
+        assert spark.conf.get(keys[0]) == "64k"
+        spark.range(40_000).repartition(8).write.parquet(f"{tmp_path}/t.parquet")
+        splits = table(spark, str(tmp_path), "t").rdd.getNumPartitions()
+        assert int(spark.conf.get(keys[-1])) >= session.PARTS_PER_SPLIT * splits
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
