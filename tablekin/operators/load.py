@@ -40,6 +40,16 @@ NUMBER_TEXT = r"\A\s*[+-]?([0-9]*)[.]?([0-9]*)(?:[eE]([+-]?[0-9]{1,9}))?\s*\z"
 MOST_DIGITS = 38
 
 
+def _plainly_fits(value: Column, precision: int, scale: int) -> Column:
+    """Whether a text is digits with at most one point, no more of them on either side
+    than declared. Such a number breaks no rule, and most are told so without a pattern."""
+    rest = F.translate(value, "0123456789", "")
+    whole = F.length(F.substring_index(value, ".", 1))
+    part = F.length(value) - whole - F.length(rest)
+    few = (whole <= precision - scale) & (part <= scale) & (whole + part > 0)
+    return rest.isin("", ".") & few
+
+
 def _number_rule(value: Column, precision: int, scale: int) -> Column:
     """What keeps a text from being a decimal of this precision and scale, exactly.
 
@@ -58,7 +68,8 @@ def _number_rule(value: Column, precision: int, scale: int) -> Column:
     )
     counting = F.length(F.ltrim(ended, F.lit("0")))
     return (
-        F.when(~value.rlike(NUMBER_TEXT) | (digits == ""), "number")
+        F.when(_plainly_fits(value, precision, scale), F.lit(None).cast("string"))
+        .when(~value.rlike(NUMBER_TEXT) | (digits == ""), "number")
         .when(counting == 0, F.lit(None).cast("string"))
         .when(counting > MOST_DIGITS, "digits")
         .when(-shift > scale, "scale")

@@ -459,3 +459,16 @@ def test_tasks_of_large_tables_stay_small(spark, tmp_path):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_plain_numbers_are_told_without_a_pattern(spark):
+    texts = ["0", "00", "12", "123", "1.2", "12.", ".5", "1.23", ".", "1.2.3", "-1", "+1", " 1", "1e1", "x", "9" * 40, "0" * 40, "12.30", "٣"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    plain = L._plainly_fits(F.col("v"), 4, 2).alias("plain")
+    rule = L.broken_rule(F.col("v"), {"name": "v", "data_type": "NUMBER", "precision": 4, "scale": 2}).alias("rule")
+    told = {r["v"]: (r["plain"], r["rule"]) for r in df.select("v", plain, rule).collect()}
+    assert {v for v, (fits, _) in told.items() if fits} == {"0", "00", "12", "1.2", "12.", ".5", "1.23", "12.30"}
+    assert all(rule is None for fits, rule in told.values() if fits)
+    assert {v: told[v][1] for v in (".", "123", "9" * 40, "0" * 40, "-1", "1e1", "x", "٣")} == {
+        ".": "number", "123": "precision", "9" * 40: "digits", "0" * 40: None, "-1": None, "1e1": None, "x": "number", "٣": "number",
+    }
