@@ -26,7 +26,7 @@ MOST_BYTES = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 * 2**20,
 }
 #: Shuffle partitions per split of a scan before small ones are merged.
-PARTS_PER_SPLIT = 16
+PARTS_PER_SPLIT = 24
 _UNITS = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}
 
 
