@@ -10,19 +10,20 @@ tokens, a link.
 
 Both tokenizers can be cut before a run of blanks or line feeds that follows any other
 visible character: A's pattern starts anew there, and no piece of B holds such a mark
-behind a character. The units between these cuts repeat. A task encodes each unit of a
-chunk of documents once, many of them in one text, and puts documents together from
-units. A chunk is written with its units, so the second step, which needs the counts of
-id pairs over the corpus, encodes nothing again. Counts are joined to the different id
-pairs of each chunk, so what is shuffled follows chunks and not tokens.
+behind a character. The units between these cuts repeat. A task numbers the units it
+meets, encodes each of them once while it remembers it, many in one text, and puts
+documents together from units. A chunk is written with its units, so the second step,
+which needs the counts of id pairs over the corpus, encodes nothing again. Counts are
+joined to the different id pairs of each chunk, so what is shuffled follows chunks and
+not tokens.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,16 @@ from pyspark.sql import functions as F
 from tablekin.session import settle
 
 #: Bytes of text in a chunk (a longer document is one of its own), characters encoded at
-#: once, units a task remembers, and the longest of them.
-CHUNK, TEXT, MEMORY, LONGEST = 4 << 20, 1 << 15, 250_000, 64
+#: once, units a task remembers and their characters, and the longest unit that stays when
+#: there are more. Both tokenizers are slower by the character in longer texts.
+CHUNK, TEXT, MEMORY, LETTERS, LONGEST = 4 << 20, 1 << 12, 250_000, 4 << 20, 64
 
 #: B's space mark, the form of its byte pieces, and what a text starts with that units
 #: are put into (fixed values).
 MARK, BYTE_PIECE, LEAD = "▁", re.compile(r"<0x([0-9A-F]{2})>"), " a"
 
 _UNIT, _ODD = re.compile(r"[ \n]+[^ \n]*"), re.compile(rf"[^\S \n][ \n]|{MARK}[ \n]")
+_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f"
 _B_BITS = 24
 
 
@@ -54,16 +57,6 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Unit:
-    """The tokens of one unit: counts, groups as text, and its links as bytes of id pairs."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "pairs", "same")
-
-    def __init__(self, n_a: int, n_b: int, n_groups: int, text: str, pairs: bytes, same: bool):
-        self.n_a, self.n_b, self.n_groups = n_a, n_b, n_groups
-        self.text, self.pairs, self.same = text, pairs, same
-
-
 def units_of(text: str) -> list[str]:
     """A space and the text, cut where both tokenizers may be cut.
 
@@ -71,7 +64,8 @@ def units_of(text: str) -> list[str]:
     one behind it.
     """
     units = _UNIT.findall(" " + text)
-    if not _ODD.search(text):
+    # ASCII texts without other white space, which most are, need no search.
+    if text.isascii() and not any(c in text for c in _SPACES) or not _ODD.search(text):
         return units
     joined, held = [], ""
     for u in units:
@@ -90,8 +84,19 @@ class Places(dict):
         return place
 
 
+#: What is known of a unit: its tokens on each side, its groups and links, and whether
+#: both tokenizers give it back.
+_NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
+_KNOWN = [*_NUMBERS, "same"]
+
+
 class Aligner:
-    """Both tokenizers and their units; made once a task."""
+    """Both tokenizers and their units; made once a task.
+
+    Units are numbered as they are met. A unit's row of ``known`` holds its numbers,
+    ``written`` its groups as text, and ``pairs`` the id pairs of its links, which follow
+    one another in the order of units.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -116,9 +121,15 @@ class Aligner:
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         # An id as text, with what follows it inside a group and at the end of its side.
-        self.a_text = [f"{i}{c}" for i in range(len(self.a_bytes)) for c in "|,"]
-        self.b_text = [f"{i}{c}" for i in range(len(self.b_bytes)) for c in ";,"]
-        self.known: dict[str, Unit] = {}
+        self.a_text = [f"{i}{c}".encode() for i in range(len(self.a_bytes)) for c in "|,"]
+        self.b_text = [f"{i}{c}".encode() for i in range(len(self.b_bytes)) for c in ";,"]
+        self.a_length = np.array([len(x) for x in self.a_text], np.int64)
+        self.b_length = np.array([len(x) for x in self.b_text], np.int64)
+        self.place = Places()
+        self.known = np.empty((0, len(_KNOWN)), np.int64)
+        self.written: list[bytes] = []
+        self.pairs = np.empty(0, np.int64)
+        self.letters = 0
 
     @staticmethod
     def _ends(begin: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -152,17 +163,18 @@ class Aligner:
         begin[0] -= 1
         return a_ids, a_ends, b_ids, self._ends(begin, end, self.b_size[b_ids])
 
-    def _encode(self, units: list[str]) -> list[Unit]:
-        """Units that may stand behind one another, all in one text."""
+    def _encode(self, units: list[str]) -> list[tuple[np.ndarray, list[bytes], np.ndarray]]:
+        """What is known of units that may stand behind one another, all in one text."""
         text = LEAD + "".join(units)
         data = text.encode()
         a_ids, a_ends, b_ids, b_ends = self._encoded(text)
-        a_list, b_list = a_ids.tolist(), b_ids.tolist()
-        whole = b"".join(map(self.a_bytes.__getitem__, a_list)) == data
-        if not (whole and b"".join(map(self.b_bytes.__getitem__, b_list)) == data):
+        whole = b"".join(map(self.a_bytes.__getitem__, a_ids.tolist())) == data
+        if not (whole and b"".join(map(self.b_bytes.__getitem__, b_ids.tolist())) == data):
             if len(units) > 1:
-                return [y for x in units for y in self._encode([x])]
-            return [Unit(0, 0, 0, "", b"", False)]
+                # Halved until a unit that is not given back is alone.
+                half = len(units) // 2
+                return self._encode(units[:half]) + self._encode(units[half:])
+            return [(np.zeros((1, len(_KNOWN)), np.int64), [b""], np.empty(0, np.int64))]
         sizes = map(len, units) if len(data) == len(text) else (len(u.encode()) for u in units)
         stops = np.cumsum([len(LEAD), *sizes])
         ends = np.sort(np.concatenate((a_ends, b_ends)), kind="stable")
@@ -175,44 +187,59 @@ class Aligner:
         order = np.argsort(np.concatenate((2 * a_group, 2 * b_group + 1)), kind="stable")
         same_a = np.concatenate((a_group[1:] == a_group[:-1], [False]))
         same_b = np.concatenate((b_group[1:] == b_group[:-1], [False]))
-        words = list(map(self.a_text.__getitem__, (2 * a_ids + same_a).tolist()))
-        words += map(self.b_text.__getitem__, (2 * b_ids + same_b).tolist())
-        words = list(map(words.__getitem__, order.tolist()))
+        a_words, b_words = 2 * a_ids + same_a, 2 * b_ids + same_b
+        words = list(map(self.a_text.__getitem__, a_words.tolist()))
+        words += map(self.b_text.__getitem__, b_words.tolist())
+        told = np.concatenate(([0], np.cumsum(np.concatenate((self.a_length[a_words], self.b_length[b_words]))[order])))
+        written = b"".join(map(words.__getitem__, order.tolist()))
         a_at, b_at, cut_at, link_at = (np.searchsorted(x, stops, "right") for x in (a_ends, b_ends, cuts, ends))
-        counts = (np.diff(x).tolist() for x in (a_at, b_at, cut_at))
-        word_at, link_at = (a_at + b_at).tolist(), (8 * link_at).tolist()
-        flat = pairs.tobytes()
-        return [
-            Unit(n_a, n_b, n_groups, "".join(words[word_at[k] : word_at[k + 1]])[:-1], flat[link_at[k] : link_at[k + 1]], True)
-            for k, (n_a, n_b, n_groups) in enumerate(zip(*counts))
-        ]
-
-    def look_up(self, units: Iterable[str]) -> list[Unit]:
-        """The tokens of each of some different units."""
-        wanted = list(units)
-        found = {u: self.known[u] for u in wanted if u in self.known}
-        held, size = [], 0
-        for u in wanted:
-            if u in found:
-                continue
-            if u[-1].isspace() or u[-1] == MARK:
-                found[u] = self._encode([u])[0]
-                continue
+        known = np.column_stack([*map(np.diff, (a_at, b_at, cut_at, link_at)), np.ones(len(units), np.int64)])
+        # The mark behind a unit's last group is left out.
+        word_at = told[a_at + b_at].tolist()
+        groups = [written[i : j - 1] for i, j in zip(word_at, word_at[1:])]
+        return [(known, groups, pairs[link_at[0] :])]
+
+    def look_up(self) -> None:
+        """Encodes the units that were numbered since the last call."""
+        found, held, size = [], [], 0
+        for u in islice(self.place, len(self.written), None):
+            self.letters += len(u)
+            if MARK in u and held:
+                # B does not give it back, and with it not its neighbours.
+                found += self._encode(held)
+                held, size = [], 0
             held.append(u)
             size += len(u)
-            if size >= TEXT:
-                found.update(zip(held, self._encode(held)))
+            # Nothing may stand behind white space.
+            if size >= TEXT or u[-1].isspace() or MARK in u:
+                found += self._encode(held)
                 held, size = [], 0
         if held:
-            found.update(zip(held, self._encode(held)))
-        if len(self.known) > MEMORY:
-            # Those of this chunk stay, the frequent ones among them.
-            self.known = {}
-        self.known.update((u, x) for u, x in found.items() if len(u) <= LONGEST)
-        return [found[u] for u in wanted]
+            found += self._encode(held)
+        if found:
+            known, written, pairs = zip(*found)
+            self.known = np.concatenate((self.known, *known))
+            self.written.extend(chain.from_iterable(written))
+            self.pairs = np.concatenate((self.pairs, *pairs))
+
+    def links(self, units: np.ndarray) -> np.ndarray:
+        """The id pairs of the links of some units, one unit behind the other."""
+        size = self.known[:, 3]
+        begin, size = (np.cumsum(size) - size)[units], size[units]
+        return self.pairs[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+    def forget(self, used: np.ndarray) -> None:
+        """Keeps only the short ones of these units, once there are too many."""
+        if len(self.written) <= MEMORY and self.letters <= LETTERS:
+            return
+        names = list(self.place)
+        kept = np.array([i for i in used.tolist() if len(names[i]) <= LONGEST], np.int64)
+        self.pairs, self.known = self.links(kept), self.known[kept]
+        self.written = [self.written[i] for i in kept.tolist()]
+        self.place = Places((names[i], k) for k, i in enumerate(kept.tolist()))
+        self.letters = sum(map(len, self.place))
 
 
-_NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 _CHUNK = (
     "ids array<long>, "
     + ", ".join(f"{c} array<long>" for c in _NUMBERS)
@@ -223,42 +250,47 @@ _CHUNK = (
 
 def _chunk(aligner: Aligner, ids: list, texts: list[str | None]) -> pa.RecordBatch:
     """One row for the documents of a chunk; see :func:`alignment` for its use."""
-    place = Places()
-    codes = [np.array(list(map(place.__getitem__, units_of(text) if text else [])), np.int32) for text in texts]
-    units = aligner.look_up(place)
-    same = np.array([u.same for u in units], bool)
+    number = aligner.place.__getitem__
+    codes = [np.array(list(map(number, units_of(text) if text else [])), np.int32) for text in texts]
+    aligner.look_up()
+    same = aligner.known[:, 4] > 0
     # A text that either tokenizer does not give back has no tokens.
     codes = [c if same[c].all() else c[:0] for c in codes]
+    hashes = [hashlib.sha256(b";".join(map(aligner.written.__getitem__, c.tolist()))).hexdigest() if len(c) else "" for c in codes]
     n_units = np.array([len(c) for c in codes], np.int64)
     every = np.concatenate(codes) if codes else np.empty(0, np.int32)
     stops = np.concatenate(([0], np.cumsum(n_units)))
-    unit_links = np.array([len(u.pairs) // 8 for u in units], np.int64)
-    numbers = {"n_a": [u.n_a for u in units], "n_b": [u.n_b for u in units], "n_groups": [u.n_groups for u in units], "n_links": unit_links}
+    # In a chunk, only its own units are numbered.
+    times = np.bincount(every, minlength=len(aligner.written))
+    used = np.flatnonzero(times)
+    within = np.zeros(len(times), np.int32)
+    within[used] = np.arange(len(used))
+    known, every = aligner.known[used], within[every]
     sums = {}
-    for name, values in numbers.items():
-        told = np.concatenate(([0], np.cumsum(np.array(values, np.int64)[every])))
+    for k, name in enumerate(_NUMBERS):
+        told = np.concatenate(([0], np.cumsum(known[every, k])))
         sums[name] = told[stops[1:]] - told[stops[:-1]]
-    written = [u.text for u in units]
-    hashes = [hashlib.sha256(";".join(map(written.__getitem__, c.tolist())).encode()).hexdigest() if len(c) else "" for c in codes]
-    flat = np.frombuffer(b"".join([u.pairs for u in units]), np.int64)
-    pairs, links = np.unique(flat, return_inverse=True)
-    used = np.bincount(every, minlength=len(units))
+    pairs, links = np.unique(aligner.links(used), return_inverse=True)
     counts = np.zeros(len(pairs), np.int64)
-    np.add.at(counts, links, np.repeat(used, unit_links))
+    np.add.at(counts, links, np.repeat(times[used], known[:, 3]))
+    aligner.forget(used)
     press = zstandard.ZstdCompressor(level=3).compress
-    row = {
-        "ids": (ids, pa.int64()),
-        **{c: (sums[c].tolist(), pa.int64()) for c in _NUMBERS},
-        "hashes": (hashes, pa.string()),
-        "n_units": (n_units.tolist(), pa.int64()),
-        "codes": (press(every.astype("<i4").tobytes()), None),
-        "unit_links": (unit_links.tolist(), pa.int64()),
-        "links": (press(links.astype("<i4").tobytes()), None),
-        "pairs": (pairs.tolist(), pa.int64()),
-        "counts": (counts.tolist(), pa.int64()),
+    lists = {
+        "ids": pa.array(ids, pa.int64()),
+        **sums,
+        "hashes": pa.array(hashes, pa.string()),
+        "n_units": n_units,
+        "codes": press(every.astype("<i4").tobytes()),
+        "unit_links": known[:, 3],
+        "links": press(links.astype("<i4").tobytes()),
+        "pairs": pairs,
+        "counts": counts,
     }
-    arrays = [pa.array([v], pa.list_(t) if t else pa.binary()) for v, t in row.values()]
-    return pa.record_batch(arrays, list(row))
+    arrays = [
+        pa.array([v]) if isinstance(v, bytes) else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))
+        for v in lists.values()
+    ]
+    return pa.record_batch(arrays, list(lists))
 
 
 def _unpress(data: bytes) -> np.ndarray:

@@ -141,3 +141,64 @@ def test_unit_borders_are_cuts(tools):
                     told += len(u.encode())
                     assert told in ends
     assert prose(random.Random(1), 3).count(" ") == 2
+
+
+class Recorder:
+    """A tokenizer that notes the length of each text it is given."""
+
+    def __init__(self, tool):
+        self.tool, self.lengths = tool, []
+
+    def encode(self, text, **options):
+        self.lengths.append(len(text))
+        return self.tool.encode(text, **options)
+
+
+def test_tokenizers_get_short_texts_once():
+    words = [f"w{i}" for i in range(6000)]
+    texts = [" ".join(words[:4000]), " ".join(words[2000:])]
+    aligner = alignment.Aligner(A, B)
+    aligner.a, aligner.b = a, b = Recorder(aligner.a), Recorder(aligner.b)
+    alignment._chunk(aligner, [1, 2], texts)
+    for tool in (a, b):
+        # Each unit once, and a few characters that every text starts with.
+        assert max(tool.lengths) < 5000
+        assert sum(tool.lengths) < sum(len(w) + 1 for w in words) + 3 * len(tool.lengths)
+        tool.lengths.clear()
+    alignment._chunk(aligner, [3], [texts[0]])
+    assert not a.lengths and not b.lengths
+
+
+def test_an_odd_unit_costs_its_neighbours_little():
+    aligner = alignment.Aligner(A, B)
+    aligner.a = a = Recorder(aligner.a)
+    texts = [" ".join(f"w{i}" for i in range(400)), "a \u2581x b", " ".join(f"v{i}" for i in range(400))]
+    row = alignment._chunk(aligner, [1, 2, 3], texts).to_pylist()[0]
+    assert row["n_units"] == [400, 0, 400] and row["hashes"][1] == ""
+    assert len(a.lengths) < 40
+    # If it is not known for odd, the text is halved until it is alone, not taken apart.
+    a.lengths.clear()
+    found = aligner._encode([f" u{i}" for i in range(200)] + [" \u2581x"] + [f" t{i}" for i in range(200)])
+    assert [n for known, _, _ in found for n in known[:, 4]] == [1] * 200 + [0] + [1] * 200
+    assert len(a.lengths) < 40
+
+
+def test_forgotten_units_are_encoded_anew(tools, monkeypatch):
+    texts = texts_of()
+    want = plain(texts, tools)
+    chunks = [list(range(k, min(k + 9, len(texts)))) for k in range(0, len(texts), 9)] * 2
+    for memory, letters in ((250_000, 4 << 20), (40, 4 << 20), (250_000, 300), (0, 0)):
+        monkeypatch.setattr(alignment, "MEMORY", memory)
+        monkeypatch.setattr(alignment, "LETTERS", letters)
+        monkeypatch.setattr(alignment, "TEXT", 200)
+        aligner = alignment.Aligner(A, B)
+        for ids in chunks:
+            row = alignment._chunk(aligner, ids, [texts[i] for i in ids]).to_pylist()[0]
+            got = list(zip(row["n_a"], row["n_b"], row["n_groups"], row["n_links"], row["hashes"]))
+            assert got == [(*want[i][:4], want[i][6]) for i in ids]
+            told = Counter(dict(zip(row["pairs"], row["counts"])))
+            assert sum(told.values()) == sum(want[i][3] for i in ids)
+            if len(aligner.place) and memory < 250_000:
+                assert max(map(len, aligner.place)) <= alignment.LONGEST
+            assert len(aligner.place) == len(aligner.written) == len(aligner.known)
+            assert sum(aligner.known[:, 3]) == len(aligner.pairs)
