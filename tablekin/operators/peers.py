@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tablekin.functions import values as V
 from tablekin.operators.cells import quoted, value_sets
 from tablekin.operators.overlap import shared_values, truth_flag
 from tablekin.operators.rows import Side, side_rows
-from tablekin.session import settle
+from tablekin.session import lies_with, settle
 
 PEER = ["l_col", "r_col", "peer_l_col", "peer_r_col"]
 
@@ -32,8 +33,13 @@ def peer_pairs(pairs: DataFrame) -> DataFrame:
     return first.join(second, apart)
 
 
-#: Numbered keys that are broadcast to look cells up; more are joined by a shuffle.
+#: Keys that are broadcast to look cells up; more are joined by a shuffle.
 FEW_KEYS = 500_000
+#: A key that stands in more than one of so many rows of a table comes often.
+SHARE = 5_000
+#: Most passes over the rows of two tables, each for a part of their keys.
+PASSES = 8
+_NEVER_WHOLE = (T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _key(df: DataFrame, name: str) -> tuple[Column, Column]:
@@ -41,89 +47,145 @@ def _key(df: DataFrame, name: str) -> tuple[Column, Column]:
     return V.typed_category(value, data_type), V.typed_match_key(value, data_type)
 
 
-def _looked_up(df: DataFrame, names: list[str], keys: DataFrame, more: tuple[str, ...]) -> DataFrame:
-    """The cells of each row by a broadcast per column, without a shuffle.
+def _common_keys(l_sets: DataFrame, r_sets: DataFrame, l_rows: int, r_rows: int) -> DataFrame:
+    """Keys that both tables have, by one grouping: ``(category, match_key, whole, number, often)``.
 
-    An integer column is looked up by value: a canonical text of an integer is its key.
+    The number of a ``whole`` key, which is the canonical text of an integer, is that integer;
+    the others are numbered and alone keep their category and text. ``often`` tells the keys
+    that stand in more than one of ``SHARE`` rows in a column of either table.
     """
-    inside = F.struct("number", *more).alias("found")
+    tagged = l_sets.select("category", "match_key", F.col("n").alias("l_n"), F.lit(0).cast("bigint").alias("r_n")).unionByName(
+        r_sets.select("category", "match_key", F.lit(0).cast("bigint").alias("l_n"), F.col("n").alias("r_n"))
+    )
+    both = tagged.groupBy("category", "match_key").agg(F.max("l_n").alias("l_n"), F.max("r_n").alias("r_n")).filter("l_n > 0 AND r_n > 0")
     letter, size = F.substring("category", 1, 1), F.substring("category", 2, 20).cast("int")
-    canonical = letter.isin("P", "N") & (F.octet_length("match_key") == size)
-    whole = F.broadcast(keys.filter(canonical).select(F.col("match_key").try_cast("bigint").alias("value"), inside))
-    texts = F.broadcast(keys.select("category", "match_key", inside))
-    columns, rows = [], df
+    whole = letter.isin("P", "N") & (F.octet_length("match_key") == size)
+    return both.withColumn("whole", whole).select(
+        *[F.when(~F.col("whole"), F.col(c)).alias(c) for c in ("category", "match_key")],
+        "whole",
+        F.when(F.col("whole"), F.col("match_key").try_cast("bigint")).otherwise(F.monotonically_increasing_id()).alias("number"),
+        ((F.col("l_n") * SHARE > l_rows) | (F.col("r_n") * SHARE > r_rows)).alias("often"),
+    )
+
+
+def _slots(df: DataFrame, names: list[str]) -> list[tuple[int, bool]]:
+    """The places of a row's keys: its column's, and whether whole keys or others lie there.
+
+    A text column may hold both and has two.
+    """
+    slots = []
     for place, name in enumerate(names):
-        if isinstance(df.schema[name].dataType, T.IntegralType):
-            known = whole.toDF(f"__v{place}", f"__f{place}")
-            on = quoted(name).cast("bigint") == known[f"__v{place}"]
+        data_type = df.schema[name].dataType
+        if not isinstance(data_type, _NEVER_WHOLE):
+            slots.append((place, True))
+        if not isinstance(data_type, T.IntegralType):
+            slots.append((place, False))
+    return slots
+
+
+def _coded(df: DataFrame, names: list[str], keys: DataFrame) -> DataFrame:
+    """Rows as two lists of keys, ``seldom`` and ``often``, in the order of the keys.
+
+    The order is the same in both tables. A key is told by ``whole`` and ``number``, ``slot``
+    being twice its column's place, and one more for a whole key.
+
+    Lists of keys to look up are broadcast if they are short. Where there are many, whole
+    keys need no look-up but for those that come often, and others are joined by a shuffle.
+    """
+    whole, others = keys.filter("whole"), keys.filter("NOT whole")
+    few = whole.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    known = F.broadcast((whole if few else whole.filter("often")).select("number", "often"))
+    others = others.select("category", "match_key", "number", "often")
+    others = F.broadcast(others) if others.limit(FEW_KEYS + 1).count() <= FEW_KEYS else others
+    slots, rows, codes = _slots(df, names), df, []
+    for at, (place, is_whole) in enumerate(slots):
+        value = quoted(names[place])
+        if is_whole:
+            number = value.cast("bigint")
+            if not isinstance(df.schema[names[place]].dataType, T.IntegralType):
+                text = value.cast("string")
+                number = F.when(V.integer_value(text).cast("string") == text, V.integer_value(text))
+            found = known.toDF(f"__n{at}", f"__o{at}")
+            rows = rows.join(found, number == found[f"__n{at}"], "left")
+            code = F.col(f"__n{at}") if few else number
         else:
-            known = texts.toDF(f"__c{place}", f"__v{place}", f"__f{place}")
-            category, key = _key(df, name)
-            on = (category == known[f"__c{place}"]) & (key == known[f"__v{place}"])
-        rows = rows.join(known, on, "left")
-        found = F.col(f"__f{place}")
-        cell = F.struct(F.lit(place).alias("place"), *[found[c].alias(c) for c in ("number", *more)])
-        columns.append(F.when(found.isNotNull(), cell))
-    return rows.select(F.array_compact(F.array(*columns)).alias("cells")).filter(F.size("cells") > 1)
-
-
-def _gathered(df: DataFrame, names: list[str], keys: DataFrame, more: tuple[str, ...]) -> DataFrame:
-    """The cells of each row by one shuffle of cells to their keys and one back."""
-    cells = []
-    for place, name in enumerate(names):
-        category, key = _key(df, name)
-        cell = F.struct(F.lit(place).alias("place"), category.alias("category"), key.alias("match_key"))
-        cells.append(F.when(quoted(name).cast("string") != "", cell))
-    # Rows are numbered in a step of their own: beside the explosion, cells would be.
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.array(*cells).alias("cells"))
-    found = rows.select("row", F.inline(F.array_compact("cells"))).join(keys, ["category", "match_key"])
-    cell = F.struct("place", "number", *more)
-    return found.groupBy("row").agg(F.collect_list(cell).alias("cells")).filter(F.size("cells") > 1).select("cells")
+            category, key = _key(df, names[place])
+            found = others.toDF(f"__c{at}", f"__v{at}", f"__n{at}", f"__o{at}")
+            rows = rows.join(found, (category == found[f"__c{at}"]) & (key == found[f"__v{at}"]), "left")
+            code = F.col(f"__n{at}")
+        codes += [code.alias(f"__k{at}"), F.coalesce(F.col(f"__o{at}"), F.lit(False)).alias(f"__o{at}")]
+    rows = rows.select(*codes).filter(" + ".join(f"int(__k{at} IS NOT NULL)" for at in range(len(slots))) + " > 1")
+    return rows.select(_listed(slots, "NOT __o").alias("seldom"), _listed(slots, "__o").alias("often"))
 
 
-def _numbered_rows(df: DataFrame, names: list[str], keys: DataFrame, *more: str) -> DataFrame:
-    """Rows with two or more cells that the other table has: ``(cells)``, each cell being
-    its column's place and its key's number, and what ``keys`` holds besides."""
-    few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
-    return (_looked_up if few else _gathered)(df, names, keys, more)
+def _listed(slots: list[tuple[int, bool]], which: str) -> Column:
+    """The keys of a row that are ``which``, sorted."""
+    there = [F.expr(f"__k{at} IS NOT NULL AND {which}{at}") for at in range(len(slots))]
+    cells = [
+        F.when(t, F.struct(F.lit(whole).alias("whole"), F.col(f"__k{at}").alias("number"), F.lit(2 * place + whole).alias("slot")))
+        for at, ((place, whole), t) in enumerate(zip(slots, there))
+    ]
+    # What is missing is sorted to the front.
+    size = reduce(Column.__add__, [t.cast("int") for t in there])
+    return F.slice(F.sort_array(F.array(*cells)), F.lit(len(slots) + 1) - size, size)
 
 
-def _bit(number: Column) -> Column:
-    """One of 64 bits, by a hash of a key's number."""
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(number), F.lit(64)).cast("int"))
+def _pairs_at(rows: DataFrame, own: str, behind: Column, chosen: Column | None = None) -> DataFrame:
+    """The keys of the list ``own`` that are ``chosen``, each with the keys of its row behind it."""
+    rows = rows.select("*", F.posexplode(own).alias("at", "low"))
+    rows = rows if chosen is None else rows.filter(chosen)
+    rows = rows.select(F.col("low.slot").alias("low"), F.col("low.number").alias("low_key"), behind.alias("behind")).filter(F.size("behind") > 0)
+    # Two lists take much less of a shuffle than one of structs.
+    return rows.select("low", "low_key", F.col("behind.slot").alias("high"), F.col("behind.number").alias("high_key"))
 
 
-def _two_keys(rows: DataFrame, prefix: str, masked: bool) -> DataFrame:
-    """Every two cells of a row, the one with the smaller number first.
+def _after(own: str) -> Column:
+    return F.slice(own, F.col("at") + 2, F.size(own))
 
-    With ``masked`` only those whose keys stand together in some row of the other table,
-    so far as the masks of both tell. Two columns with the same key come both ways round.
-    """
 
-    def others(a: Column) -> Column:
-        def fits(b: Column) -> Column:
-            later = (a["number"] < b["number"]) | ((a["number"] == b["number"]) & (a["place"] != b["place"] if masked else a["place"] < b["place"]))
-            if not masked:
-                return later
-            return later & (a["mask"].bitwiseAND(b["bit"]) != 0) & (b["mask"].bitwiseAND(a["bit"]) != 0)
+def _apart(pairs: DataFrame) -> DataFrame:
+    return pairs.select("low", "low_key", F.inline(F.arrays_zip("high", "high_key")))
 
-        pair = lambda b: F.struct(a["number"].alias("low"), b["number"].alias("high"), a["place"].alias(f"{prefix}_low"), b["place"].alias(f"{prefix}_high"))
-        return F.transform(F.filter("cells", fits), pair)
 
-    return rows.select(F.inline(F.flatten(F.transform("cells", others))))
+def _both_often(rows: DataFrame) -> DataFrame:
+    """Every two keys of a row that come often."""
+    return _apart(_pairs_at(rows, "often", _after("often")))
 
 
-def _grouped(pairs: DataFrame, prefix: str) -> DataFrame:
-    return pairs.groupBy("low", "high", f"{prefix}_low", f"{prefix}_high").agg(F.count(F.lit(1)).alias(f"{prefix}_n"))
+def _at_keys(rows: DataFrame, part: int, parts: int) -> DataFrame:
+    """Every two keys of a row of which one does not come often, in the task of that one.
 
+    A row goes once to each such key of a ``part`` of all keys, with the keys that come
+    often and those behind it, and is taken apart there.
+    """
+    chosen = F.pmod(F.xxhash64("low.number", "low.whole"), F.lit(parts)) == part
+    return _apart(_pairs_at(rows, "seldom", F.concat(_after("seldom"), "often"), chosen).repartition("low_key"))
 
-def _common_keys(l_sets: DataFrame, r_sets: DataFrame) -> DataFrame:
-    """Keys that both tables have, by one grouping: ``(category, match_key)``."""
-    tagged = l_sets.select("category", "match_key", F.lit(1).alias("side")).unionByName(
-        r_sets.select("category", "match_key", F.lit(2).alias("side"))
-    )
-    both = tagged.groupBy("category", "match_key").agg(F.bit_or("side").alias("sides"))
-    return both.filter("sides = 3").drop("sides")
+
+def _met(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
+    """How often two keys of a left row are two of a right one, by the places they have:
+    ``(l_low, l_high, r_low, r_high, n)``.
+
+    With ``once`` the right ones are grouped before the join, not only counted after it.
+    """
+    keys = ["low_key", "high_key", "low_whole", "high_whole"]
+
+    def grouped(pairs: DataFrame, prefix: str) -> DataFrame:
+        whole = [(F.col(c) % 2).alias(f"{c}_whole") for c in ("low", "high")]
+        places = [F.shiftright(c, 1).alias(f"{prefix}_{c}") for c in ("low", "high")]
+        placed = pairs.select("low_key", "high_key", *whole, *places)
+        if prefix == "r" and not once:
+            return placed.withColumn("r_n", F.lit(1))
+        return placed.groupBy(*keys, f"{prefix}_low", f"{prefix}_high").agg(F.count(F.lit(1)).alias(f"{prefix}_n"))
+
+    l_pairs, r_pairs = grouped(left, "l"), grouped(right, "r")
+    # Two columns with the same key agree with two others both ways round.
+    same = (F.col("low_key") == F.col("high_key")) & (F.col("low_whole") == F.col("high_whole"))
+    ways = [F.struct(F.col(a).alias("l_low"), F.col(b).alias("l_high")) for a, b in (("l_low", "l_high"), ("l_high", "l_low"))]
+    l_pairs = l_pairs.select(*keys, "l_n", F.inline(F.array_compact(F.array(ways[0], F.when(same, ways[1])))))
+    products = F.col("l_n").cast("decimal(19,0)") * F.col("r_n").cast("decimal(18,0)")
+    met = r_pairs.join(l_pairs.hint("shuffle_hash"), keys)
+    return met.groupBy("l_low", "l_high", "r_low", "r_high").agg(F.sum(products).cast("decimal(38,0)").alias("n"))
 
 
 def peer_row_overlap(
@@ -136,15 +198,14 @@ def peer_row_overlap(
     """Row pairs that agree on both column pairs, for every two peers.
 
     Takes the two tables themselves, and their value sets where these are stored;
-    ``pairs`` should be read from files. Row pairs are counted, never listed. Keys that both tables have are numbered; a row is the numbers
-    of its cells, and two cells of it are a key of two numbers. Such keys are grouped in
-    each table, and equal groups multiply, so nothing grows with the frequency of a key.
-
-    Of the right table's rows nearly all have no partner. Every key of the left table
-    therefore carries a mask: one of 64 bits, by hash, for each key it shares a row with.
-    Two cells of a right row are only taken out of it if each one's bit is in the other's
-    mask, so a key that stands in few left rows lets few of them through. The left rows
-    are thinned by what is left of the right ones.
+    ``pairs`` should be read from files. Row pairs are counted, never listed. A row is the
+    numbers of its keys, and every two of them are a key of two numbers. Such keys are
+    grouped in the left table, and equal ones of the right table add up.
+
+    Two keys are counted where the first of them lies that does not come often, so a row is
+    sent once per such key and never once per two. Keys that come often are at most ``SHARE``
+    a column; two of those are grouped before anything is sent. Keys are dealt with in up
+    to ``PASSES`` passes, each of which leaves its counts in files and drops what it shuffled.
     """
     peers = settle(peer_pairs(pairs), "peers")
     none = F.lit(0).cast("decimal(38,0)").alias("row_pairs")
@@ -158,18 +219,15 @@ def peer_row_overlap(
         l_sets, r_sets = value_sets(left, names["l"]), value_sets(right, names["r"])
     l_sets = l_sets.filter(F.col("column_name").isin(names["l"]))
     r_sets = r_sets.filter(F.col("column_name").isin(names["r"]))
-    common = _common_keys(l_sets, r_sets)
-    numbered = settle(common.withColumn("number", F.monotonically_increasing_id()), "keys")
-    l_rows = settle(_numbered_rows(left, names["l"], numbered), "rows")
-    union = F.aggregate("cells", F.lit(0).cast("bigint"), lambda told, c: told.bitwiseOR(_bit(c["number"])))
-    masks = l_rows.select(F.explode("cells.number").alias("number"), union.alias("mask")).groupBy("number").agg(F.bit_or("mask").alias("mask"))
-    masked = settle(numbered.join(masks, "number").withColumn("bit", _bit(F.col("number"))), "masks")
-    r_keys = settle(_grouped(_two_keys(_numbered_rows(right, names["r"], masked, "mask", "bit"), "r", True), "r"), "pairs")
-    l_pairs = _two_keys(l_rows, "l", False)
-    thin = r_keys.select("low", "high").distinct()
-    thin = F.broadcast(thin) if thin.limit(FEW_KEYS + 1).count() <= FEW_KEYS else thin
-    l_keys = _grouped(l_pairs.join(thin, ["low", "high"], "left_semi"), "l")
-    products = F.col("l_n").cast("decimal(19,0)") * F.col("r_n").cast("decimal(18,0)")
+    common = _common_keys(l_sets, r_sets, left.count(), right.count())
+    keys = settle(common, "keys")
+    l_rows, r_rows = (settle(_coded(df, names[side], keys), "rows") for df, side in ((left, "l"), (right, "r")))
+    met = [settle(_met(_both_often(l_rows), _both_often(r_rows), True), "met")]
+    passes = max(1, min(PASSES, r_rows.rdd.getNumPartitions() // 4))
+    with lies_with(peers.sparkSession):
+        for part in range(passes):
+            found = _met(_at_keys(l_rows, part, passes), _at_keys(r_rows, part, passes), False)
+            met.append(settle(found, "met"))
     # The pair whose left column comes first leads, whichever key is the smaller.
     first = F.col("l_low") < F.col("l_high")
     turned = {
@@ -180,9 +238,9 @@ def peer_row_overlap(
     }
     place = {side: F.array(*[F.lit(n) for n in names[side]]) for side in ("l", "r")}
     counted = (
-        l_keys.join(r_keys, ["low", "high"])
+        reduce(DataFrame.unionByName, met)
         .groupBy(*[F.get(place[c[-5]], at).alias(c) for c, at in turned.items()])
-        .agg(F.sum(products).cast("decimal(38,0)").alias("row_pairs"))
+        .agg(F.sum("n").cast("decimal(38,0)").alias("row_pairs"))
     )
     return peers.join(counted, PEER, "left").select(*PEER, F.coalesce("row_pairs", none).alias("row_pairs"))
 

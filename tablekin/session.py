@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -88,14 +90,34 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def _changed(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    told = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if told is None else spark.conf.set(name, told)
+
+
+def lies_with(spark: SparkSession):
+    """Lets rows that lie with one of their keys be joined on several keys where they lie.
+
+    Else they would be shuffled once more, by all keys of the join.
+    """
+    return _changed(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def settle(df: DataFrame, label: str, root: str | None = None) -> DataFrame:
     """Write a result that is used several times and go on from the files.
 
     Executors may be lost at any later point; only files are read again then. The
-    files lie below ``root`` if it is given.
+    files lie below ``root`` if it is given. What was shuffled for them is dropped at once.
     """
     path = f"{root}/{label}-{uuid.uuid4().hex}" if root else work_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with _changed(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

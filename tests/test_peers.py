@@ -1,4 +1,5 @@
 import re
+import time
 from itertools import combinations
 
 import pytest
@@ -138,3 +139,36 @@ def test_only_numbers_of_keys_are_grouped(spark):
     pairs = P.settle(O.pair_overlap(C.value_sets(left), C.value_sets(right)), "pairs")
     plan = P.peer_row_overlap(left, right, pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert "match_key" not in plan.split("Relation")[0]
+
+
+@pytest.mark.parametrize("share, few", [(0, 0), (4, 500_000)])
+def test_overlap_where_keys_come_seldom(spark, share, few, monkeypatch):
+    """No key comes often, so rows are sent to each of them; and a mixture."""
+    monkeypatch.setattr(P, "SHARE", share)
+    test_overlap_equals_listed_row_pairs(spark, few, monkeypatch)
+    test_overlap_of_all_kinds_of_values(spark, few, monkeypatch)
+
+
+def test_rows_are_sent_once_and_not_again_for_the_join(spark):
+    row = "seldom array<struct<whole boolean, number bigint, slot int>>, often array<struct<whole boolean, number bigint, slot int>>"
+    rows = spark.createDataFrame([([(False, 1, 0), (True, 5, 3)], [(True, 9, 5)])] * 3, row)
+    with P.lies_with(spark):
+        found = P._met(P._at_keys(rows, 0, 1), P._at_keys(rows, 0, 1), False)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in found.collect()) == [(0, 1, 0, 1, 9), (0, 2, 0, 2, 9), (1, 2, 1, 2, 9)]
+    assert len(re.findall(r"Exchange hashpartitioning\(low_key#\d+L, \d+\), REPARTITION", plan)) == 2
+    assert plan.count("Exchange") == 3
+
+
+def test_settled_results_leave_no_shuffle_behind(spark):
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return sum("shuffle" in blocks.apply(k).name() for k in range(blocks.size()))
+
+    before = shuffled()
+    settled = P.settle(spark.range(1000).repartition(4, "id"), "numbers")
+    until = time.time() + 20
+    while shuffled() > before and time.time() < until:
+        time.sleep(0.2)
+    assert shuffled() <= before
+    assert settled.count() == 1000
