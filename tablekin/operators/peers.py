@@ -47,6 +47,21 @@ def _key(df: DataFrame, name: str) -> tuple[Column, Column]:
     return V.typed_category(value, data_type), V.typed_match_key(value, data_type)
 
 
+def _is_whole() -> Column:
+    """Whether a key is the canonical text of an integer."""
+    letter, size = F.substring("category", 1, 1), F.substring("category", 2, 20).cast("int")
+    return letter.isin("P", "N") & (F.octet_length("match_key") == size)
+
+
+def _whole_number(df: DataFrame, name: str) -> Column:
+    """The number of a cell's key, if that is a whole one."""
+    value = quoted(name)
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        return value.cast("bigint")
+    text = value.cast("string")
+    return F.when(V.integer_value(text).cast("string") == text, V.integer_value(text))
+
+
 def _common_keys(l_sets: DataFrame, r_sets: DataFrame, l_rows: int, r_rows: int) -> DataFrame:
     """Keys that both tables have, by one grouping: ``(category, match_key, whole, number, often)``.
 
@@ -58,9 +73,7 @@ def _common_keys(l_sets: DataFrame, r_sets: DataFrame, l_rows: int, r_rows: int)
         r_sets.select("category", "match_key", F.lit(0).cast("bigint").alias("l_n"), F.col("n").alias("r_n"))
     )
     both = tagged.groupBy("category", "match_key").agg(F.max("l_n").alias("l_n"), F.max("r_n").alias("r_n")).filter("l_n > 0 AND r_n > 0")
-    letter, size = F.substring("category", 1, 1), F.substring("category", 2, 20).cast("int")
-    whole = letter.isin("P", "N") & (F.octet_length("match_key") == size)
-    return both.withColumn("whole", whole).select(
+    return both.withColumn("whole", _is_whole()).select(
         *[F.when(~F.col("whole"), F.col(c)).alias(c) for c in ("category", "match_key")],
         "whole",
         F.when(F.col("whole"), F.col("match_key").try_cast("bigint")).otherwise(F.monotonically_increasing_id()).alias("number"),
@@ -99,12 +112,8 @@ def _coded(df: DataFrame, names: list[str], keys: DataFrame) -> DataFrame:
     others = F.broadcast(others) if others.limit(FEW_KEYS + 1).count() <= FEW_KEYS else others
     slots, rows, codes = _slots(df, names), df, []
     for at, (place, is_whole) in enumerate(slots):
-        value = quoted(names[place])
         if is_whole:
-            number = value.cast("bigint")
-            if not isinstance(df.schema[names[place]].dataType, T.IntegralType):
-                text = value.cast("string")
-                number = F.when(V.integer_value(text).cast("string") == text, V.integer_value(text))
+            number = _whole_number(df, names[place])
             found = known.toDF(f"__n{at}", f"__o{at}")
             rows = rows.join(found, number == found[f"__n{at}"], "left")
             code = F.col(f"__n{at}") if few else number
@@ -245,18 +254,86 @@ def peer_row_overlap(
     return peers.join(counted, PEER, "left").select(*PEER, F.coalesce("row_pairs", none).alias("row_pairs"))
 
 
-def _rows_in_both(rows: DataFrame, alias: str) -> DataFrame:
+def _marked_keys(shared: DataFrame, own: str, other: str, others: list[str]) -> DataFrame:
+    """Keys of each column that some column of the other table has, with the places of those as ``mark``:
+    ``(column_name, whole, number, category, match_key, mark)``, number or text being there."""
+    place = F.array_position(F.array(*[F.lit(n) for n in others]), F.col(other)) - 1
+    mark = F.array_join(F.sort_array(F.collect_set(place)).cast("array<string>"), ",")
+    marked = shared.groupBy(own, "category", "match_key").agg(mark.alias("mark")).withColumn("whole", _is_whole())
+    whole = F.col("whole")
+    return marked.select(
+        F.col(own).alias("column_name"),
+        "whole",
+        F.when(whole, F.col("match_key").try_cast("bigint")).alias("number"),
+        *[F.when(~whole, F.col(c)).alias(c) for c in ("category", "match_key")],
+        "mark",
+    )
+
+
+def _marked_rows(df: DataFrame, row_id: str | None, names: list[str], keys: DataFrame) -> DataFrame:
+    """Rows with the marks of their keys, ``(row, marks)``: of each cell that has one, its place and mark.
+
+    Lists of keys that are short are broadcast, all at once. For each other one the rows are
+    shuffled by their key, with what has been found and the columns still to be looked up only.
+    """
+    sizes = {(r["column_name"], r["whole"]): r["n"] for r in keys.groupBy("column_name", "whole").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lists = sorted(sizes, key=lambda one: (sizes[one], one))
+    short = [one for one in lists if sizes[one] <= FEW_KEYS]
+    row = F.lit(None) if row_id is None else quoted(row_id)
+    rows = df.select("*", row.cast("string" if row_id is None else df.schema[row_id].dataType).alias("__row"), F.lit("").alias("__marks"))
+    steps = [short, *[[one] for one in lists if one not in short]]
+    for done, step in enumerate(steps, 1):
+        marks = [F.expr("nullif(__marks, '')")]
+        for at, (name, whole) in enumerate(step):
+            listed = keys.filter((F.col("column_name") == name) & (F.col("whole") == whole))
+            if whole:
+                found = listed.select("number", "mark").toDF(f"__n{at}", f"__m{at}")
+                on = _whole_number(df, name) == found[f"__n{at}"]
+            else:
+                category, key = _key(df, name)
+                found = listed.select("category", "match_key", "mark").toDF(f"__c{at}", f"__v{at}", f"__m{at}")
+                on = (category == found[f"__c{at}"]) & (key == found[f"__v{at}"])
+            rows = rows.join(F.broadcast(found) if step is short else found.hint("merge"), on, "left")
+            marks.append(F.concat(F.lit(f"{names.index(name)}:"), F.col(f"__m{at}")))
+        ahead = sorted({name for later in steps[done:] for name, _ in later})
+        rows = rows.select("__row", F.concat_ws("|", *marks).alias("__marks"), *[quoted(n) for n in ahead])
+        if len(step) == 1 and step is not short and ahead:
+            rows = settle(rows, "marked")
+    return rows.filter("__marks <> ''").toDF("row", "marks")
+
+
+def _pair_lists(table: Side, shared: DataFrame, side: str) -> DataFrame:
+    """Lists of the pairs that rows of one table take part in, with the number of such rows: ``(pairs, rows)``."""
+    count = F.count(F.lit(1)).alias("rows")
+    if table.source is None:
+        rows = side_rows(table.index, shared, table.heavy, side)
+        pairs = F.sort_array(F.collect_list(F.struct("l_col", "r_col"))).alias("pairs")
+        return rows.groupBy("row_id").agg(pairs).groupBy("pairs").agg(count)
+    own, other = ("l_col", "r_col") if side == "l" else ("r_col", "l_col")
+    names, others = (sorted(r[0] for r in shared.select(c).distinct().collect()) for c in (own, other))
+    df, row_id = table.source
+    rows = _marked_rows(df, row_id, names, settle(_marked_keys(shared, own, other, others), "marks"))
+    if row_id is not None:
+        rows = rows.groupBy("row").agg(F.array_join(F.sort_array(F.collect_list("marks")), "|").alias("marks"))
+    lists = settle(rows.groupBy("marks").agg(count), "lists")
+
+    def named(of: list[str], place: Column) -> Column:
+        return F.get(F.array(*[F.lit(n) for n in of]), place.cast("int"))
+
+    def pairs_of(cell: Column) -> Column:
+        place, mark = F.split_part(cell, F.lit(":"), F.lit(1)), F.split_part(cell, F.lit(":"), F.lit(2))
+        return F.transform(F.split(mark, ","), lambda m: F.struct(named(names, place).alias(own), named(others, m).alias(other)))
+
+    pairs = F.flatten(F.transform(F.split("marks", "[|]"), pairs_of))
+    return lists.select(pairs.alias("pairs"), "rows")
+
+
+def _rows_in_both(lists: DataFrame, alias: str) -> DataFrame:
     """Rows of one table that take part in two peers, counted per peers.
 
-    Rows that take part in the same pairs are counted together first. There are few
+    Rows that take part in the same pairs come counted together. There are few
     such sets of pairs, so the square of a set is made once and not once per row.
     """
-    lists = (
-        rows.groupBy("row_id")
-        .agg(F.sort_array(F.collect_list(F.struct("l_col", "r_col"))).alias("pairs"))
-        .groupBy("pairs")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
     first, second = F.col("first"), F.col("second")
     apart = (first["l_col"] < second["l_col"]) & (first["r_col"] != second["r_col"])
     return (
@@ -280,8 +357,7 @@ def peer_containment(left: Side, right: Side) -> DataFrame:
     are named for the pair and for the peer, per side.
     """
     shared = settle(shared_values(left.sets, right.sets), "shared")
-    l_rows = side_rows(left.index, shared, left.heavy, "l")
-    r_rows = side_rows(right.index, shared, right.heavy, "r")
+    l_rows, r_rows = _pair_lists(left, shared, "l"), _pair_lists(right, shared, "r")
     sizes = shared.groupBy("l_col", "r_col").agg(
         F.count(F.lit(1)).alias("shared"),
         F.sum("l_n").alias("l_rows"),

@@ -89,17 +89,25 @@ def side_rows(
 class Side:
     """What the row operators need of one table: its value index and value sets.
 
-    The sets are looked at several times and should be read from files.
+    The sets are looked at several times and should be read from files. ``source`` is the
+    table itself and the column that tells its rows apart, or None if each row stands alone;
+    what can be told row by row is then not looked for in the index.
     """
 
-    def __init__(self, index: DataFrame, sets: DataFrame, part_rows: int = PART_ROWS):
-        self.index, self.sets, self.part_rows = index, sets, part_rows
+    def __init__(
+        self, index: DataFrame, sets: DataFrame, part_rows: int = PART_ROWS, source: tuple[DataFrame, str | None] | None = None
+    ):
+        self.index, self.sets, self.part_rows, self.source = index, sets, part_rows, source
 
     @classmethod
-    def of(cls, df: DataFrame, row_id: str, columns=None, **options) -> Side:
-        """A table whose column ``row_id`` tells its rows apart."""
+    def of(cls, df: DataFrame, row_id: str, columns=None, unique: bool = False, **options) -> Side:
+        """A table whose column ``row_id`` tells its rows apart.
+
+        Rows with the same one count as one row, unless it is known to be ``unique``.
+        """
         sets = settle(value_sets(df, columns), "sets")
-        return cls(value_index(df, row_id, columns), sets, **options)
+        source = (df, None if unique else row_id)
+        return cls(value_index(df, row_id, columns), sets, source=source, **options)
 
     @property
     def heavy(self) -> DataFrame:

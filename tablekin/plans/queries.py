@@ -509,7 +509,7 @@ def q_peer_score_orders_lineitem(spark, sf_dir):
     # Lines have no key of their own; their number in the table tells them apart.
     numbered = settle(D.with_row_number(lines, "line"), "lines")
     left = side(spark, sf_dir, "orders")
-    right = R.Side.of(numbered, "line", lines.columns)
+    right = R.Side.of(numbered, "line", lines.columns, unique=True)
     return P.peer_score(P.peer_containment(left, right))
 
 

@@ -172,3 +172,35 @@ def test_settled_results_leave_no_shuffle_behind(spark):
         time.sleep(0.2)
     assert shuffled() <= before
     assert settled.count() == 1000
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_containment_row_by_row_equals_that_of_the_index(spark, few, monkeypatch):
+    """Keys of rows come twice and are missing; such rows count as one, unless they are known to be unique."""
+    monkeypatch.setattr(P, "FEW_KEYS", few)
+    left = [(1, "7", 1.5, "07"), (1, "7", 1.5, "x"), (2, "07", -0.0, None), (None, "7", 0.0, "x"), (None, "", 1.5, "x|y:z")]
+    right = [(7, "7", "1.5", "x"), (7, "+7", "0.0", "x"), (1, "x|y:z", "-0.0", None), (2, "07", "1.5", "")] * 2
+    l = spark.createDataFrame(left, "a int, `b c` string, d double, e string")
+    r = spark.createDataFrame([(k, *v) for k, v in enumerate(right)], "line bigint, w int, x string, y string, z string")
+    sides = [R.Side.of(l, "a"), R.Side.of(r, "line", ["w", "x", "y", "z"], unique=True)]
+    found = P.peer_containment(*sides)
+    for side in sides:
+        side.source = None
+    expected = P.peer_containment(*sides)
+    assert found.dtypes == expected.dtypes
+    assert rows(found) == rows(expected) != []
+
+
+def test_containment_shuffles_rows_once_per_long_list(spark, monkeypatch):
+    settled, settle = [], P.settle
+
+    def told(df, label):
+        settled.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return settle(df, label)
+
+    monkeypatch.setattr(P, "settle", told)
+    P.peer_containment(*tables(spark, 4))
+    lists = [plan for label, plan in settled if label == "lists"]
+    # Short lists are broadcast; rows are shuffled to be counted and never cell by cell.
+    assert len(lists) == 2
+    assert all("Expand" not in p and "SortMergeJoin" not in p and p.count("Exchange hashpartitioning") == 2 for p in lists)
