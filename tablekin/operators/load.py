@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tablekin.operators.cells import quoted, scalar_columns
 
+#: Digits that are all zero, with or without an exponent.
+ZERO_TEXT = r"\A\s*[+-]?(0+[.]?0*|[.]0+)([eE][+-]?[0-9]{1,9})?\s*\z"
 # Fixed names of the declared types that are recognised.
 TEXT_TYPES = ("CHAR", "VARCHAR", "VARCHAR2")
 NUMBER_TYPES = ("NUMBER", "NUMERIC")
@@ -30,7 +32,9 @@ def declared_cast(value: Column, column: Row | dict) -> Column:
         return value
     if data_type in NUMBER_TYPES:
         precision, scale = spec.get("precision") or 38, spec.get("scale") or 0
-        return value.try_cast(f"decimal({precision},{scale})")
+        number = f"decimal({precision},{scale})"
+        # Spark's cast takes a zero with a large exponent for too large.
+        return F.coalesce(value.try_cast(number), F.when(value.rlike(ZERO_TEXT), F.lit(0).cast(number)))
     raise ValueError(f"no rule for declared type {data_type!r}")
 
 
